@@ -8,6 +8,7 @@ joined to the data, and only ``z`` is known to the driver. Both ways give the sa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,12 @@ from blockfit.plans.kernels import (
     uncorrelated_coefficients,
 )
 from blockfit.plans.rounds import STATS_LIMIT, indexed, num_features, run_admm
-from blockfit.session import cut_lineage, drop_checkpoint
+from blockfit.session import cut_lineage, drop_checkpoint, fixed_plans, partition_count
 
 _DOUBLES = pa.list_(pa.float64())
 _KEEP = StorageLevel.MEMORY_AND_DISK
 MAX_BLOCK_BYTES = 256 << 20
+_STATE_SCHEMA = "block_id long, x array<double>, u array<double>"
 
 
 def _blocked(df: DataFrame, num_blocks: int, block_by: str) -> DataFrame:
@@ -107,11 +109,12 @@ class _StateTable(_MeanResiduals):
     def spread(self, bar: np.ndarray) -> float:
         flat = bar.ravel()
 
-        @F.arrow_udf("double")
-        def distance(x: pa.Array) -> pa.Array:
-            return pa.array([float(np.linalg.norm(np.asarray(v.values) - flat)) for v in x], pa.float64())
+        def run(batches):
+            for batch in batches:
+                d = [float(np.linalg.norm(np.asarray(v.values) - flat)) for v in batch.column("x")]
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.float64())], names=["d"])
 
-        return self.state.select(distance("x").alias("d")).agg(F.sum("d")).first()[0]
+        return self.state.select("x").mapInArrow(run, "d double").agg(F.sum("d")).first()[0]
 
     def cut_lineage(self) -> None:
         saved = cut_lineage(self.state)
@@ -164,6 +167,30 @@ def _factors(rho: float):
     return run
 
 
+def _state_batch(block_ids, **columns) -> pa.RecordBatch:
+    arrays = [pa.array(v, _DOUBLES) for v in columns.values()]
+    return pa.RecordBatch.from_arrays([block_ids, *arrays], names=["block_id", *columns])
+
+
+def _lasso_round(z: np.ndarray, rho: float):
+    """Kernel over blocks joined to their states.
+
+    The dual step of a round is taken at the start of the next one, with the ``z`` known then.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, us = [], []
+            for m, c, x, u in zip(*(batch.column(n) for n in ("inverse", "cross", "x", "u"))):
+                dual = np.asarray(u.values) + np.asarray(x.values) - z
+                M = np.frombuffer(m.as_buffer()).reshape(len(z), len(z))
+                xs.append(M @ (np.asarray(c.values) + rho * (z - dual)))
+                us.append(dual)
+            yield _state_batch(batch.column("block_id"), x=xs, u=us)
+
+    return run
+
+
 class _LassoTable(_StateTable):
     def __init__(self, blocks: DataFrame, p: int, num_blocks: int, lam: float, rho: float):
         self.data = (
@@ -180,22 +207,8 @@ class _LassoTable(_StateTable):
         self._init_residuals(p, num_blocks, rho)
 
     def advance(self) -> None:
-        z, rho = self.z, self.rho
-
-        @F.arrow_udf("struct<x: array<double>, u: array<double>>")
-        def step(inverse: pa.Array, cross: pa.Array, x: pa.Array, u: pa.Array) -> pa.Array:
-            xs, us = [], []
-            for m, c, a, b in zip(inverse, cross, x, u):
-                # the dual step of the round before, with the z that round ended with
-                dual = np.asarray(b.values) + np.asarray(a.values) - z
-                M = np.frombuffer(m.as_buffer()).reshape(len(z), len(z))
-                xs.append(M @ (np.asarray(c.values) + rho * (z - dual)))
-                us.append(dual)
-            return pa.StructArray.from_arrays([pa.array(xs, _DOUBLES), pa.array(us, _DOUBLES)], ["x", "u"])
-
-        joined = self.data.join(self.state.hint("shuffle_hash"), "block_id")
-        new = joined.select("block_id", step("inverse", "cross", "x", "u").alias("o"))
-        new = new.select("block_id", "o.x", "o.u").persist(_KEEP)
+        joined = self.data.join(self.state.select("block_id", "x", "u").hint("shuffle_hash"), "block_id")
+        new = joined.mapInArrow(_lasso_round(self.z, self.rho), _STATE_SCHEMA).persist(_KEEP)
         total = driver_sum(new, self.n, {"x": self.p, "u": self.p})
         self._x_bar = total["x"] / self.n
         self.z = soft(self._x_bar + total["u"] / self.n, self.k)
@@ -224,7 +237,8 @@ def consensus_lasso(
     blocks = gram(_blocked(df, num_blocks, block_by), p)
     held = num_blocks * (p * p + 3 * p) * 8 <= stats_limit
     problem = (_LassoHeld if held else _LassoTable)(blocks, p, num_blocks, lam, rho)
-    z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
+    with fixed_plans(df.sparkSession):
+        z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
     return Model(df.sparkSession, z.reshape(-1, 1), history_rows=history, params=params)
 
 
@@ -269,13 +283,6 @@ def block_gradients(chunks: DataFrame, states: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunk_profile(chunks: DataFrame) -> tuple[int, int, int]:
-    row = chunks.agg(
-        F.sum("n").alias("n"), F.count_distinct("block_id").alias("blocks"), F.max("block_id").alias("last")
-    ).first()
-    return row["n"], row["blocks"], row["last"]
-
-
 def _local_adam(X, y, x, z, u, rho, alpha, steps) -> np.ndarray:
     adam = AdamMoments(x.shape, alpha)
     x = x.copy()
@@ -338,6 +345,22 @@ class _SparseHeld(_HeldStates):
         self.chunks.unpersist()
 
 
+def _sparse_round(z: np.ndarray, rho: float, alpha: float, steps: int):
+    """Kernel over whole blocks joined to their states; the dual step comes first, as for the lasso."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, us = [], []
+            for i, A, labels in chunk_matrices(batch):
+                old, dual = (np.asarray(batch.column(c)[i].values).reshape(z.shape) for c in ("w", "u"))
+                dual = dual + old - z
+                xs.append(_local_adam(A, labels.astype(np.int64), old, z, dual, rho, alpha, steps).ravel())
+                us.append(dual.ravel())
+            yield _state_batch(batch.column("block_id"), x=xs, u=us, s=[a + b for a, b in zip(xs, us)])
+
+    return run
+
+
 class _SparseTable(_StateTable):
     """As above with the states in a table next to the blocks; neither side is exchanged."""
 
@@ -350,24 +373,10 @@ class _SparseTable(_StateTable):
         self._init_residuals(shape, num_blocks, rho)
 
     def advance(self) -> None:
-        z, rho, alpha, steps = self.z, self.rho, self.alpha, self.steps
-
-        @F.arrow_udf("struct<x: array<double>, u: array<double>, s: array<double>>")
-        def step(X: pa.Array, p: pa.Array, y: pa.Array, x: pa.Array, u: pa.Array) -> pa.Array:
-            xs, us = [], []
-            batch = pa.RecordBatch.from_arrays([X, p, y], names=["X", "p", "y"])
-            for i, A, labels in chunk_matrices(batch):
-                old = np.asarray(x[i].values).reshape(z.shape)
-                dual = np.asarray(u[i].values).reshape(z.shape) + old - z
-                xs.append(_local_adam(A, labels.astype(np.int64), old, z, dual, rho, alpha, steps).ravel())
-                us.append(dual.ravel())
-            sums = [a + b for a, b in zip(xs, us)]
-            return pa.StructArray.from_arrays([pa.array(v, _DOUBLES) for v in (xs, us, sums)], ["x", "u", "s"])
-
         state = self.state.select("block_id", F.col("x").alias("w"), "u").hint("shuffle_hash")
         joined = self.data.select("block_id", "X", "p", "y").join(state, "block_id")
-        new = joined.select("block_id", step("X", "p", "y", "w", "u").alias("o"))
-        new = new.select("block_id", "o.x", "o.u", "o.s").persist(_KEEP)
+        kernel = _sparse_round(self.z, self.rho, self.alpha, self.steps)
+        new = joined.mapInArrow(kernel, _STATE_SCHEMA + ", s array<double>").persist(_KEEP)
         size = int(np.prod(self.shape))
         total = driver_sum(new, self.n, {"x": size, "s": size})
         self._x_bar = (total["x"] / self.n).reshape(self.shape)
@@ -405,7 +414,8 @@ def consensus_smlr(
     if consensus not in ("median", "mean"):
         raise ValueError(f"unknown consensus {consensus!r}")
     params = dict(lam=lam, rho=rho, alpha=alpha, num_blocks=num_blocks, consensus=consensus, max_iter=max_iter)
-    rows, classes = indexed(_blocked(df, num_blocks, block_by))
+    spark = df.sparkSession
+    rows, classes, num_rows = indexed(_blocked(df, num_blocks, block_by))
     rows = with_bias(rows)
     p = num_features(rows)
     shape = (p, len(classes))
@@ -416,21 +426,21 @@ def consensus_smlr(
     held = 3 * num_blocks * shape[0] * shape[1] * 8 <= stats_limit and last < num_blocks
     if not (whole or held):
         raise ValueError("blocks exceed max_block_bytes: raise num_blocks")
-    chunks = pack_chunks(
-        rows,
-        _shuffle_partitions(df) if not held else min(num_blocks, _shuffle_partitions(df)),
-        max_chunk_bytes=max_block_bytes if whole else MAX_CHUNK_BYTES,
-        whole_blocks=whole,
-    )
+    parts = partition_count(spark, num_rows * p * 8, MAX_CHUNK_BYTES)
+    if whole:
+        # local steps are all the work, so a block per task if the session has the partitions
+        parts = max(parts, min(num_blocks, _shuffle_partitions(df)))
+    chunks = pack_chunks(rows, parts, max_block_bytes if whole else MAX_CHUNK_BYTES, whole_blocks=whole)
     if held:
         problem = _SparseHeld(
             chunks.persist(_KEEP), shape, num_blocks, lam, rho, alpha, local_steps, consensus, whole
         )
     else:
-        placed = chunks.repartition(_shuffle_partitions(df), "block_id").persist(_KEEP)
+        placed = chunks.repartition(parts, "block_id").persist(_KEEP)
         problem = _SparseTable(placed, shape, num_blocks, lam, rho, alpha, local_steps, consensus)
-    z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
-    return Model(df.sparkSession, z, classes, bias=True, history_rows=history, params=params)
+    with fixed_plans(spark):
+        z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
+    return Model(spark, z, classes, bias=True, history_rows=history, params=params)
 
 
 def _umlr_z(z: np.ndarray, bar: np.ndarray, n: int, rho: float, eta: float) -> np.ndarray:
@@ -490,6 +500,21 @@ def _joined_gradients(shape):
     return run
 
 
+def _uncorrelated_round(z: np.ndarray, scale: float, rho: float, epsilon: float):
+    """Kernel over blocks with gradient and state: the dual step, then the gradient step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, us = [], []
+            for row in zip(*(batch.column(n) for n in ("g", "x", "u"))):
+                g, old, dual = (np.asarray(v.values) for v in row)
+                us.append(dual + old - z)
+                xs.append(old - epsilon * (scale * g + rho * (old - z + dual)))
+            yield _state_batch(batch.column("block_id"), x=xs, u=us)
+
+    return run
+
+
 class _UncorrelatedTable(_StateTable):
     def __init__(self, chunks, shape, num_blocks, num_rows, epsilon, rho, eta):
         self.data, self.shape, self.n, self.scale = chunks, shape, num_blocks, num_blocks / num_rows
@@ -501,17 +526,6 @@ class _UncorrelatedTable(_StateTable):
         self._init_residuals(shape, num_blocks, rho)
 
     def advance(self) -> dict:
-        z, scale, rho, epsilon = self.z.ravel(), self.scale, self.rho, self.epsilon
-
-        @F.arrow_udf("struct<x: array<double>, u: array<double>>")
-        def step(g: pa.Array, x: pa.Array, u: pa.Array) -> pa.Array:
-            xs, us = [], []
-            for a, b, c in zip(g, x, u):
-                old, dual = np.asarray(b.values), np.asarray(c.values)
-                us.append(dual + old - z)
-                xs.append(old - epsilon * (scale * np.asarray(a.values) + rho * (old - z + dual)))
-            return pa.StructArray.from_arrays([pa.array(xs, _DOUBLES), pa.array(us, _DOUBLES)], ["x", "u"])
-
         state = self.state.select("block_id", F.col("x").alias("w"), "u")
         joined = self.data.select("block_id", "p", "X", "y").join(state, "block_id")
         sums = (
@@ -521,13 +535,13 @@ class _UncorrelatedTable(_StateTable):
             .groupBy("block_id")
             .agg(collect_sum("g").alias("g"), F.first("x").alias("x"), F.first("u").alias("u"))
         )
-        new = sums.select("block_id", step("g", "x", "u").alias("o")).select("block_id", "o.x", "o.u")
-        new = new.persist(_KEEP)
+        kernel = _uncorrelated_round(self.z.ravel(), self.scale, self.rho, self.epsilon)
+        new = sums.mapInArrow(kernel, _STATE_SCHEMA).persist(_KEEP)
         size = int(np.prod(self.shape))
         total = driver_sum(new, self.n, {"x": size, "u": size})
         self._x_bar = (total["x"] / self.n).reshape(self.shape)
         bar = self._x_bar + (total["u"] / self.n).reshape(self.shape)
-        self.z = _umlr_z(self.z, bar, self.n, rho, self.eta)
+        self.z = _umlr_z(self.z, bar, self.n, self.rho, self.eta)
         self._replace(new)
         diff = float(np.abs(self.z - self._z_before).mean())
         self._z_before = self.z
@@ -548,13 +562,17 @@ def umlr_consensus(
 ) -> Model:
     """Maximal-uncorrelated multinomial regression by row-split ADMM with one gradient step per round."""
     params = dict(epsilon=epsilon, rho=rho, eta=eta, num_blocks=num_blocks, epochs=epochs)
-    rows, classes = indexed(_blocked(df, num_blocks, block_by))
+    spark = df.sparkSession
+    rows, classes, num_rows = indexed(_blocked(df, num_blocks, block_by))
     shape = (num_features(rows), len(classes))
-    chunks = pack_chunks(rows).persist(_KEEP)
-    num_rows, found, last = _chunk_profile(chunks)
+    parts = partition_count(spark, num_rows * shape[0] * 8, MAX_CHUNK_BYTES)
+    chunks = pack_chunks(rows, parts).persist(_KEEP)
+    found, last = chunks.agg(F.count_distinct("block_id"), F.max("block_id")).first()
     _require_blocks(found, num_blocks)
     held = 3 * num_blocks * shape[0] * shape[1] * 8 <= stats_limit and last < num_blocks
     kind = _UncorrelatedHeld if held else _UncorrelatedTable
     problem = kind(chunks, shape, num_blocks, num_rows, epsilon, rho, eta)
-    z, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
-    return Model(df.sparkSession, z, classes, history_rows=history, params=params)
+    # the join of a large state table is left to adaptive execution, which splits a hot block
+    with fixed_plans(spark) if held else nullcontext():
+        z, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
+    return Model(spark, z, classes, history_rows=history, params=params)

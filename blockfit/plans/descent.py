@@ -22,6 +22,7 @@ from blockfit.operators.linalg import (
 from blockfit.operators.select import kth_smallest
 from blockfit.plans.kernels import AdamMoments, softmax_terms, uncorrelated_coefficients
 from blockfit.plans.rounds import STATS_LIMIT, indexed, num_features
+from blockfit.session import fixed_plans
 
 _DOUBLES = pa.list_(pa.float64())
 _KEEP = StorageLevel.MEMORY_AND_DISK
@@ -30,7 +31,7 @@ _KEEP = StorageLevel.MEMORY_AND_DISK
 def _cached_chunks(rows: DataFrame) -> tuple[DataFrame, int, int]:
     """Chunks packed where the rows are, with the number of rows and of partitions."""
     chunks = pack_chunks(rows, sort=False).persist(_KEEP)
-    n, parts = chunks.agg(F.sum("n"), F.max(F.spark_partition_id()) + 1).first()
+    n, parts = chunks.withColumn("_part", F.spark_partition_id()).agg(F.sum("n"), F.max("_part") + 1).first()
     if not n:
         raise ValueError("no row to fit")
     return chunks, n, parts
@@ -61,10 +62,11 @@ def least_squares_gd(
         def gradient(w):
             return driver_sum(source.mapInArrow(ls_partials(w), "g array<double>"), parts, {"g": p})["g"]
 
-    for t in range(epochs):
-        step = lr * gradient(w)
-        w = w - step
-        history.append({"round": t, "diff": float(np.abs(step).mean())})
+    with fixed_plans(df.sparkSession):
+        for t in range(epochs):
+            step = lr * gradient(w)
+            w = w - step
+            history.append({"round": t, "diff": float(np.abs(step).mean())})
     if chunks is not None:
         chunks.unpersist()
     params = dict(lr=lr, epochs=epochs)
@@ -94,18 +96,19 @@ def umlr_adam(
 
     ``penalty_scale="per_row"`` counts the penalty once for every row, ``"once"`` only once.
     """
-    rows, classes = indexed(df.drop("block_id"))
+    rows, classes, _ = indexed(df.drop("block_id"))
     chunks, n, parts = _cached_chunks(rows)
     source = chunks.select("p", "X", "y")
     W = np.zeros((num_features(df), len(classes)))
     adam = AdamMoments(W.shape, lr, beta1, beta2, eps)
     weight = eta * (n if penalty_scale == "per_row" else 1)
     history = []
-    for t in range(epochs):
-        _, loss, g = _sums(source.mapInArrow(softmax_partials(W), "s array<double>"), parts, W)
-        step = adam.corrected_step(g + weight * W * uncorrelated_coefficients(W))
-        W = W - step
-        history.append({"round": t, "diff": float(np.abs(step).mean()), "loss": loss / n})
+    with fixed_plans(df.sparkSession):
+        for t in range(epochs):
+            _, loss, g = _sums(source.mapInArrow(softmax_partials(W), "s array<double>"), parts, W)
+            step = adam.corrected_step(g + weight * W * uncorrelated_coefficients(W))
+            W = W - step
+            history.append({"round": t, "diff": float(np.abs(step).mean()), "loss": loss / n})
     chunks.unpersist()
     params = dict(lr=lr, eta=eta, epochs=epochs, penalty_scale=penalty_scale)
     return Model(df.sparkSession, W, classes, history_rows=history, params=params)
@@ -211,7 +214,7 @@ def umlr_minibatch(
     if update not in ("adam", "sgd", "momentum", "rmsprop"):
         raise ValueError(f"unknown update {update!r}")
     batch = batch or ("consecutive" if update == "adam" else "random")
-    rows, classes = indexed(df.drop("block_id"))
+    rows, classes, _ = indexed(df.drop("block_id"))
     W = np.zeros((num_features(df), len(classes)))
     rule = _Rule(update, W.shape, lr, momentum, decay, eps)
     if batch_size <= 0:
@@ -219,25 +222,28 @@ def umlr_minibatch(
         full = True
     else:
         cached = rows.persist(_KEEP)
-        n, parts = cached.agg(F.count("*"), F.max(F.spark_partition_id()) + 1).first()
+        n, parts = (
+            cached.withColumn("_part", F.spark_partition_id()).agg(F.count("*"), F.max("_part") + 1).first()
+        )
         full = batch_size >= n
     history = []
-    for t in range(epochs):
-        if batch_size <= 0:
-            partials = cached.select("p", "X", "y").mapInArrow(softmax_partials(W), "s array<double>")
-        else:
-            picked = cached
-            if not full and batch == "consecutive":
-                picked = consecutive_batch(cached, batch_size, t, n)
-            elif not full:
-                picked = sample_batch(cached, batch_size, t, seed)
-            partials = picked.select("label", "features").mapInArrow(_row_partials(W), "s array<double>")
-        b, loss, g = _sums(partials, parts, W)
-        penalty = umlr_penalty(W, reg, eta)
-        g = g / b + reg * W + eta * W * uncorrelated_coefficients(W)
-        step = rule.step(g)
-        W = W - step
-        history.append({"round": t, "diff": float(np.abs(step).mean()), "loss": loss / b + penalty})
+    with fixed_plans(df.sparkSession):
+        for t in range(epochs):
+            if batch_size <= 0:
+                partials = cached.select("p", "X", "y").mapInArrow(softmax_partials(W), "s array<double>")
+            else:
+                picked = cached
+                if not full and batch == "consecutive":
+                    picked = consecutive_batch(cached, batch_size, t, n)
+                elif not full:
+                    picked = sample_batch(cached, batch_size, t, seed)
+                partials = picked.select("label", "features").mapInArrow(_row_partials(W), "s array<double>")
+            b, loss, g = _sums(partials, parts, W)
+            penalty = umlr_penalty(W, reg, eta)
+            g = g / b + reg * W + eta * W * uncorrelated_coefficients(W)
+            step = rule.step(g)
+            W = W - step
+            history.append({"round": t, "diff": float(np.abs(step).mean()), "loss": loss / b + penalty})
     cached.unpersist()
     params = dict(batch_size=batch_size, epochs=epochs, lr=lr, reg=reg, eta=eta, update=update, batch=batch)
     return Model(df.sparkSession, W, classes, history_rows=history, params=params)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockfit.operators.linalg import block_mean
-from blockfit.operators.prepare import distinct_labels, label_index
+from blockfit.operators.prepare import label_index
 
 # sufficient statistics or block states that may be held on the driver, in bytes;
 # larger ones stay in tables
@@ -70,12 +70,17 @@ def current_weights(
     return entries.select(at.alias("feature_idx"), "value")
 
 
-def indexed(df: DataFrame) -> tuple[DataFrame, list]:
-    """The frame with class indices as labels, and the sorted classes."""
-    classes = distinct_labels(df)
-    if not classes:
+def indexed(df: DataFrame) -> tuple[DataFrame, list, int]:
+    """The frame with class indices as labels, the sorted classes, and the number of rows.
+
+    Rows without a label are left out.
+    """
+    labelled = df.filter(F.col("label").isNotNull())
+    counts = labelled.groupBy("label").count().collect()
+    if not counts:
         raise ValueError("no labelled row")
-    return label_index(df, classes), classes
+    classes = sorted(r["label"] for r in counts)
+    return label_index(labelled, classes), classes, sum(r["count"] for r in counts)
 
 
 def num_features(df: DataFrame) -> int:

@@ -4,7 +4,8 @@ The columns are never split physically. With ``x`` known, ``Abar = X x / N`` bel
 row, and ``A_j'(A_j x_j + z - Abar - u) = G_jj x_j + [X'(z - Abar - u)]_j``. So a round is
 one pass over the row chunks: it brings ``z`` and ``u`` of the chunk forward and adds up the
 p x K matrix ``X'(z - Abar - u)``, from which the feature blocks are solved. ``z`` and ``u``
-(n x K) live in a table partitioned like the chunks; a round exchanges neither of them.
+(n x K) live in a table keyed by chunk. Python operators forget their partitioning, so a
+round exchanges this table; the cached chunks stay where they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from blockfit.model import Model
-from blockfit.operators.blocks import chunk_matrices, feature_blocks, pack_chunks
+from blockfit.operators.blocks import MAX_CHUNK_BYTES, chunk_matrices, feature_blocks, pack_chunks
 from blockfit.operators.linalg import driver_sum, gram, vector_sum
 from blockfit.plans.kernels import (
     AdamMoments,
@@ -29,7 +30,7 @@ from blockfit.plans.kernels import (
     uncorrelated_coefficients,
 )
 from blockfit.plans.rounds import STATS_LIMIT, indexed, num_features, run_admm
-from blockfit.session import cut_lineage, drop_checkpoint
+from blockfit.session import cut_lineage, drop_checkpoint, fixed_plans, partition_count
 
 _DOUBLES = pa.list_(pa.float64())
 _KEEP = StorageLevel.MEMORY_AND_DISK
@@ -218,70 +219,91 @@ class _BlockStep:
 # --- the rounds ------------------------------------------------------------------------------
 
 
+def _round_kernel(x: np.ndarray, n_blocks: int, row_step: RowStep, start: float):
+    """Kernel over chunks (with their state, but in the first round): one round of the rows.
+
+    Gives the new ``z`` and ``u``, the part of ``X'(z - Abar - u)`` in ``r``, and in ``s``
+    the sums of squares and of absolute values of ``Abar - z``.
+    """
+    k = x.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z, u, r, s = [], [], [], []
+            has_state = "z" in batch.schema.names
+            for i, A, target in chunk_matrices(batch):
+                if has_state:
+                    z_old, u_old = (
+                        np.frombuffer(batch.column(c)[i].as_buffer()).reshape(len(A), k) for c in ("z", "u")
+                    )
+                else:
+                    z_old = u_old = np.full((len(A), k), start)
+                abar = A @ x / n_blocks
+                z_new = row_step(z_old, abar, u_old, target)
+                gap = abar - z_new
+                u_new = u_old + gap
+                z.append(z_new.tobytes())
+                u.append(u_new.tobytes())
+                r.append((A.T @ (-gap - u_new)).ravel())
+                s.append([float((gap**2).sum()), float(np.abs(gap).sum())])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("chunk_id"),
+                    pa.array(z, pa.binary()),
+                    pa.array(u, pa.binary()),
+                    pa.array(r, _DOUBLES),
+                    pa.array(s, _DOUBLES),
+                ],
+                names=["chunk_id", "z", "u", "r", "s"],
+            )
+
+    return run
+
+
 class _SharingRounds:
     """State per chunk ``<chunk_id, z, u>``; the driver knows x and X'(z - Abar - u) only."""
 
     def __init__(
         self,
         rows: DataFrame,
+        num_rows: int,
         blocks: Sequence[tuple[int, int]],
         num_outputs: int,
         prepare: Callable,
         row_step: RowStep,
         start: float,
         stats_limit: int,
-        max_chunk_bytes: int | None = None,
     ):
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        packing = {} if max_chunk_bytes is None else {"max_chunk_bytes": max_chunk_bytes}
-        self.chunks = pack_chunks(rows, **packing).repartition(parts, "chunk_id").persist(_KEEP)
+        p = blocks[-1][1]
+        parts = partition_count(rows.sparkSession, num_rows * p * 8, MAX_CHUNK_BYTES)
+        chunks = pack_chunks(rows).select("chunk_id", "n", "p", "X", "y")
+        self.chunks = chunks.repartition(parts, "chunk_id").persist(_KEEP)
         self.num_rows, self.num_chunks = self.chunks.agg(F.sum("n"), F.count("*")).first()
-        self.n_blocks, self.k, self.row_step = len(blocks), num_outputs, row_step
+        self.n_blocks, self.k, self.row_step, self.start = len(blocks), num_outputs, row_step, start
         self.block_step = _BlockStep(self.chunks, blocks, prepare, stats_limit)
-        p = blocks[-1][1]
         self.x = np.full((p, num_outputs), start)
         self.x_checked = self.x.copy()
         self.blocks = blocks
         # z, u and Abar all start at ``start``, so z - Abar - u = -start
         self.R = np.repeat(-start * self.block_step.sums[:, None], num_outputs, axis=1)
-        fill = F.array_repeat(F.lit(float(start)), F.col("n") * num_outputs)
         self.state: DataFrame | None = None
-        self.first = self.chunks.withColumn("z", fill).withColumn("u", fill)
         self.primal_square = self.change = 0.0
         self._saved: DataFrame | None = None
 
     def advance(self) -> dict:
         self.x = self.block_step.solve(self.R, self.x)
-        x, n_blocks, row_step, k = self.x, self.n_blocks, self.row_step, self.k
-
-        @F.arrow_udf("struct<z: array<double>, u: array<double>, r: array<double>, s: array<double>>")
-        def step(X: pa.Array, p: pa.Array, y: pa.Array, z: pa.Array, u: pa.Array) -> pa.Array:
-            out = [[], [], [], []]
-            batch = pa.RecordBatch.from_arrays([X, p, y], names=["X", "p", "y"])
-            for i, A, target in chunk_matrices(batch):
-                z_old = np.asarray(z[i].values).reshape(-1, k)
-                u_old = np.asarray(u[i].values).reshape(-1, k)
-                abar = A @ x / n_blocks
-                z_new = row_step(z_old, abar, u_old, target)
-                gap = abar - z_new
-                u_new = u_old + gap
-                out[0].append(z_new.ravel())
-                out[1].append(u_new.ravel())
-                out[2].append((A.T @ (-gap - u_new)).ravel())
-                out[3].append([float((gap**2).sum()), float(np.abs(gap).sum())])
-            return pa.StructArray.from_arrays([pa.array(c, _DOUBLES) for c in out], ["z", "u", "r", "s"])
-
-        if self.state is None:
-            joined = self.first
-        else:
-            joined = self.chunks.join(self.state.hint("shuffle_hash"), "chunk_id")
-        new = joined.select("chunk_id", step("X", "p", "y", "z", "u").alias("o"))
-        new = new.select("chunk_id", "o.z", "o.u", "o.r", "o.s").persist(_KEEP)
-        total = driver_sum(new, self.num_chunks, {"r": x.size, "s": 2})
-        self.R = total["r"].reshape(x.shape)
+        source = self.chunks.select("chunk_id", "p", "X", "y")
+        if self.state is not None:
+            source = source.join(self.state.select("chunk_id", "z", "u").hint("shuffle_hash"), "chunk_id")
+        kernel = _round_kernel(self.x, self.n_blocks, self.row_step, self.start)
+        new = source.mapInArrow(
+            kernel, "chunk_id long, z binary, u binary, r array<double>, s array<double>"
+        ).persist(_KEEP)
+        total = driver_sum(new, self.num_chunks, {"r": self.x.size, "s": 2})
+        self.R = total["r"].reshape(self.x.shape)
         self.primal_square, self.change = total["s"]
         self._replace(new)
-        return {"diff": float(self.change / (self.num_rows * k))}
+        return {"diff": float(self.change / (self.num_rows * self.k))}
 
     def residuals(self) -> tuple[float, float]:
         primal = self.n_blocks * self.primal_square**0.5
@@ -388,8 +410,10 @@ def sharing_lasso(
         problem = _LassoOnGram(G, np.array(row["cross"]).reshape(p, 1), row["yy"], blocks, prepare, rho)
     else:
         rows = df.drop("block_id")
-        problem = _SharingRounds(rows, blocks, 1, prepare, squared_rows(num_blocks, rho), 0.0, stats_limit)
-    x, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
+        row_step = squared_rows(num_blocks, rho)
+        problem = _SharingRounds(rows, rows.count(), blocks, 1, prepare, row_step, 0.0, stats_limit)
+    with fixed_plans(df.sparkSession):
+        x, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
     return Model(df.sparkSession, x, history_rows=history, params=params)
 
 
@@ -411,10 +435,11 @@ def sharing_smlr(
 ) -> Model:
     """Sparse multinomial regression (no bias) by feature-split ADMM."""
     params = dict(lam=lam, rho=rho, alpha=alpha, num_blocks=num_blocks, max_iter=max_iter)
-    rows, classes = indexed(df.drop("block_id"))
+    rows, classes, num_rows = indexed(df.drop("block_id"))
     blocks = feature_blocks(num_features(rows), num_blocks, policy)
     problem = _SharingRounds(
         rows,
+        num_rows,
         blocks,
         len(classes),
         sparse_solver(lam, rho, inner_iter, inner_tol),
@@ -422,7 +447,8 @@ def sharing_smlr(
         0.0,
         stats_limit,
     )
-    x, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
+    with fixed_plans(df.sparkSession):
+        x, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
     return Model(df.sparkSession, x, classes, history_rows=history, params=params)
 
 
@@ -440,10 +466,11 @@ def umlr_sharing(
 ) -> Model:
     """Maximal-uncorrelated multinomial regression (no bias) by feature-split ADMM."""
     params = dict(num_blocks=num_blocks, epsilon=epsilon, rho=rho, eta=eta, epochs=epochs)
-    rows, classes = indexed(df.drop("block_id"))
+    rows, classes, num_rows = indexed(df.drop("block_id"))
     blocks = feature_blocks(num_features(rows), num_blocks, policy)
     problem = _SharingRounds(
         rows,
+        num_rows,
         blocks,
         len(classes),
         ridge_solver(eta, rho),
@@ -451,5 +478,6 @@ def umlr_sharing(
         1.0,
         stats_limit,
     )
-    x, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
+    with fixed_plans(df.sparkSession):
+        x, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
     return Model(df.sparkSession, x, classes, history_rows=history, params=params)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,26 @@ def drop_checkpoint(df: DataFrame | None) -> None:
         path = jvm.org.apache.hadoop.fs.Path(saved.get())
         conf = df.sparkSession._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Plan without adaptive execution, for rounds over cached data of known layout.
+
+    Adaptive execution runs every cached table as a stage of its own, which costs more
+    than a round itself and has nothing to decide there.
+    """
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def partition_count(spark: SparkSession, num_bytes: int, chunk_bytes: int, most_bytes: int = 128 << 20) -> int:
+    """Partitions for data of a known size: as many as the session wants, yet at most one
+    per chunk, and always enough to keep a partition below ``most_bytes``."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-num_bytes // most_bytes), min(wanted, -(-num_bytes // chunk_bytes)))
