@@ -12,6 +12,7 @@ from blockfit.operators.select import kth_smallest
 from blockfit.session import cut_lineage
 
 _BUCKETS = 10000
+_KEY_BUCKETS = 100
 # up to here labels are looked up in a literal array, beyond in a joined table
 _LITERAL_CLASSES = 32
 
@@ -76,12 +77,14 @@ def train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Random split that depends on ``row_id`` and the seed only, never on the layout.
 
-    ``by="key"`` splits on the row number itself, ``by="random"`` needs no ``row_id``.
+    ``by="key"`` takes the first rows of every hundred row numbers to test (whole percents),
+    ``by="random"`` needs no ``row_id``.
     """
     if by == "random":
         train, test = df.randomSplit([1 - test_size, test_size], seed)
         return train, test
-    is_test = _bucket(by, seed, _BUCKETS) < round(test_size * _BUCKETS)
+    buckets = _BUCKETS if by == "hash" else _KEY_BUCKETS
+    is_test = _bucket(by, seed, buckets) < round(test_size * buckets)
     return df.filter(~is_test), df.filter(is_test)
 
 

@@ -19,7 +19,6 @@ from blockfit.operators.linalg import (
     softmax_partials,
     umlr_penalty,
 )
-from blockfit.operators.select import kth_smallest
 from blockfit.plans.kernels import AdamMoments, softmax_terms, uncorrelated_coefficients
 from blockfit.plans.rounds import STATS_LIMIT, indexed, num_features
 from blockfit.session import fixed_plans
@@ -117,23 +116,44 @@ def umlr_adam(
 # --- batches -----------------------------------------------------------------------------------
 
 
-def sample_batch(df: DataFrame, b: int, step: int = 0, seed: int = 0) -> DataFrame:
+_BITS = 12
+_LAST_FETCH = 50_000
+
+
+def _hash_cut(hashes: DataFrame, k: int) -> int:
+    """The ``k``-th smallest value of the long column ``h`` of a hash.
+
+    Counts by the leading bits, 12 more per pass, until the bin around the rank is small.
+    """
+    shift, prefix = 64 - _BITS, None
+    while True:
+        bins = hashes if prefix is None else hashes.filter(F.shiftright("h", shift + _BITS) == prefix)
+        counts = bins.groupBy(F.shiftright("h", shift).alias("bin")).count().collect()
+        for row in sorted(counts):
+            if k <= row["count"]:
+                break
+            k -= row["count"]
+        prefix = row["bin"]
+        if row["count"] <= _LAST_FETCH or shift < _BITS:
+            break
+        shift -= _BITS
+    last = hashes.filter(F.shiftright("h", shift) == prefix).toArrow()["h"].to_numpy()
+    return int(np.partition(last, k - 1)[k - 1])
+
+
+def sample_batch(
+    df: DataFrame, b: int, step: int = 0, seed: int = 0, num_rows: int | None = None
+) -> DataFrame:
     """A random batch of exactly ``b`` rows (all rows if there are fewer), new for every step.
 
     The rows with the smallest hashes of (row_id, seed, step): a cut is found by counting
     and then filters the rows, which neither move nor get sorted.
     """
-    keyed = df.withColumn("_order", F.xxhash64("row_id", F.lit(seed), F.lit(step))).withColumn("_all", F.lit(0))
-    ranks = keyed.agg(
-        F.lit(0).alias("_all"),
-        F.min("_order").alias("lo"),
-        F.max("_order").alias("hi"),
-        F.least(F.count("*"), F.lit(b)).cast("long").alias("k"),
-    )
-    cut = kth_smallest(keyed, "_order", ranks.filter("k > 0"), "_all").first()
-    if cut is None:
-        return df.limit(0)
-    return keyed.filter(F.col("_order") <= cut["cut"]).select(*df.columns)
+    n = df.count() if num_rows is None else num_rows
+    if b >= n:
+        return df
+    key = F.xxhash64("row_id", F.lit(seed), F.lit(step))
+    return df.filter(key <= F.lit(_hash_cut(df.select(key.alias("h")), b)))
 
 
 def batch_start(b: int, step: int, num_rows: int) -> int:
@@ -236,7 +256,7 @@ def umlr_minibatch(
                 if not full and batch == "consecutive":
                     picked = consecutive_batch(cached, batch_size, t, n)
                 elif not full:
-                    picked = sample_batch(cached, batch_size, t, seed)
+                    picked = sample_batch(cached, batch_size, t, seed, n)
                 partials = picked.select("label", "features").mapInArrow(_row_partials(W), "s array<double>")
             b, loss, g = _sums(partials, parts, W)
             penalty = umlr_penalty(W, reg, eta)
