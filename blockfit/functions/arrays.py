@@ -38,12 +38,21 @@ def class_margins(features: Column | str, W) -> Column:
     return F.array(*[dot(features, W[:, k]) for k in range(W.shape[1])])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, for use inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def row_softmax(margins: Column | str) -> Column:
     """Softmax of a margin array, shifted by its maximum."""
     m = _col(margins)
-    raised = F.transform(m, lambda v: F.exp(v - F.array_max(m)))
-    total = F.aggregate(raised, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(raised, lambda v: v / total)
+    raised = let(F.array_max(m), lambda top: F.transform(m, lambda v: F.exp(v - top)))
+
+    def normed(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+        return let(total, lambda t: F.transform(e, lambda v: v / t))
+
+    return let(raised, normed)
 
 
 def l2_norm(vector: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockfit.functions.arrays import _col
+from blockfit.functions.arrays import _col, let
 
 
 def _shrink(a: Column, k: Column) -> Column:
@@ -43,13 +43,16 @@ def residual_weights(squared: Column | str, t: float = 0.7, c: float = 1.0) -> C
     is 1 for residuals not above it and 0 for the others.
     """
     r = _col(squared)
-    at = order_stat(r, t)
-    return F.transform(
-        r,
-        lambda v: F.when(at == 0, F.when(v <= at, 1.0).otherwise(0.0)).otherwise(
-            1.0 / (1.0 + F.exp(F.lit(c) / at * (v - at)))
-        ),
-    )
+
+    def weights(at: Column) -> Column:
+        return F.transform(
+            r,
+            lambda v: F.when(at == 0, F.when(v <= at, 1.0).otherwise(0.0)).otherwise(
+                1.0 / (1.0 + F.exp(F.lit(c) / at * (v - at)))
+            ),
+        )
+
+    return let(order_stat(r, t), weights)
 
 
 def residual_mae(residuals: Column | str, exact: bool = False) -> Column:
@@ -61,8 +64,9 @@ def residual_mae(residuals: Column | str, exact: bool = False) -> Column:
 
 def median_avg(values: Column | str) -> Column:
     """Median of an array; the mean of the two middle entries for an even size."""
-    s = F.sort_array(_col(values))
-    n = F.size(s)
-    upper = F.floor(n / 2).cast("int")
-    lower = F.floor((n - 1) / 2).cast("int")
-    return (s[lower] + s[upper]) / 2.0
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return (s[F.floor((n - 1) / 2).cast("int")] + s[F.floor(n / 2).cast("int")]) / 2.0
+
+    return let(F.sort_array(_col(values)), middle)

@@ -106,7 +106,7 @@ def stratified_pick(
     size = F.least(F.greatest(F.lit(pick_size), F.lit(1)), F.count("*") - 1)
     ranks = (
         keyed.groupBy("label")
-        .agg(F.min("_order").alias("lo"), F.max("_order").alias("hi"), size.cast("long").alias("k"))
+        .agg(F.min("_order").alias("lo"), F.max("_order").alias("hi"), size.cast("long").alias("k"), F.count("*").alias("n"))
         .filter("k > 0")
     )
     cuts = kth_smallest(keyed, "_order", ranks, "label").withColumnRenamed("label", "_class")

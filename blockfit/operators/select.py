@@ -12,17 +12,18 @@ _LAST_SORT = 20_000
 def kth_smallest(df: DataFrame, order: str, ranks: DataFrame, group: str) -> DataFrame:
     """The ``k``-th smallest value of the long column ``order`` in every group.
 
-    ``ranks`` is ``<group, lo, hi, k>`` with one row per group: the value range and the
-    1-based rank looked for. Every level counts ``df`` in bins of the ranges still open,
+    ``ranks`` is ``<group, lo, hi, k, n>`` with one row per group: the value range, the
+    1-based rank looked for and the number of rows. Every level counts ``df`` in bins of the ranges still open,
     so that a group of any size is never in one task; once the open bins are small, the
     rest is ranked by a window. The values of ``order`` must be (nearly) unique.
     Returns ``<group, cut>``.
     """
     spark = df.sparkSession
     schema = f"{group} {ranks.schema[group].dataType.simpleString()}, lo long, hi long, k long"
-    open_ranges = [tuple(r) for r in ranks.select(group, "lo", "hi", "k").collect()]
+    found = ranks.select(group, "lo", "hi", "k", "n").collect()
+    open_ranges = [tuple(r)[:4] for r in found]
     per_group = Window.partitionBy(group).orderBy("lo")
-    while True:
+    while any(r["n"] > _LAST_SORT and r["lo"] < r["hi"] for r in found):
         table = F.broadcast(spark.createDataFrame(open_ranges, schema))
         inside = df.select(group, order).join(table, group).filter(F.col(order).between(F.col("lo"), F.col("hi")))
         # whole-number bin width, in decimal because hi - lo may exceed a long
@@ -43,8 +44,6 @@ def kth_smallest(df: DataFrame, order: str, ranks: DataFrame, group: str) -> Dat
             .collect()
         )
         open_ranges = [(r[0], r["lo"], r["hi"], r["k"]) for r in found]
-        if all(r["n"] <= _LAST_SORT or r["lo"] == r["hi"] for r in found):
-            break
     table = F.broadcast(spark.createDataFrame(open_ranges, schema))
     rest = df.select(group, order).join(table, group).filter(F.col(order).between(F.col("lo"), F.col("hi")))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))

@@ -75,6 +75,8 @@ class _MeanResiduals:
 class _HeldStates(_MeanResiduals):
     """States ``x`` and ``u`` as arrays on the driver."""
 
+    parts: int | None = None
+
     def mean_x(self) -> np.ndarray:
         return self.x.mean(axis=0)
 
@@ -193,10 +195,11 @@ def _lasso_round(z: np.ndarray, rho: float):
 
 class _LassoTable(_StateTable):
     def __init__(self, blocks: DataFrame, p: int, num_blocks: int, lam: float, rho: float):
+        self.parts = partition_count(blocks.sparkSession, num_blocks * p * p * 8, MAX_CHUNK_BYTES)
         self.data = (
             blocks.select("block_id", "gram", "cross")
             .mapInArrow(_factors(rho), "block_id long, inverse binary, cross array<double>")
-            .repartition(_shuffle_partitions(blocks), "block_id")
+            .repartition(self.parts, "block_id")
             .persist(_KEEP)
         )
         _require_blocks(self.data.count(), num_blocks)
@@ -237,7 +240,7 @@ def consensus_lasso(
     blocks = gram(_blocked(df, num_blocks, block_by), p)
     held = num_blocks * (p * p + 3 * p) * 8 <= stats_limit
     problem = (_LassoHeld if held else _LassoTable)(blocks, p, num_blocks, lam, rho)
-    with fixed_plans(df.sparkSession):
+    with fixed_plans(df.sparkSession, problem.parts):
         z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
     return Model(df.sparkSession, z.reshape(-1, 1), history_rows=history, params=params)
 
@@ -264,8 +267,8 @@ def _gradient_partials(states: np.ndarray):
     return run
 
 
-def block_gradients(chunks: DataFrame, states: np.ndarray) -> np.ndarray:
-    """``A_i' (softmax(A_i x_i) - Y_i)`` of every block, in one pass over the chunks."""
+def block_gradients(chunks: DataFrame, states: np.ndarray, parts: int) -> np.ndarray:
+    """``A_i' (softmax(A_i x_i) - Y_i)`` of every block, in one pass over chunks in ``parts`` partitions."""
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast(states)
 
@@ -273,7 +276,7 @@ def block_gradients(chunks: DataFrame, states: np.ndarray) -> np.ndarray:
         return _gradient_partials(shared.value)(batches)
 
     partials = chunks.select("block_id", "p", "X", "y").mapInArrow(run, "block_id long, g array<double>")
-    if _shuffle_partitions(chunks) * states.nbytes > PARTIALS_LIMIT:
+    if parts * states.nbytes > PARTIALS_LIMIT:
         partials = vector_sum(partials, "g", ["block_id"])
     table = partials.toArrow()
     out = np.zeros_like(states)
@@ -297,8 +300,8 @@ class _SparseHeld(_HeldStates):
     Then every local step is a pass over the chunks that sums the gradient of a block.
     """
 
-    def __init__(self, chunks, shape, num_blocks, lam, rho, alpha, steps, consensus, whole):
-        self.chunks, self.whole, self.consensus = chunks, whole, consensus
+    def __init__(self, chunks, parts, shape, num_blocks, lam, rho, alpha, steps, consensus, whole):
+        self.chunks, self.parts, self.whole, self.consensus = chunks, parts, whole, consensus
         self.rho, self.alpha, self.steps, self.k = rho, alpha, steps, lam / (num_blocks * rho)
         self.x, self.u = np.zeros((num_blocks, *shape)), np.zeros((num_blocks, *shape))
         self.z = np.zeros(shape)
@@ -308,7 +311,7 @@ class _SparseHeld(_HeldStates):
         if not self.whole:
             x, adam = self.x.copy(), AdamMoments(self.x.shape, self.alpha)
             for _ in range(self.steps):
-                x -= adam.step(block_gradients(self.chunks, x) + self.rho * (x - self.z + self.u))
+                x -= adam.step(block_gradients(self.chunks, x, self.parts) + self.rho * (x - self.z + self.u))
             return x
         spark = self.chunks.sparkSession
         shared = spark.sparkContext.broadcast((self.x, self.u, self.z))
@@ -364,7 +367,8 @@ def _sparse_round(z: np.ndarray, rho: float, alpha: float, steps: int):
 class _SparseTable(_StateTable):
     """As above with the states in a table next to the blocks; neither side is exchanged."""
 
-    def __init__(self, chunks, shape, num_blocks, lam, rho, alpha, steps, consensus):
+    def __init__(self, chunks, parts, shape, num_blocks, lam, rho, alpha, steps, consensus):
+        self.parts = parts
         self.data, self.shape, self.n, self.consensus = chunks, shape, num_blocks, consensus
         self.rho, self.alpha, self.steps, self.k = rho, alpha, steps, lam / (num_blocks * rho)
         zeros = F.array_repeat(F.lit(0.0), int(np.prod(shape)))
@@ -433,12 +437,12 @@ def consensus_smlr(
     chunks = pack_chunks(rows, parts, max_block_bytes if whole else MAX_CHUNK_BYTES, whole_blocks=whole)
     if held:
         problem = _SparseHeld(
-            chunks.persist(_KEEP), shape, num_blocks, lam, rho, alpha, local_steps, consensus, whole
+            chunks.persist(_KEEP), parts, shape, num_blocks, lam, rho, alpha, local_steps, consensus, whole
         )
     else:
         placed = chunks.repartition(parts, "block_id").persist(_KEEP)
-        problem = _SparseTable(placed, shape, num_blocks, lam, rho, alpha, local_steps, consensus)
-    with fixed_plans(spark):
+        problem = _SparseTable(placed, parts, shape, num_blocks, lam, rho, alpha, local_steps, consensus)
+    with fixed_plans(spark, problem.parts):
         z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
     return Model(spark, z, classes, bias=True, history_rows=history, params=params)
 
@@ -448,8 +452,8 @@ def _umlr_z(z: np.ndarray, bar: np.ndarray, n: int, rho: float, eta: float) -> n
 
 
 class _UncorrelatedHeld(_HeldStates):
-    def __init__(self, chunks, shape, num_blocks, num_rows, epsilon, rho, eta):
-        self.chunks, self.scale = chunks, num_blocks / num_rows
+    def __init__(self, chunks, parts, shape, num_blocks, num_rows, epsilon, rho, eta):
+        self.chunks, self.parts, self.scale = chunks, parts, num_blocks / num_rows
         self.epsilon, self.rho, self.eta = epsilon, rho, eta
         self.x, self.u = np.ones((num_blocks, *shape)), np.ones((num_blocks, *shape))
         self.z = np.ones(shape)
@@ -457,7 +461,7 @@ class _UncorrelatedHeld(_HeldStates):
         self._z_before = np.zeros(shape)
 
     def advance(self) -> dict:
-        g = self.scale * block_gradients(self.chunks, self.x) + self.rho * (self.x - self.z + self.u)
+        g = self.scale * block_gradients(self.chunks, self.x, self.parts) + self.rho * (self.x - self.z + self.u)
         self.u = self.u + self.x - self.z
         self.x = self.x - self.epsilon * g
         self.z = _umlr_z(self.z, self.x.mean(axis=0) + self.u.mean(axis=0), len(self.x), self.rho, self.eta)
@@ -516,7 +520,7 @@ def _uncorrelated_round(z: np.ndarray, scale: float, rho: float, epsilon: float)
 
 
 class _UncorrelatedTable(_StateTable):
-    def __init__(self, chunks, shape, num_blocks, num_rows, epsilon, rho, eta):
+    def __init__(self, chunks, parts, shape, num_blocks, num_rows, epsilon, rho, eta):
         self.data, self.shape, self.n, self.scale = chunks, shape, num_blocks, num_blocks / num_rows
         self.epsilon, self.rho, self.eta = epsilon, rho, eta
         ones = F.array_repeat(F.lit(1.0), int(np.prod(shape)))
@@ -571,8 +575,8 @@ def umlr_consensus(
     _require_blocks(found, num_blocks)
     held = 3 * num_blocks * shape[0] * shape[1] * 8 <= stats_limit and last < num_blocks
     kind = _UncorrelatedHeld if held else _UncorrelatedTable
-    problem = kind(chunks, shape, num_blocks, num_rows, epsilon, rho, eta)
+    problem = kind(chunks, parts, shape, num_blocks, num_rows, epsilon, rho, eta)
     # the join of a large state table is left to adaptive execution, which splits a hot block
-    with fixed_plans(spark) if held else nullcontext():
+    with fixed_plans(spark, parts) if held else nullcontext():
         z, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
     return Model(spark, z, classes, history_rows=history, params=params)

@@ -9,9 +9,17 @@ def soft(a: np.ndarray, k: float | np.ndarray) -> np.ndarray:
     return np.maximum(a - k, 0) - np.maximum(-(a + k), 0)
 
 
+def softmax_columns(m: np.ndarray) -> np.ndarray:
+    """Softmax down the columns (classes x rows), in place; fast for few classes."""
+    m -= m.max(axis=0)
+    np.exp(m, out=m)
+    m /= m.sum(axis=0)
+    return m
+
+
 def softmax(margins: np.ndarray) -> np.ndarray:
-    e = np.exp(margins - margins.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Softmax of every row."""
+    return softmax_columns(np.array(margins.T, order="C", copy=True)).T
 
 
 def softmax_residual(margins: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -45,8 +53,10 @@ class AdamMoments:
 
     def _advance(self, g: np.ndarray) -> None:
         self.t += 1
-        self.m = self.beta1 * self.m + (1 - self.beta1) * g
-        self.v = self.beta2 * self.v + (1 - self.beta2) * g * g
+        self.m *= self.beta1
+        self.m += (1 - self.beta1) * g
+        self.v *= self.beta2
+        self.v += (1 - self.beta2) * np.square(g)
 
     def step(self, g: np.ndarray) -> np.ndarray:
         self._advance(g)

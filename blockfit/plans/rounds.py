@@ -18,7 +18,12 @@ STATS_LIMIT = 256 << 20
 
 
 class Problem(Protocol):
-    """One ADMM problem: its rounds run Spark jobs or work on aggregated statistics."""
+    """One ADMM problem: its rounds run Spark jobs or work on aggregated statistics.
+
+    ``parts`` is the number of partitions of the cached side of its joins, if it has any.
+    """
+
+    parts: int | None
 
     def advance(self) -> dict:
         """Run one round; may return ``diff`` or ``loss`` for the history."""

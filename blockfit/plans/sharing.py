@@ -26,6 +26,7 @@ from blockfit.plans.kernels import (
     lasso_block,
     scaled_inverse,
     soft,
+    softmax_columns,
     softmax_residual,
     uncorrelated_coefficients,
 )
@@ -114,10 +115,18 @@ def squared_rows(n_blocks: int, rho: float) -> RowStep:
 
 def softmax_adam_rows(n_blocks: int, rho: float, alpha: float, z_steps: int) -> RowStep:
     def step(z, abar, u, y):
-        y, adam, z = y.astype(np.int64), AdamMoments(z.shape, alpha), z.copy()
+        # classes x rows, the layout the softmax wants
+        at = (y.astype(np.int64), np.arange(len(y)))
+        z, pull = np.array(z.T, order="C"), rho * (abar + u).T
+        adam = AdamMoments(z.shape, alpha)
         for _ in range(z_steps):
-            z -= adam.step(n_blocks * (softmax_residual(n_blocks * z, y) + rho * (z - abar - u)))
-        return z
+            g = softmax_columns(n_blocks * z)
+            g[at] -= 1.0
+            g += rho * z
+            g -= pull
+            g *= n_blocks
+            z -= adam.step(g)
+        return np.ascontiguousarray(z.T)
 
     return step
 
@@ -275,9 +284,9 @@ class _SharingRounds:
         stats_limit: int,
     ):
         p = blocks[-1][1]
-        parts = partition_count(rows.sparkSession, num_rows * p * 8, MAX_CHUNK_BYTES)
+        self.parts = partition_count(rows.sparkSession, num_rows * p * 8, MAX_CHUNK_BYTES)
         chunks = pack_chunks(rows).select("chunk_id", "n", "p", "X", "y")
-        self.chunks = chunks.repartition(parts, "chunk_id").persist(_KEEP)
+        self.chunks = chunks.repartition(self.parts, "chunk_id").persist(_KEEP)
         self.num_rows, self.num_chunks = self.chunks.agg(F.sum("n"), F.count("*")).first()
         self.n_blocks, self.k, self.row_step, self.start = len(blocks), num_outputs, row_step, start
         self.block_step = _BlockStep(self.chunks, blocks, prepare, stats_limit)
@@ -340,6 +349,8 @@ class _LassoOnGram:
     (a number and p numbers) replace the n rows.
     """
 
+    parts = None
+
     def __init__(self, G, c, bb, blocks, prepare, rho):
         self.G, self.c, self.bb, self.blocks, self.rho = G, c, bb, blocks, rho
         self.solvers = [prepare(G[lo:hi, lo:hi]) for lo, hi in blocks]
@@ -412,7 +423,7 @@ def sharing_lasso(
         rows = df.drop("block_id")
         row_step = squared_rows(num_blocks, rho)
         problem = _SharingRounds(rows, rows.count(), blocks, 1, prepare, row_step, 0.0, stats_limit)
-    with fixed_plans(df.sparkSession):
+    with fixed_plans(df.sparkSession, problem.parts):
         x, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
     return Model(df.sparkSession, x, history_rows=history, params=params)
 
@@ -447,7 +458,7 @@ def sharing_smlr(
         0.0,
         stats_limit,
     )
-    with fixed_plans(df.sparkSession):
+    with fixed_plans(df.sparkSession, problem.parts):
         x, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
     return Model(df.sparkSession, x, classes, history_rows=history, params=params)
 
@@ -478,6 +489,6 @@ def umlr_sharing(
         1.0,
         stats_limit,
     )
-    with fixed_plans(df.sparkSession):
+    with fixed_plans(df.sparkSession, problem.parts):
         x, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
     return Model(df.sparkSession, x, classes, history_rows=history, params=params)

@@ -52,23 +52,32 @@ def drop_checkpoint(df: DataFrame | None) -> None:
 
 
 @contextmanager
-def fixed_plans(spark: SparkSession) -> Iterator[None]:
+def fixed_plans(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """Plan without adaptive execution, for rounds over cached data of known layout.
 
     Adaptive execution runs every cached table as a stage of its own, which costs more
-    than a round itself and has nothing to decide there.
+    than a round itself and has nothing to decide there. ``partitions`` is the layout of
+    the cached side of a join: with as many shuffle partitions only the other side moves.
+    Chunks go to Python in batches of a few, which is faster than the default batch size.
     """
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def partition_count(spark: SparkSession, num_bytes: int, chunk_bytes: int, most_bytes: int = 128 << 20) -> int:
     """Partitions for data of a known size: as many as the session wants, yet at most one
-    per chunk, and always enough to keep a partition below ``most_bytes``."""
+    per chunk, and always enough to keep a partition below ``most_bytes``.
+
+    At least 2, since a single partition does not count as partitioned by a key.
+    """
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-num_bytes // most_bytes), min(wanted, -(-num_bytes // chunk_bytes)))
+    return max(2, -(-num_bytes // most_bytes), min(wanted, -(-num_bytes // chunk_bytes)))

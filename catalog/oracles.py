@@ -26,7 +26,7 @@ def shrink(a: str, k: str) -> str:
 
 
 ORACLES["profile"] = """
-SELECT count(*) AS num_rows, count(DISTINCT label) AS num_classes, max(len(embedding)) AS num_features
+SELECT count(*) AS num_rows, count(DISTINCT label) AS num_classes, CAST(max(len(embedding)) AS INTEGER) AS num_features
 FROM embeddings"""
 
 ORACLES["text_round_trip"] = """
@@ -46,7 +46,7 @@ SELECT count(*) AS num_rows, CAST(sum(round(p_retailprice * 100)) AS BIGINT) AS
 
 ORACLES["model_round_trip"] = f"""
 WITH {_EMB}
-SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS class_idx, label AS class_label,
+SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS class_idx, CAST(label AS BIGINT) AS class_label,
        CAST(pos AS INTEGER) AS feature_idx, round(avg(v), 6) AS weight
 FROM emb GROUP BY label, pos"""
 
@@ -54,7 +54,7 @@ ORACLES["residual_sink"] = """
 SELECT label AS class_label, count(*) AS num_rows,
        round(sum(list_sum(list_transform(CAST(embedding AS DOUBLE[])[1:len(embedding)-1], lambda v: abs(v)))
              / len(embedding)), 6) AS sum_mae,
-       max(len(embedding)) AS width
+       CAST(max(len(embedding)) AS INTEGER) AS width
 FROM embeddings GROUP BY label"""
 
 ORACLES["assembled"] = """
@@ -122,7 +122,7 @@ FROM embeddings GROUP BY 1"""
 def _feature_blocks(case: str) -> str:
     return f"""
 WITH {_EMB}, c AS (SELECT CAST({case} AS INTEGER) AS block_id, id, pos, v FROM emb)
-SELECT block_id, count(DISTINCT id) AS num_rows, count(DISTINCT pos) AS width, round(sum(v), 6) AS sum_values
+SELECT block_id, count(DISTINCT id) AS num_rows, CAST(count(DISTINCT pos) AS INTEGER) AS width, round(sum(v), 6) AS sum_values
 FROM c GROUP BY 1"""
 
 
@@ -139,7 +139,7 @@ ORACLES["feature_block_view"] = f"""
 WITH {_EMB}, c AS (
   SELECT CASE WHEN pos < 21 THEN 0 WHEN pos < 42 THEN 1 ELSE 2 END AS block_id,
          CAST(floor(id / 128.0) AS BIGINT) AS chunk_id, id, pos, v FROM emb)
-SELECT block_id, chunk_id, count(DISTINCT id) AS num_rows, min(id) AS first_id, max(id) AS last_id,
+SELECT block_id, chunk_id, CAST(count(DISTINCT id) AS INTEGER) AS num_rows, min(id) AS first_id, max(id) AS last_id,
        round(arg_min(v, id * 64 + pos), 6) AS first_value, round(sum(v), 6) AS sum_values
 FROM c GROUP BY 1, 2"""
 
@@ -269,7 +269,7 @@ ORACLES["class_mean"] = f"""
 WITH {_EMB} SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) AS value FROM emb GROUP BY 1, 2"""
 
 ORACLES["collect_vectors"] = """
-SELECT label, CAST(vec_id % 3 AS INTEGER) AS part, count(*) AS num_rows,
+SELECT label, CAST(vec_id % 3 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS num_rows,
        string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids,
        round(CAST(arg_max(embedding[64], vec_id) AS DOUBLE), 6) AS last_value
 FROM embeddings GROUP BY 1, 2"""

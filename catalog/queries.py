@@ -386,7 +386,7 @@ def feature_block_view(spark, sf):
 def gram_cross(spark, sf):
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     lines = table(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("flag"), *[F.col(n).cast("decimal(15,2)").alias(n) for n in names]
+        F.col("l_returnflag").alias("flag"), *[F.col(n).cast("decimal(8,2)").alias(n) for n in names]
     )
     entries = L.column_gram(lines, [F.col(n) for n in names], ["flag"])
     return entries.select("flag", "i", "j", F.col("value").cast("double").alias("value"))

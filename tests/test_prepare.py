@@ -61,7 +61,9 @@ def test_kth_smallest_over_several_levels(spark, monkeypatch):
     monkeypatch.setattr("blockfit.operators.select._LAST_SORT", 3)
     values = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
     df = spark.createDataFrame([(int(v), i % 2) for i, v in enumerate(values)], "v long, g int")
-    ranks = df.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.lit(1234).cast("long").alias("k"))
+    ranks = df.groupBy("g").agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.lit(1234).cast("long").alias("k"), F.count("*").alias("n")
+    )
     got = {r["g"]: r["cut"] for r in kth_smallest(df, "v", ranks, "g").collect()}
     assert got == {g: np.sort(values[g::2])[1233] for g in (0, 1)}
 
