@@ -46,7 +46,7 @@ def kth_smallest(df: DataFrame, order: str, ranks: DataFrame, group: str) -> Dat
         open_ranges = [(r[0], r["lo"], r["hi"], r["k"]) for r in found]
     table = F.broadcast(spark.createDataFrame(open_ranges, schema))
     rest = df.select(group, order).join(table, group).filter(F.col(order).between(F.col("lo"), F.col("hi")))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return (
-        rest.withColumn("_rank", rank).filter(F.col("_rank") == F.col("k")).select(group, F.col(order).alias("cut"))
-    )
+    ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    cuts = ranked.filter(F.col("_rank") == F.col("k")).select(group, F.col(order).cast("long").alias("cut"))
+    # one row per group, kept so that later uses do not read the data again
+    return spark.createDataFrame([tuple(r) for r in cuts.collect()], schema.split(", ")[0] + ", cut long")

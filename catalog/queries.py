@@ -385,11 +385,11 @@ def feature_block_view(spark, sf):
 @query
 def gram_cross(spark, sf):
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("flag"), *[F.col(n).cast("decimal(8,2)").alias(n) for n in names]
-    )
-    entries = L.column_gram(lines, [F.col(n) for n in names], ["flag"])
-    return entries.select("flag", "i", "j", F.col("value").cast("double").alias("value"))
+    cents = [F.round(F.col(n) * 100).cast("long").alias(n) for n in names]
+    lines = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), *cents)
+    entries = L.column_gram(lines, [F.col(n) for n in names], ["flag"], whole=True)
+    value = (F.col("value") / F.lit(10000).cast("decimal(5,0)")).cast("double")
+    return entries.select("flag", "i", "j", value.alias("value"))
 
 
 @query
