@@ -95,6 +95,25 @@ def feature_block_view(
     )
 
 
+def spread_blocks(df: DataFrame, num_partitions: int, num_rows: int | None = None) -> DataFrame:
+    """Shuffle rows by ``block_id``; only a block larger than a partition is spread over several.
+
+    How many is decided by its rows, so a partition meets few blocks and no task gets a hot one.
+    """
+    sizes = df.groupBy("block_id").agg(F.count("*").alias("_rows"))
+    n = num_rows if num_rows is not None else sizes.agg(F.sum("_rows")).first()[0] or 0
+    per_part = max(1, -(-n // num_partitions))
+    # blocks above the mean partition size: fewer than there are partitions
+    hot = [(r["block_id"], -(-r["_rows"] // per_part)) for r in sizes.filter(F.col("_rows") > per_part).collect()]
+    if not hot:
+        return df.repartition(num_partitions, "block_id")
+    kind = df.schema["block_id"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(hot, f"block_id {kind}, _parts long")
+    salt = F.pmod(F.xxhash64("row_id", F.lit(7)), F.coalesce("_parts", F.lit(1)))
+    salted = df.join(F.broadcast(table), "block_id", "left").withColumn("_salt", salt)
+    return salted.repartition(num_partitions, "block_id", "_salt").select(*df.columns)
+
+
 def feature_matrix(batch: pa.RecordBatch, name: str = "features") -> np.ndarray:
     """The rows of a batch as a dense matrix, without a copy."""
     column = batch.column(name)
@@ -173,22 +192,20 @@ def pack_chunks(
     max_chunk_bytes: int = MAX_CHUNK_BYTES,
     whole_blocks: bool = False,
     sort: bool = True,
+    num_rows: int | None = None,
 ) -> DataFrame:
     """Pack rows to dense chunks ``<block_id, chunk_id, n, p, X, y, row_ids>``.
 
     ``X`` is the row-major matrix as little-endian doubles. Without a ``block_id`` column
-    the rows stay where they are and all get block 0. With one they are shuffled by block
-    and a hash of the row, so that a large block spreads over many tasks; ``whole_blocks``
-    instead keeps every block in one chunk. Rows are ordered within a partition
+    the rows stay where they are and all get block 0. With one they are shuffled by block,
+    a large block being spread over many tasks; ``whole_blocks`` instead keeps every block
+    in one chunk. Rows are ordered within a partition
     (``sort=False`` saves that where the row order is of no account), which makes the
     chunks the same whenever they are computed again.
     """
     if "block_id" in df.columns:
         parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if whole_blocks:
-            df = df.repartition(parts, "block_id")
-        else:
-            df = df.repartition(parts, "block_id", unit_hash("row_id", seed=7, buckets=parts))
+        df = df.repartition(parts, "block_id") if whole_blocks else spread_blocks(df, parts, num_rows)
         order = ["block_id", "row_id"] if sort else ["block_id"]
     else:
         df = df.withColumn("block_id", F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockfit.functions.arrays import class_margins, collect_sum, dot, row_softmax
-from blockfit.operators.blocks import chunk_matrices
+from blockfit.operators.blocks import chunk_matrices, feature_matrix, spread_blocks
 from blockfit.plans.kernels import scaled_inverse, softmax_terms
 
 # up to here statistics are plain sums over columns
@@ -24,8 +24,10 @@ PARTIALS_LIMIT = 64 << 20
 # partial Gram matrices a task keeps before it hands them on, in bytes
 _HELD_LIMIT = 256 << 20
 
+# statistics of all blocks up to this size are summed where the rows are, in bytes
+_IN_PLACE_LIMIT = 32 << 20
+
 _DOUBLES = pa.list_(pa.float64())
-GRAM_SCHEMA = "block_id long, n long, gram array<double>, cross array<double>, yy double"
 
 
 def vector_sum(df: DataFrame, col: str, by: Sequence[str] = (), fan_in: int | None = None) -> DataFrame:
@@ -81,39 +83,58 @@ def row_gram(df: DataFrame, p: int) -> DataFrame:
     )
 
 
-def _gram_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
+def _chunk_parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    blocks = batch.column("block_id")
+    for i, X, y in chunk_matrices(batch):
+        yield blocks[i].as_py(), X, y
 
-    def out():
-        blocks = sorted(held)
-        stacked = [np.concatenate([[held[b][0], held[b][3]], held[b][2], held[b][1].ravel()]) for b in blocks]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int64()), pa.array(stacked, _DOUBLES)], names=["block_id", "s"]
-        )
 
-    for batch in batches:
-        blocks = batch.column("block_id")
-        for i, X, y in chunk_matrices(batch):
-            b = blocks[i].as_py()
-            if b not in held:
-                if held and (len(held) + 1) * X.shape[1] ** 2 * 8 > _HELD_LIMIT:
-                    yield out()
-                    held = {}
-                held[b] = [0, np.zeros((X.shape[1], X.shape[1])), np.zeros(X.shape[1]), 0.0]
-            h = held[b]
-            h[0] += len(y)
-            h[1] += X.T @ X
-            h[2] += X.T @ y
-            h[3] += float(y @ y)
-    if held:
-        yield out()
+def _row_parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    if batch.num_rows == 0:
+        return
+    X, y = feature_matrix(batch), np.asarray(batch.column("label"))
+    blocks = np.asarray(batch.column("block_id"))
+    if (blocks == blocks[0]).all():
+        yield int(blocks[0]), X, y
+        return
+    order = np.argsort(blocks, kind="stable")
+    edges = np.flatnonzero(np.diff(blocks[order])) + 1
+    for rows in np.split(order, edges):
+        yield int(blocks[rows[0]]), X[rows], y[rows]
 
 
-def chunk_gram(chunks: DataFrame, p: int) -> DataFrame:
-    """Gram statistics of packed chunks per ``block_id``."""
-    partials = chunks.select("block_id", "p", "X", "y").mapInArrow(
-        _gram_partials, "block_id long, s array<double>"
-    )
+def _gram_partials(parts_of: Callable) -> Callable:
+    """Kernel: per partition and block ``[n, yy, cross.., gram..]``; few are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def out():
+            blocks = sorted(held)
+            stacked = [np.concatenate([[held[b][0], held[b][3]], held[b][2], held[b][1].ravel()]) for b in blocks]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array(stacked, _DOUBLES)], names=["block_id", "s"]
+            )
+
+        for batch in batches:
+            for b, X, y in parts_of(batch):
+                if b not in held:
+                    if held and (len(held) + 1) * X.shape[1] ** 2 * 8 > _HELD_LIMIT:
+                        yield out()
+                        held = {}
+                    held[b] = [0, np.zeros((X.shape[1], X.shape[1])), np.zeros(X.shape[1]), 0.0]
+                h = held[b]
+                h[0] += len(y)
+                h[1] += X.T @ X
+                h[2] += X.T @ y
+                h[3] += float(y @ y)
+        if held:
+            yield out()
+
+    return run
+
+
+def _gram_table(partials: DataFrame, p: int) -> DataFrame:
     s = F.col("s")
     return vector_sum(partials, "s", ["block_id"]).select(
         "block_id",
@@ -124,17 +145,32 @@ def chunk_gram(chunks: DataFrame, p: int) -> DataFrame:
     )
 
 
-def gram(data: DataFrame, p: int) -> DataFrame:
-    """``<block_id, n, gram, cross, yy>``: A'A row-major, A'b and b'b per block, of chunks or rows."""
+def chunk_gram(chunks: DataFrame, p: int) -> DataFrame:
+    """Gram statistics of packed chunks per ``block_id``."""
+    source = chunks.select("block_id", "p", "X", "y")
+    return _gram_table(source.mapInArrow(_gram_partials(_chunk_parts), "block_id long, s array<double>"), p)
+
+
+def gram(data: DataFrame, p: int, num_blocks: int | None = None) -> DataFrame:
+    """``<block_id, n, gram, cross, yy>``: A'A row-major, A'b and b'b per block, of chunks or rows.
+
+    Rows stay where they are while the statistics of ``num_blocks`` blocks are smaller
+    than a partition of rows; else the rows are shuffled by block first.
+    """
     if "X" in data.columns:
         return chunk_gram(data, p)
     if "block_id" not in data.columns:
-        data = data.withColumn("block_id", F.lit(0))
+        data, num_blocks = data.withColumn("block_id", F.lit(0)), 1
     if p <= SMALL_WIDTH:
         return row_gram(data, p)
-    from blockfit.operators.blocks import pack_chunks
-
-    return chunk_gram(pack_chunks(data, sort=False), p)
+    if num_blocks is None or num_blocks * p * p * 8 > _IN_PLACE_LIMIT:
+        data = spread_blocks(data, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = data.select(
+        F.col("block_id").cast("long").alias("block_id"),
+        F.col("label").cast("double").alias("label"),
+        F.col("features").cast("array<double>").alias("features"),
+    )
+    return _gram_table(rows.mapInArrow(_gram_partials(_row_parts), "block_id long, s array<double>"), p)
 
 
 def cross(data: DataFrame, p: int) -> DataFrame:
@@ -198,9 +234,7 @@ def softmax_sums(df: DataFrame, W: np.ndarray) -> DataFrame:
     p, k = W.shape
     if "X" not in df.columns:
         if W.size > SMALL_WIDTH**2:
-            from blockfit.operators.blocks import pack_chunks
-
-            return softmax_sums(pack_chunks(df, sort=False), W)
+            return _softmax_table(_plain_rows(df).mapInArrow(softmax_row_partials(W), "s array<double>"), W)
         rows = softmax(margins(df.select("label", "features"), W))
         y = F.col("label").cast("int")
         s = F.col("softmax")
@@ -213,20 +247,40 @@ def softmax_sums(df: DataFrame, W: np.ndarray) -> DataFrame:
         ]
         return rows.agg(F.count("*").alias("n"), loss.alias("loss"), F.array(*flat).alias("gradient"))
 
-    partials = df.select("p", "X", "y").mapInArrow(softmax_partials(W), "s array<double>")
+    return _softmax_table(df.select("p", "X", "y").mapInArrow(softmax_partials(W), "s array<double>"), W)
+
+
+def _plain_rows(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("label").cast("double").alias("label"), F.col("features").cast("array<double>").alias("features")
+    )
+
+
+def _softmax_table(partials: DataFrame, W: np.ndarray) -> DataFrame:
     s = F.col("s")
     return vector_sum(partials, "s").select(
-        s[0].cast("long").alias("n"), s[1].alias("loss"), F.slice(s, F.lit(3), F.lit(p * k)).alias("gradient")
+        s[0].cast("long").alias("n"), s[1].alias("loss"), F.slice(s, F.lit(3), F.lit(W.size)).alias("gradient")
     )
 
 
-def softmax_partials(W: np.ndarray) -> Callable:
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(X, y)`` of a batch of rows."""
+    if batch.num_rows:
+        yield feature_matrix(batch), np.asarray(batch.column("label"))
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, X, y in chunk_matrices(batch):
+        yield X, y
+
+
+def softmax_partials(W: np.ndarray, parts_of: Callable = _chunks) -> Callable:
     """Kernel: one ``[n, loss, gradient..]`` per partition of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 + W.size)
         for batch in batches:
-            for _, X, y in chunk_matrices(batch):
+            for X, y in parts_of(batch):
                 g, loss = softmax_terms(X, y.astype(np.int64), W)
                 total[0] += len(y)
                 total[1] += loss
@@ -236,6 +290,11 @@ def softmax_partials(W: np.ndarray) -> Callable:
     return run
 
 
+def softmax_row_partials(W: np.ndarray) -> Callable:
+    """The same kernel for unpacked rows."""
+    return softmax_partials(W, _matrices)
+
+
 def softmax_gradient(df: DataFrame, W: np.ndarray, scale: str = "sum", num_blocks: int = 1) -> DataFrame:
     """``<feature_idx, class_idx, value>``: A'(softmax - Y) as sum, mean, or scaled by ``N / n``."""
     factor = {"sum": F.lit(1.0), "mean": 1.0 / F.col("n"), "block": F.lit(float(num_blocks)) / F.col("n")}[scale]
@@ -287,22 +346,20 @@ def ls_gradient(df: DataFrame, w: np.ndarray) -> DataFrame:
         total = df.withColumn("_e", error).agg(
             F.array(*[F.sum(F.col("features")[i] * F.col("_e")) for i in range(p)]).alias("g")
         )
-    else:
-        if "X" not in df.columns:
-            from blockfit.operators.blocks import pack_chunks
-
-            df = pack_chunks(df, sort=False)
+    elif "X" in df.columns:
         total = vector_sum(df.select("p", "X", "y").mapInArrow(ls_partials(w), "g array<double>"), "g")
+    else:
+        total = vector_sum(_plain_rows(df).mapInArrow(ls_partials(w, _matrices), "g array<double>"), "g")
     return total.select(F.posexplode("g").alias("feature_idx", "value"))
 
 
-def ls_partials(w: np.ndarray) -> Callable:
+def ls_partials(w: np.ndarray, parts_of: Callable = _chunks) -> Callable:
     """Kernel: one gradient sum per partition of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(w))
         for batch in batches:
-            for _, X, y in chunk_matrices(batch):
+            for X, y in parts_of(batch):
                 total += X.T @ (X @ w - y)
         yield pa.RecordBatch.from_arrays([pa.array([total], _DOUBLES)], names=["g"])
 

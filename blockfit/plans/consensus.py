@@ -237,7 +237,7 @@ def consensus_lasso(
     """
     params = dict(lam=lam, rho=rho, num_blocks=num_blocks, max_iter=max_iter, tol=tol)
     p = num_features(df)
-    blocks = gram(_blocked(df, num_blocks, block_by), p)
+    blocks = gram(_blocked(df, num_blocks, block_by), p, num_blocks)
     held = num_blocks * (p * p + 3 * p) * 8 <= stats_limit
     problem = (_LassoHeld if held else _LassoTable)(blocks, p, num_blocks, lam, rho)
     with fixed_plans(df.sparkSession, problem.parts):
@@ -276,7 +276,8 @@ def block_gradients(chunks: DataFrame, states: np.ndarray, parts: int) -> np.nda
         return _gradient_partials(shared.value)(batches)
 
     partials = chunks.select("block_id", "p", "X", "y").mapInArrow(run, "block_id long, g array<double>")
-    if parts * states.nbytes > PARTIALS_LIMIT:
+    # a partition meets few blocks: together about one partial per block and partition
+    if (parts + len(states)) * states[0].nbytes > PARTIALS_LIMIT:
         partials = vector_sum(partials, "g", ["block_id"])
     table = partials.toArrow()
     out = np.zeros_like(states)
@@ -434,7 +435,9 @@ def consensus_smlr(
     if whole:
         # local steps are all the work, so a block per task if the session has the partitions
         parts = max(parts, min(num_blocks, _shuffle_partitions(df)))
-    chunks = pack_chunks(rows, parts, max_block_bytes if whole else MAX_CHUNK_BYTES, whole_blocks=whole)
+    chunks = pack_chunks(
+        rows, parts, max_block_bytes if whole else MAX_CHUNK_BYTES, whole_blocks=whole, num_rows=num_rows
+    )
     if held:
         problem = _SparseHeld(
             chunks.persist(_KEEP), parts, shape, num_blocks, lam, rho, alpha, local_steps, consensus, whole
@@ -570,7 +573,7 @@ def umlr_consensus(
     rows, classes, num_rows = indexed(_blocked(df, num_blocks, block_by))
     shape = (num_features(rows), len(classes))
     parts = partition_count(spark, num_rows * shape[0] * 8, MAX_CHUNK_BYTES)
-    chunks = pack_chunks(rows, parts).persist(_KEEP)
+    chunks = pack_chunks(rows, parts, num_rows=num_rows).persist(_KEEP)
     found, last = chunks.agg(F.count_distinct("block_id"), F.max("block_id")).first()
     _require_blocks(found, num_blocks)
     held = 3 * num_blocks * shape[0] * shape[1] * 8 <= stats_limit and last < num_blocks

@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from blockfit.model import Model
-from blockfit.operators.blocks import feature_matrix, pack_chunks
+from blockfit.operators.blocks import pack_chunks
 from blockfit.operators.linalg import (
     driver_sum,
     gram,
     ls_partials,
     softmax_partials,
+    softmax_row_partials,
     umlr_penalty,
 )
-from blockfit.plans.kernels import AdamMoments, softmax_terms, uncorrelated_coefficients
+from blockfit.plans.kernels import AdamMoments, uncorrelated_coefficients
 from blockfit.plans.rounds import STATS_LIMIT, indexed, num_features
 from blockfit.session import fixed_plans
 
-_DOUBLES = pa.list_(pa.float64())
 _KEEP = StorageLevel.MEMORY_AND_DISK
 
 
@@ -169,23 +168,6 @@ def consecutive_batch(df: DataFrame, b: int, step: int = 0, num_rows: int | None
     return df.filter((F.col("row_id") >= start) & (F.col("row_id") < start + b))
 
 
-def _row_partials(W: np.ndarray) -> Callable:
-    """Kernel: one ``[n, loss, gradient..]`` per partition of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 + W.size)
-        for batch in batches:
-            if batch.num_rows:
-                X, y = feature_matrix(batch), np.asarray(batch.column("label")).astype(np.int64)
-                g, loss = softmax_terms(X, y, W)
-                total[0] += len(y)
-                total[1] += loss
-                total[2:] += g.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([total], _DOUBLES)], names=["s"])
-
-    return run
-
-
 class _Rule:
     """Update rules of the minibatch trainer; the step is subtracted from the weights."""
 
@@ -257,7 +239,7 @@ def umlr_minibatch(
                     picked = consecutive_batch(cached, batch_size, t, n)
                 elif not full:
                     picked = sample_batch(cached, batch_size, t, seed, n)
-                partials = picked.select("label", "features").mapInArrow(_row_partials(W), "s array<double>")
+                partials = picked.select("label", "features").mapInArrow(softmax_row_partials(W), "s array<double>")
             b, loss, g = _sums(partials, parts, W)
             penalty = umlr_penalty(W, reg, eta)
             g = g / b + reg * W + eta * W * uncorrelated_coefficients(W)
