@@ -269,13 +269,10 @@ def _gradient_partials(states: np.ndarray):
 
 def block_gradients(chunks: DataFrame, states: np.ndarray, parts: int) -> np.ndarray:
     """``A_i' (softmax(A_i x_i) - Y_i)`` of every block, in one pass over chunks in ``parts`` partitions."""
-    spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(states)
-
-    def run(batches):
-        return _gradient_partials(shared.value)(batches)
-
-    partials = chunks.select("block_id", "p", "X", "y").mapInArrow(run, "block_id long, g array<double>")
+    # Spark itself broadcasts a kernel that carries more than a megabyte
+    partials = chunks.select("block_id", "p", "X", "y").mapInArrow(
+        _gradient_partials(states), "block_id long, g array<double>"
+    )
     # a partition meets few blocks: together about one partial per block and partition
     if (parts + len(states)) * states[0].nbytes > PARTIALS_LIMIT:
         partials = vector_sum(partials, "g", ["block_id"])
@@ -283,7 +280,6 @@ def block_gradients(chunks: DataFrame, states: np.ndarray, parts: int) -> np.nda
     out = np.zeros_like(states)
     for b, g in zip(table["block_id"].to_pylist(), table["g"]):
         out[b] += np.asarray(g.values).reshape(states.shape[1:])
-    shared.destroy()
     return out
 
 
@@ -314,12 +310,9 @@ class _SparseHeld(_HeldStates):
             for _ in range(self.steps):
                 x -= adam.step(block_gradients(self.chunks, x, self.parts) + self.rho * (x - self.z + self.u))
             return x
-        spark = self.chunks.sparkSession
-        shared = spark.sparkContext.broadcast((self.x, self.u, self.z))
-        rho, alpha, steps = self.rho, self.alpha, self.steps
+        xs, us, z, rho, alpha, steps = self.x, self.u, self.z, self.rho, self.alpha, self.steps
 
         def run(batches):
-            xs, us, z = shared.value
             for batch in batches:
                 ids = batch.column("block_id").to_pylist()
                 new = [
@@ -335,7 +328,6 @@ class _SparseHeld(_HeldStates):
         x = np.zeros_like(self.x)
         for b, v in zip(table["block_id"].to_pylist(), table["x"]):
             x[b] = np.asarray(v.values).reshape(x.shape[1:])
-        shared.destroy()
         return x
 
     def advance(self) -> None:
