@@ -95,23 +95,27 @@ def feature_block_view(
     )
 
 
-def spread_blocks(df: DataFrame, num_partitions: int, num_rows: int | None = None) -> DataFrame:
+def spread_blocks(df: DataFrame, num_partitions: int | None = None, num_rows: int | None = None) -> DataFrame:
     """Shuffle rows by ``block_id``; only a block larger than a partition is spread over several.
 
     How many is decided by its rows, so a partition meets few blocks and no task gets a hot one.
+    Without ``num_partitions`` the session decides, and adaptive execution may merge small ones.
     """
+    fixed = () if num_partitions is None else (num_partitions,)
+    if num_partitions is None:
+        num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = df.groupBy("block_id").agg(F.count("*").alias("_rows"))
     n = num_rows if num_rows is not None else sizes.agg(F.sum("_rows")).first()[0] or 0
     per_part = max(1, -(-n // num_partitions))
     # blocks above the mean partition size: fewer than there are partitions
     hot = [(r["block_id"], -(-r["_rows"] // per_part)) for r in sizes.filter(F.col("_rows") > per_part).collect()]
     if not hot:
-        return df.repartition(num_partitions, "block_id")
+        return df.repartition(*fixed, "block_id")
     kind = df.schema["block_id"].dataType.simpleString()
     table = df.sparkSession.createDataFrame(hot, f"block_id {kind}, _parts long")
     salt = F.pmod(F.xxhash64("row_id", F.lit(7)), F.coalesce("_parts", F.lit(1)))
     salted = df.join(F.broadcast(table), "block_id", "left").withColumn("_salt", salt)
-    return salted.repartition(num_partitions, "block_id", "_salt").select(*df.columns)
+    return salted.repartition(*fixed, "block_id", "_salt").select(*df.columns)
 
 
 def feature_matrix(batch: pa.RecordBatch, name: str = "features") -> np.ndarray:
@@ -204,8 +208,8 @@ def pack_chunks(
     chunks the same whenever they are computed again.
     """
     if "block_id" in df.columns:
-        parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(parts, "block_id") if whole_blocks else spread_blocks(df, parts, num_rows)
+        fixed = () if num_partitions is None else (num_partitions,)
+        df = df.repartition(*fixed, "block_id") if whole_blocks else spread_blocks(df, num_partitions, num_rows)
         order = ["block_id", "row_id"] if sort else ["block_id"]
     else:
         df = df.withColumn("block_id", F.lit(0))

@@ -164,7 +164,7 @@ def gram(data: DataFrame, p: int, num_blocks: int | None = None) -> DataFrame:
     if p <= SMALL_WIDTH:
         return row_gram(data, p)
     if num_blocks is None or num_blocks * p * p * 8 > _IN_PLACE_LIMIT:
-        data = spread_blocks(data, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        data = spread_blocks(data)
     rows = data.select(
         F.col("block_id").cast("long").alias("block_id"),
         F.col("label").cast("double").alias("label"),
