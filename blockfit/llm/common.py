@@ -7,6 +7,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,3 +168,29 @@ def running_sums(
         .withColumn(out, F.col("_within") + F.col("_offset"))
         .drop("_part", "_within", "_offset")
     )
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``max_bytes`` of text each; a longer text is a part of its own."""
+    lengths = pa.compute.binary_length(column_of(batch, text)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths) // max_bytes
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(starts[:-1], starts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps; the first column of ``x`` is all ones."""
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-9
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + penalty * w
+        hess = (x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(penalty)
+        step = np.linalg.solve(hess, grad)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return w

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockfit.llm.common import crc_mod
+from blockfit.llm.langid import predict_language
 from blockfit.llm.mixing import mix_sources
 from blockfit.llm.packing import pack_documents
 from blockfit.llm.quality import quality_rules
+from blockfit.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +26,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    found = predict_language(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_toxicity(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = crc_mod("doc_id", 3) == 1
+    found = toxicity(docs, labels, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_source_mix(spark, sf):
     return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
