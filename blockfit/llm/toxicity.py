@@ -1,9 +1,9 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text, over shared backoff counts.
 
-Levels, from the most special: word after word (class counts), word (class continuation counts: in
-how many contexts it occurs), stem, i.e. the first letters of a word (class counts), and stem counts
-over all documents, which both classes share. Absolute discounting links the levels. Words, stems and
-pairs live in hashed tables of fixed size, so a model has the same size for every corpus.
+Levels, from the most special: a word after another (class counts), a word (class continuation
+counts: after how many words it occurs), a stem, i.e. the first letters of a word (class counts), and
+stem counts over all documents, which both classes share. Absolute discounting links the levels.
+Words, stems and pairs live in hashed tables of fixed size, so a model is as large for every corpus.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 
 from blockfit.llm.common import WordIds, column_of, hash_bytes, logistic_fit, slices, stored
 
-WORD_BITS, PAIR_BITS, STEM_LETTERS, DISCOUNT = 20, 20, 4, 0.75
+WORD_BITS, PAIR_BITS, STEM_LETTERS, DISCOUNT = 20, 20, 4, 0.9
 _LETTERS = re.compile(r"[^\W_]+")
 _U = np.uint64
-_KINDS = {"pair": 0, "type": 1, "stem": 2, "shared": 3}
+_KINDS = {"pair": 0, "stem": 1, "shared": 2}
 
 
 def score_words(text: str | None) -> list[bytes]:
@@ -79,17 +79,16 @@ _COUNTS = T.StructType(
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of labelled texts: pairs, (stem, word) types and stems with the counts of either class."""
+    """Of labelled texts: pairs and stems with the counts of either class."""
     words_of = WordIds(_derive)
     for batch in (s for b in batches for s in slices(b)):
-        found: dict[int, list] = {k: [] for k in (0, 1, 2)}
+        found: dict[int, list] = {k: [] for k in (0, 1)}
         marks = []
         for text, toxic in zip(column_of(batch, "text"), column_of(batch, "toxic").to_pylist()):
             ids = words_of(score_words(text.as_py()))
             word, stem = words_of.values["word"][ids], words_of.values["stem"][ids]
             found[0].append(pair_keys(word))
-            found[1].append((stem.astype(_U) << _U(44)) | word)
-            found[2].append(stem.astype(_U))
+            found[1].append(stem.astype(_U))
             marks.append(np.full(len(ids), bool(toxic)))
         mark = np.concatenate(marks)
         for kind, parts in found.items():
@@ -116,25 +115,32 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class ToxicityModel:
     """Tables by bucket with two columns, toxic and ordinary, and the weights of the calibration."""
 
-    pair: np.ndarray  # class counts of word pairs
-    context: np.ndarray  # class counts of the word before
-    followers: np.ndarray  # different words after it
+    pair_key: np.ndarray  # the pair that a bucket holds
+    pair: np.ndarray  # its discounted probability by class
+    pair_count: np.ndarray  # its count in both classes
+    pair_rest: np.ndarray  # mass left for the word alone
     word: np.ndarray  # discounted continuation probability of a word
+    word_count: np.ndarray  # its count in both classes
     word_rest: np.ndarray  # mass left for its stem
-    stem: np.ndarray  # probability of a stem, by class, shared counts mixed in
-    types: np.ndarray  # different words of a stem
+    stem: np.ndarray  # probability of a stem by class, shared counts mixed in
+    stem_count: np.ndarray  # its count in both classes
     weights: np.ndarray
 
     def ratios(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        """Log of the toxic over the ordinary probability of each word of a text."""
+        """Log of the toxic over the ordinary probability of each word, and the word before, of a text.
+
+        How a word divides its stem and a pair its word is the same for both classes.
+        """
         if not len(word):
             return np.zeros(0)
-        keys = pair_keys(word)
-        before = (keys >> _U(44)).astype(np.int64)
-        single = self.word[word_bucket(word)] + self.word_rest * self.stem[stem] / self.types[stem][:, None]
-        seen = self.context[before]
-        full = np.maximum(self.pair[pair_bucket(keys)] - DISCOUNT, 0) + DISCOUNT * self.followers[before] * single
-        prob = np.where(seen > 0, full / np.maximum(seen, 1), single)
+        keys, here = pair_keys(word), word_bucket(word)
+        slot = pair_bucket(keys)
+        count = self.word_count[here]
+        of_stem = np.where(count > 0, count / np.maximum(self.stem_count[stem], 1), 1.0)
+        single = self.word[here] + self.word_rest * self.stem[stem] * of_stem[:, None]
+        known = self.pair_key[slot] == keys
+        of_word = np.where(known, self.pair_count[slot] / np.maximum(count, 1), 1.0)
+        prob = self.pair[slot] * known[:, None] + self.pair_rest * single * of_word[:, None]
         return np.log(prob[:, 0]) - np.log(prob[:, 1])
 
 
@@ -203,42 +209,49 @@ def fit_toxicity(
     )
     shared = docs.select("text").mapInArrow(_shared_counts, _COUNTS).groupBy("key").agg(F.sum("toxic").alias("n"))
 
-    pairs, top = counts.where(F.col("kind") == _KINDS["pair"]), 1 << WORD_BITS
-    one = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
-    many = lambda c: F.sum(c).alias(c)
-    word = F.shiftright("key", 44 - WORD_BITS).bitwiseAND(top - 1)
-    before = F.shiftrightunsigned("key", 44)
-    # a pair met once has no count left after discounting, so its bucket is of no use
-    repeated = pairs.where(F.col("toxic") + F.col("ordinary") > 1)
-    tables = {
-        "pair": (1 << PAIR_BITS, repeated.groupBy(_pair_slot(F.col("key")).alias("slot")).agg(many("toxic"), many("ordinary"))),
-        "word": (top, pairs.groupBy(word.alias("slot")).agg(one("toxic"), one("ordinary"))),
-        "context": (top, pairs.groupBy(before.alias("slot")).agg(many("toxic"), many("ordinary"))),
-        "followers": (top, pairs.groupBy(before.alias("slot")).agg(one("toxic"), one("ordinary"))),
-        "stem": (top, counts.where(F.col("kind") == _KINDS["stem"]).select(F.col("key").alias("slot"), "toxic", "ordinary")),
-        "types": (
-            top,
-            counts.where(F.col("kind") == _KINDS["type"])
-            .groupBy(before.alias("slot"))
-            .agg(F.count("*").alias("toxic"), F.lit(0).alias("ordinary")),
-        ),
-        "shared": (top, shared.select(F.col("key").alias("slot"), F.col("n").alias("toxic"), F.lit(0).alias("ordinary"))),
-    }
-    dense = {name: _dense(size, rows) for name, (size, rows) in tables.items()}
-    total = np.maximum(dense["word"].sum(axis=0), 1)
-    kinds = (dense["word"] > 0).sum(axis=0)
-    everywhere = dense["shared"][:, :1] + 1.0
-    everywhere /= everywhere.sum()
-    stems = np.maximum(dense["stem"].sum(axis=0), 1)
-    left = np.maximum(DISCOUNT * (dense["stem"] > 0).sum(axis=0) / stems, 1e-6)
+    def table(rows: DataFrame, slot: Column, toxic: Column | str, ordinary: Column | str) -> np.ndarray:
+        return _dense(rows.groupBy(slot.alias("slot")).agg(F.sum(toxic).alias("toxic"), F.sum(ordinary).alias("ordinary")))
+
+    pairs = counts.where(F.col("kind") == _KINDS["pair"])
+    stems = counts.where(F.col("kind") == _KINDS["stem"])
+    word = F.shiftright("key", 44 - WORD_BITS).bitwiseAND((1 << WORD_BITS) - 1)
+    seen = [(F.col(c) > 0).cast("long") for c in ("toxic", "ordinary")]
+    continued = table(pairs, word, *seen)
+    word_count = table(pairs, word, "toxic", "ordinary").sum(axis=1)
+    stem = table(stems, F.col("key"), "toxic", "ordinary")
+    everywhere = table(shared, F.col("key"), "n", F.lit(0))[:, :1] + 1.0
+    word_part, word_rest = _discounted(continued)
+    stem_part, stem_rest = _discounted(stem)
+    # of the pairs in a bucket the most frequent stays; the others are scored by their words
+    both = (F.col("toxic") + F.col("ordinary")).alias("n")
+    held = (
+        pairs.groupBy(_pair_slot(F.col("key")).alias("slot"))
+        .agg(
+            F.max(F.struct(both, "key", "toxic", "ordinary")).alias("best"),
+            *[F.sum(c).alias(f"all_{k}") for k, c in enumerate(seen)],
+            *[F.sum(c).alias(f"total_{k}") for k, c in enumerate(("toxic", "ordinary"))],
+        )
+        .select("slot", "best.key", F.col("best.toxic").alias("toxic"), F.col("best.ordinary").alias("ordinary"), "all_0", "all_1", "total_0", "total_1")
+        .toArrow()
+    )
+    column = lambda c: held.column(c).to_numpy()
+    slot = column("slot")
+    pair_key = np.zeros(1 << PAIR_BITS, _U)
+    pair_key[slot] = column("key").view(_U)
+    pair = np.zeros((1 << PAIR_BITS, 2))
+    pair[slot] = np.stack([column("toxic"), column("ordinary")], axis=1)
+    types = np.array([column("all_0").sum(), column("all_1").sum()], float)
+    totals = np.maximum(np.array([column("total_0").sum(), column("total_1").sum()], float), 1)
     model = ToxicityModel(
-        pair=dense["pair"].astype(np.float32),
-        context=dense["context"].astype(np.float32),
-        followers=dense["followers"].astype(np.float32),
-        word=(np.maximum(dense["word"] - DISCOUNT, 0) / total).astype(np.float32),
-        word_rest=np.maximum(DISCOUNT * kinds / total, 1e-6),
-        stem=np.maximum(dense["stem"] - DISCOUNT, 0) / stems + left * everywhere,
-        types=np.maximum(dense["types"][:, 0], 1),
+        pair_key=pair_key,
+        pair=(np.maximum(pair - DISCOUNT, 0) / totals).astype(np.float32),
+        pair_count=pair.sum(axis=1).astype(np.float32),
+        pair_rest=np.maximum(DISCOUNT * types / totals, 1e-6),
+        word=word_part.astype(np.float32),
+        word_count=word_count.astype(np.float32),
+        word_rest=word_rest,
+        stem=stem_part + stem_rest * everywhere / everywhere.sum(),
+        stem_count=stem.sum(axis=1),
         weights=np.zeros(4),
     )
     sample = marked.where(calibrates).orderBy("_order", "doc_id").limit(max_calibration)
@@ -251,10 +264,17 @@ def fit_toxicity(
     return model
 
 
-def _dense(size: int, rows: DataFrame) -> np.ndarray:
-    """The table of at most ``size`` buckets, on the driver."""
-    got = rows.select(F.col("slot").cast("int"), F.col("toxic").cast("int"), F.col("ordinary").cast("int")).toArrow()
-    out = np.zeros((size, 2))
+def _discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities after absolute discounting, by class, and the mass that this leaves."""
+    total = np.maximum(counts.sum(axis=0), 1)
+    left = DISCOUNT * (counts > 0).sum(axis=0) / total
+    return np.maximum(counts - DISCOUNT, 0) / total, np.maximum(left, 1e-6)
+
+
+def _dense(rows: DataFrame) -> np.ndarray:
+    """The table of 2^20 buckets or fewer ``<slot, toxic, ordinary>``, on the driver."""
+    got = rows.select(*[F.col(c).cast("int") for c in ("slot", "toxic", "ordinary")]).toArrow()
+    out = np.zeros((1 << WORD_BITS, 2))
     for k, name in enumerate(("toxic", "ordinary")):
         out[got.column("slot").to_numpy(), k] = got.column(name).to_numpy()
     return out
