@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockfit.llm.common import crc_mod
 from blockfit.llm.langid import predict_language
+from blockfit.llm.minhash import near_duplicates
 from blockfit.llm.mixing import mix_sources
 from blockfit.llm.packing import pack_documents
 from blockfit.llm.quality import quality_rules
@@ -34,6 +35,11 @@ def op1_language_id(spark, sf):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_minhash_dedup(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op3_toxicity(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
