@@ -12,6 +12,7 @@ from blockfit.llm.minhash import near_duplicates
 from blockfit.llm.mixing import mix_sources
 from blockfit.llm.packing import pack_documents
 from blockfit.llm.quality import quality_rules
+from blockfit.llm.suffix import remove_repeats
 from blockfit.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,9 @@ def op6_quality_rules(spark, sf):
 @query
 def op8_best_fit_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark, sf):
+    found = remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
