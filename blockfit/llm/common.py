@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +65,9 @@ class WordIds:
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """Positions of ``words`` in ``values``; call :meth:`fresh` between batches."""
         ids = self.ids
-        for w in set(words).difference(ids):
-            ids[w] = len(ids)
+        new = list(set(words).difference(ids))
+        ids.update(zip(new, range(len(ids), len(ids) + len(new))))
         out = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        new = list(islice(ids, self.filled, None))
         if new or not self.values:
             for name, got in self.derive(new).items():
                 room = self.values.get(name)
