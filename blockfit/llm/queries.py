@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockfit.llm.common import crc_mod
 from blockfit.llm.langid import predict_language
 from blockfit.llm.minhash import near_duplicates
 from blockfit.llm.mixing import mix_sources
+from blockfit.llm.neighbours import nearest
 from blockfit.llm.packing import pack_documents
 from blockfit.llm.quality import quality_rules
 from blockfit.llm.suffix import remove_repeats
@@ -102,3 +104,9 @@ def op8_best_fit_packing(spark, sf):
 def op10_suffix_dedup(spark, sf):
     found = remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op9_nearest_neighbours(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
