@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from blockfit.llm.common import crc_mod
 from blockfit.llm.langid import predict_language
+from blockfit.llm.extraction import main_text
+from blockfit.llm.lines import remove_repeated_units
 from blockfit.llm.minhash import near_duplicates
 from blockfit.llm.mixing import mix_sources
 from blockfit.llm.neighbours import nearest
@@ -110,3 +112,34 @@ def op10_suffix_dedup(spark, sf):
 def op9_nearest_neighbours(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op5_html_text(spark, sf):
+    return main_text(table(spark, sf, "pages"))
+
+
+@query
+def op7_line_dedup(spark, sf):
+    found = remove_repeated_units(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_units", "n_removed", "removed_chars", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
+ORACLES["op7_line_dedup"] = r"""
+WITH u AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents
+), e AS (
+  SELECT doc_id, unnest(units) AS unit, unnest(range(len(units))) AS place FROM u
+), n AS (
+  SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain,
+         len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) >= 10 AS counted
+  FROM e
+), r AS (
+  SELECT *, counted AND row_number() OVER (PARTITION BY counted, plain ORDER BY doc_id, place) > 1 AS gone FROM n
+)
+SELECT doc_id, count(*) AS n_units, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,
+       CAST(sum(CASE WHEN gone THEN length(unit) ELSE 0 END) AS BIGINT) AS removed_chars,
+       md5(coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM r GROUP BY doc_id
+"""
