@@ -60,26 +60,10 @@ def source_targets(
     return weighted.withColumn("target", target).drop("_part", "_place", "_weight", "_limit")
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (3, 1, 2),
-    share: float = 1.5,
-    max_repeats: float = 2.0,
-    seed: str = "mix",
-    carry: tuple[str, ...] = (),
+def _mixed(
+    docs: DataFrame, weights: tuple[float, ...], share: float, max_repeats: float, seed: str, carry: tuple[str, ...]
 ) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    Every document gets a key from a hash of its id and ``seed``; rows are range-sorted by key
-    within their source, prefix sums of the sizes are taken over all partitions, and each source
-    is cut exactly at its target (rounded to whole words): whole epochs first, then the documents
-    in key order, of which the last is taken in part.
-
-    Returns ``doc_id, source, size, source_size, target, taken`` and the columns named in
-    ``carry``. Null and empty texts have size 0 and take 0; a null source is a source of its own,
-    the last; repeated rows are rows of their own; an empty table gives an empty result; columns
-    other than ``doc_id, text, source`` and ``carry`` are ignored, whatever their names.
-    """
+    """The mix, with the columns ``carry`` as a struct ``_carried``."""
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"#{seed}"))
     key = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10)
     rows = docs.select(
@@ -103,24 +87,51 @@ def mix_sources(
         "source_size",
         "target",
         (whole * F.col("size") + part).cast("long").alias("taken"),
-        *[F.col("_carried")[c].alias(c) for c in carry if c not in ("doc_id", "source")],
+        *(["_carried"] if carry else []),
     )
 
 
-def take_mix(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    max_repeats: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    Every document gets a key from a hash of its id and ``seed``; rows are range-sorted by key
+    within their source, prefix sums of the sizes are taken over all partitions, and each source
+    is cut exactly at its target (rounded to whole words): whole epochs first, then the documents
+    in key order, of which the last is taken in part.
+
+    Returns ``doc_id, source, size, source_size, target, taken``. Null and empty texts have size 0
+    and take 0; a null source is a source of its own, the last; repeated rows are rows of their own;
+    an empty table gives an empty result; other columns are ignored, whatever their names.
+    """
+    return _mixed(docs, weights, share, max_repeats, seed, ())
+
+
+def take_mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    max_repeats: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as it takes them, with their own columns.
 
     A document taken twice gives two rows; the one that is cut at its source's budget gives a row
     with the words up to the cut. Documents without words are no training data and take no part.
     """
     columns = docs.columns
-    mixed = mix_sources(docs, carry=tuple(columns), **options)
+    mixed = _mixed(docs, weights, share, max_repeats, seed, tuple(columns))
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    left = F.col("taken") - F.col("_copy") * F.col("size")
     repeated = mixed.where(copies > 0).withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int")))
     )
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    left, text = F.col("taken") - F.col("_copy") * F.col("size"), F.col("_carried.text")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
     head = F.array_join(F.slice(words, 1, left.cast("int")), "")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(head)
-    return repeated.withColumn("text", text).select(*columns)
+    cut = F.when(left >= F.col("size"), text).otherwise(head)
+    return repeated.select(*[cut.alias(c) if c == "text" else F.col(f"_carried.{c}").alias(c) for c in columns])

@@ -345,12 +345,15 @@ def _tag() -> Column:
     return F.shiftright("place", 10).bitwiseAND(0xFFFF)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), with_text: bool = False
+) -> DataFrame:
     """Every row with the bytes removed that a repeated string of ``length`` bytes covers.
 
     A string is repeated if it also starts earlier: in a document of smaller ``doc_id``, or before
     in the same one. Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (removed
-    ranges as byte offsets of the input), ``kept`` (the remaining bytes) and ``carry``.
+    ranges as byte offsets of the input), ``kept`` (the remaining bytes) and ``carry``; or, with
+    ``with_text``, the remaining ``text`` instead of ``kept``, without characters cut in the middle.
 
     A null text counts as empty; texts shorter than ``length`` lose nothing. Rows with the same
     ``doc_id`` are one document and do not repeat each other; a null id comes after all others. Extra
@@ -380,11 +383,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
             *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
             T.StructField("kept_sha256", T.StringType()),
             T.StructField("spans", T.ArrayType(span)),
-            T.StructField("kept", T.BinaryType()),
+            T.StructField("text", T.StringType()) if with_text else T.StructField("kept", T.BinaryType()),
         ]
     )
     extra = T.StructType([*schema.fields, T.StructField("carried", source.schema["carried"].dataType)])
 
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -403,10 +408,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
                         len(spans),
                         hashlib.sha256(left).hexdigest(),
                         [{"start": a, "end": b} for a, b in spans],
-                        left,
+                        left.decode("utf-8", "ignore") if with_text else left,
                     )
                 )
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+            kinds = [pa.int64()] * 3 + [pa.string(), spans_type, pa.string() if with_text else pa.binary()]
             columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays(

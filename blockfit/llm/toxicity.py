@@ -9,21 +9,22 @@ Words, stems and pairs live in hashed tables of fixed size, so a model is as lar
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockfit.llm.common import WordIds, column_of, hash_bytes, logistic_fit, slices, stored
+from blockfit.llm.common import WordIds, column_of, hash_bytes, logistic_fit, slices
 
-WORD_BITS, PAIR_BITS, STEM_LETTERS, DISCOUNT = 20, 20, 4, 0.9
+WORD_BITS, PAIR_BITS, STEM_BITS, STEM_LETTERS, DISCOUNT = 19, 18, 18, 4, 0.9
 _LETTERS = re.compile(r"[^\W_]+")
 _U = np.uint64
-_KINDS = {"pair": 0, "stem": 1, "shared": 2}
 
 
 def score_words(text: str | None) -> list[bytes]:
@@ -34,7 +35,7 @@ def _derive(words: list[bytes]) -> dict[str, np.ndarray]:
     stems = [w.decode()[:STEM_LETTERS].encode() for w in words]
     return {
         "word": hash_bytes(words, 3) >> _U(20),  # 44 bits
-        "stem": (hash_bytes(stems, 4) >> _U(64 - WORD_BITS)).astype(np.int64),
+        "stem": (hash_bytes(stems, 4) >> _U(64 - STEM_BITS)).astype(np.int64),
     }
 
 
@@ -48,74 +49,74 @@ def pair_keys(word: np.ndarray) -> np.ndarray:
     return (before << _U(44)) | word
 
 
-def pair_bucket(keys: np.ndarray) -> np.ndarray:
-    """Fold the bits of a key, which hold two hashes already; as ``_pair_slot`` does in the JVM."""
-    return ((keys ^ (keys >> _U(44)) * _U(0x9E375)) & _U((1 << PAIR_BITS) - 1)).astype(np.int64)
+PRINT_BITS, COUNT_BITS = 23, 20
+_FOLD = 0x9E375
 
 
-def _pair_slot(key: Column) -> Column:
-    folded = key.bitwiseXOR(F.shiftrightunsigned(key, 44) * F.lit(0x9E375))
-    return folded.bitwiseAND((1 << PAIR_BITS) - 1)
+def pair_bucket(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and fingerprint of pairs, from bits that are hashes already; as ``_pair_slot`` in the JVM."""
+    before = keys >> _U(44)
+    slot = (keys ^ before * _U(_FOLD)) & _U((1 << PAIR_BITS) - 1)
+    mark = ((keys >> _U(PAIR_BITS)) ^ before * _U(_FOLD)) & _U((1 << PRINT_BITS) - 1)
+    return slot.astype(np.int64), mark.astype(np.int64)
 
 
-def _rows(kind: int, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(keys), kind, np.int8)),
-            pa.array(keys.view(np.int64) if keys.dtype == _U else keys.astype(np.int64)),
-            pa.array(toxic.astype(np.int64)),
-            pa.array(ordinary.astype(np.int64)),
-        ],
-        names=["kind", "key", "toxic", "ordinary"],
-    )
+def _pair_slot(key: Column) -> tuple[Column, Column]:
+    spread = F.shiftrightunsigned(key, 44) * F.lit(_FOLD)
+    slot = key.bitwiseXOR(spread).bitwiseAND((1 << PAIR_BITS) - 1)
+    mark = F.shiftrightunsigned(key, PAIR_BITS).bitwiseXOR(spread).bitwiseAND((1 << PRINT_BITS) - 1)
+    return slot, mark
+
 
+#: ``n`` holds the count in toxic texts in the upper and that in ordinary texts in the lower 32 bits.
+#: The key of a stem is its bucket, less 2^63.
+_COUNTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+_LOWER = (1 << 32) - 1
 
-_COUNTS = T.StructType(
-    [
-        T.StructField("kind", T.ByteType()),
-        *[T.StructField(c, T.LongType()) for c in ("key", "toxic", "ordinary")],
-    ]
-)
+
+def _rows(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> pa.RecordBatch:
+    n = (toxic.astype(np.int64) << 32) + ordinary.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=_COUNTS.names)
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of labelled texts: pairs and stems with the counts of either class."""
     words_of = WordIds(_derive)
     for batch in (s for b in batches for s in slices(b)):
-        found: dict[int, list] = {k: [] for k in (0, 1)}
+        found: tuple[list, list] = [], []
         marks = []
         for text, toxic in zip(column_of(batch, "text"), column_of(batch, "toxic").to_pylist()):
             ids = words_of(score_words(text.as_py()))
             word, stem = words_of.values["word"][ids], words_of.values["stem"][ids]
             found[0].append(pair_keys(word))
-            found[1].append(stem.astype(_U))
+            found[1].append(stem.astype(_U) + _U(1 << 63))
             marks.append(np.full(len(ids), bool(toxic)))
         mark = np.concatenate(marks)
-        for kind, parts in found.items():
+        for parts in found:
             keys, at = np.unique(np.concatenate(parts), return_inverse=True)
             toxic = np.bincount(at, mark, len(keys))
-            yield _rows(kind, keys, toxic, np.bincount(at, ~mark, len(keys)))
+            yield _rows(keys, toxic, np.bincount(at, ~mark, len(keys)))
         words_of.fresh()
 
 
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of all texts: how often each stem occurs; one dense table a task."""
     words_of = WordIds(_derive)
-    total = np.zeros(1 << WORD_BITS, np.int64)
+    total = np.zeros(1 << STEM_BITS, np.int64)
     for batch in (s for b in batches for s in slices(b)):
         for text in column_of(batch, "text"):
             ids = words_of(score_words(text.as_py()))
             np.add.at(total, words_of.values["stem"][ids], 1)
         words_of.fresh()
     at = np.flatnonzero(total)
-    yield _rows(_KINDS["shared"], at, total[at], np.zeros(len(at)))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=_COUNTS.names)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Tables by bucket with two columns, toxic and ordinary, and the weights of the calibration."""
+    """Tables by bucket with two columns, toxic and ordinary."""
 
-    pair_key: np.ndarray  # the pair that a bucket holds
+    pair_mark: np.ndarray  # fingerprint of the pair that a bucket holds
     pair: np.ndarray  # its discounted probability by class
     pair_count: np.ndarray  # its count in both classes
     pair_rest: np.ndarray  # mass left for the word alone
@@ -124,7 +125,14 @@ class ToxicityModel:
     word_rest: np.ndarray  # mass left for its stem
     stem: np.ndarray  # probability of a stem by class, shared counts mixed in
     stem_count: np.ndarray  # its count in both classes
-    weights: np.ndarray
+
+    def __getstate__(self) -> dict:
+        # mostly zeros while the corpus is small
+        return {k: (zlib.compress(v.tobytes(), 1), v.dtype.str, v.shape) for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        for k, (data, kind, shape) in state.items():
+            object.__setattr__(self, k, np.frombuffer(zlib.decompress(data), kind).reshape(shape))
 
     def ratios(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
         """Log of the toxic over the ordinary probability of each word, and the word before, of a text.
@@ -134,16 +142,24 @@ class ToxicityModel:
         if not len(word):
             return np.zeros(0)
         keys, here = pair_keys(word), word_bucket(word)
-        slot = pair_bucket(keys)
+        slot, mark = pair_bucket(keys)
         count = self.word_count[here]
         of_stem = np.where(count > 0, count / np.maximum(self.stem_count[stem], 1), 1.0)
         single = self.word[here] + self.word_rest * self.stem[stem] * of_stem[:, None]
-        known = self.pair_key[slot] == keys
+        known = self.pair_mark[slot] == mark
         of_word = np.where(known, self.pair_count[slot] / np.maximum(count, 1), 1.0)
         prob = self.pair[slot] * known[:, None] + self.pair_rest * single * of_word[:, None]
         return np.log(prob[:, 0]) - np.log(prob[:, 1])
 
 
+@dataclass(frozen=True)
+class ToxicityFit:
+    """The model, sent to the executors once, and the weights of the calibration."""
+
+    model: Broadcast[ToxicityModel]
+    weights: np.ndarray
+
+
 WINDOW = 8
 
 
@@ -158,11 +174,10 @@ def features(ratios: np.ndarray) -> tuple[float, float, float]:
     return float(sums[-1]) / n, float(ratios.max()), best
 
 
-def _text_features(docs: DataFrame, model: ToxicityModel, keep: str) -> DataFrame:
-    """``keep`` and the three features of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _text_features(docs: DataFrame, shared: Broadcast[ToxicityModel], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the three features of every text."""
     schema = T.StructType(
-        [docs.schema[keep], *[T.StructField(c, T.DoubleType()) for c in ("mean_ratio", "best_word", "best_window")]]
+        [*[docs.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in ("mean_ratio", "best_word", "best_window")]]
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +189,9 @@ def _text_features(docs: DataFrame, model: ToxicityModel, keep: str) -> DataFram
                 got.append(features(shared.value.ratios(words_of.values["word"][ids], words_of.values["stem"][ids])))
             words_of.fresh()
             columns = [pa.array(c, pa.float64()) for c in zip(*got)]
-            yield pa.RecordBatch.from_arrays([column_of(batch, keep), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in keep), *columns], names=schema.names)
 
-    return docs.select(keep, "text").mapInArrow(measure, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(measure, schema)
 
 
 def _design(mean_ratio, best_word, best_window) -> np.ndarray:
@@ -185,7 +200,7 @@ def _design(mean_ratio, best_word, best_window) -> np.ndarray:
 
 def fit_toxicity(
     docs: DataFrame, labelled: DataFrame, max_labelled: int = 400_000, max_calibration: int = 20_000
-) -> ToxicityModel:
+) -> ToxicityFit:
     """Learn from ``labelled`` (``doc_id, toxic``, one row a document) and the texts of ``docs``.
 
     At most ``max_labelled`` labels are used, those with the smallest hash of the id: a bounded
@@ -200,68 +215,78 @@ def fit_toxicity(
         .orderBy("_order", "doc_id")
         .limit(max_labelled)
     )
-    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     calibrates = F.pmod("_order", F.lit(5)) == 0
-    classed = marked.where(~calibrates).select("text", "toxic").mapInArrow(_class_counts, _COUNTS)
-    counts = stored(
-        classed.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
-        "toxic-counts",
+    texts = docs.select("doc_id", "text")
+    marked = texts.join(F.broadcast(chosen.where(~calibrates)), "doc_id").select("text", "toxic")
+    counts = marked.mapInArrow(_class_counts, _COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+    shared = docs.select("text").mapInArrow(_shared_counts, _COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+
+    # every pair counts for its word and, if it occurs twice, for its bucket, where the most frequent
+    # one stays (the others are scored by their words); stems are counted as they are
+    key, toxic, ordinary = F.col("key"), F.shiftrightunsigned("n", 32), F.col("n").bitwiseAND(_LOWER)
+    both, most = toxic + ordinary, F.lit((1 << COUNT_BITS) - 1)
+    slot, mark = _pair_slot(key)
+    best = F.shiftleft(F.least(both, most), PRINT_BITS + COUNT_BITS - 1) + F.shiftleft(mark, COUNT_BITS - 1)
+    best = best + F.floor(F.lit((1 << (COUNT_BITS - 1)) - 1) * toxic / both)
+    word = F.shiftrightunsigned(key, 44 - WORD_BITS).bitwiseAND((1 << WORD_BITS) - 1)
+    none = F.lit(0).cast("long")
+
+    def entry(level: int, slot: Column, a: Column, b: Column, n: Column, best: Column = none) -> Column:
+        named = {"level": F.lit(level), "slot": slot, "a": a, "b": b, "n": n, "best": best}
+        return F.struct(*[c.cast("long").alias(k) for k, c in named.items()])
+
+    of_word = entry(0, word, toxic > 0, ordinary > 0, both)
+    of_pair = entry(1, slot, none, none, none, best)
+    of_stem = entry(2, key.bitwiseAND((1 << STEM_BITS) - 1), toxic, ordinary, both)
+    levels = F.when(key < 0, F.array(of_stem)).when(both > 1, F.array(of_word, of_pair)).otherwise(F.array(of_word))
+    found = (
+        counts.select(F.explode(levels).alias("e"))
+        .groupBy("e.level", "e.slot")
+        .agg(*[F.sum(f"e.{c}").alias(c) for c in ("a", "b", "n")], F.max("e.best").alias("best"))
+        .toArrow()
     )
-    shared = docs.select("text").mapInArrow(_shared_counts, _COUNTS).groupBy("key").agg(F.sum("toxic").alias("n"))
-
-    def table(rows: DataFrame, slot: Column, toxic: Column | str, ordinary: Column | str) -> np.ndarray:
-        return _dense(rows.groupBy(slot.alias("slot")).agg(F.sum(toxic).alias("toxic"), F.sum(ordinary).alias("ordinary")))
-
-    pairs = counts.where(F.col("kind") == _KINDS["pair"])
-    stems = counts.where(F.col("kind") == _KINDS["stem"])
-    word = F.shiftright("key", 44 - WORD_BITS).bitwiseAND((1 << WORD_BITS) - 1)
-    seen = [(F.col(c) > 0).cast("long") for c in ("toxic", "ordinary")]
-    continued = table(pairs, word, *seen)
-    word_count = table(pairs, word, "toxic", "ordinary").sum(axis=1)
-    stem = table(stems, F.col("key"), "toxic", "ordinary")
-    everywhere = table(shared, F.col("key"), "n", F.lit(0))[:, :1] + 1.0
+    column = {c: found.column(c).to_numpy() for c in found.column_names}
+
+    def table(level: int, bits: int, *names: str) -> np.ndarray:
+        here = column["level"] == level
+        out = np.zeros((1 << bits, len(names)))
+        out[column["slot"][here]] = np.stack([column[c][here] for c in names], axis=1)
+        return out
+
+    continued, word_count = table(0, WORD_BITS, "a", "b"), table(0, WORD_BITS, "n")
+    stem = table(2, STEM_BITS, "a", "b")
+    held = np.zeros(1 << PAIR_BITS, np.int64)
+    here = column["level"] == 1
+    held[column["slot"][here]] = column["best"][here]
+    pair_count = (held >> (PRINT_BITS + COUNT_BITS - 1)).astype(float)
+    toxic_share = (held & ((1 << (COUNT_BITS - 1)) - 1)) / ((1 << (COUNT_BITS - 1)) - 1)
+    pair = np.stack([pair_count * toxic_share, pair_count * (1 - toxic_share)], axis=1)
+    everywhere = np.ones(1 << STEM_BITS)
+    seen = shared.toArrow()
+    everywhere[seen.column("key").to_numpy()] += seen.column("n").to_numpy()
     word_part, word_rest = _discounted(continued)
     stem_part, stem_rest = _discounted(stem)
-    # of the pairs in a bucket the most frequent stays; the others are scored by their words
-    both = (F.col("toxic") + F.col("ordinary")).alias("n")
-    held = (
-        pairs.groupBy(_pair_slot(F.col("key")).alias("slot"))
-        .agg(
-            F.max(F.struct(both, "key", "toxic", "ordinary")).alias("best"),
-            *[F.sum(c).alias(f"all_{k}") for k, c in enumerate(seen)],
-            *[F.sum(c).alias(f"total_{k}") for k, c in enumerate(("toxic", "ordinary"))],
-        )
-        .select("slot", "best.key", F.col("best.toxic").alias("toxic"), F.col("best.ordinary").alias("ordinary"), "all_0", "all_1", "total_0", "total_1")
-        .toArrow()
-    )
-    column = lambda c: held.column(c).to_numpy()
-    slot = column("slot")
-    pair_key = np.zeros(1 << PAIR_BITS, _U)
-    pair_key[slot] = column("key").view(_U)
-    pair = np.zeros((1 << PAIR_BITS, 2))
-    pair[slot] = np.stack([column("toxic"), column("ordinary")], axis=1)
-    types = np.array([column("all_0").sum(), column("all_1").sum()], float)
-    totals = np.maximum(np.array([column("total_0").sum(), column("total_1").sum()], float), 1)
+    totals = np.maximum(stem.sum(axis=0), 1)
     model = ToxicityModel(
-        pair_key=pair_key,
+        pair_mark=np.where(held > 0, (held >> (COUNT_BITS - 1)) & ((1 << PRINT_BITS) - 1), -1).astype(np.int32),
         pair=(np.maximum(pair - DISCOUNT, 0) / totals).astype(np.float32),
-        pair_count=pair.sum(axis=1).astype(np.float32),
-        pair_rest=np.maximum(DISCOUNT * types / totals, 1e-6),
+        pair_count=pair_count.astype(np.float32),
+        pair_rest=np.maximum(DISCOUNT * continued.sum(axis=0) / totals, 1e-6),
         word=word_part.astype(np.float32),
-        word_count=word_count.astype(np.float32),
+        word_count=word_count[:, 0].astype(np.float32),
         word_rest=word_rest,
-        stem=stem_part + stem_rest * everywhere / everywhere.sum(),
-        stem_count=stem.sum(axis=1),
-        weights=np.zeros(4),
+        stem=(stem_part + stem_rest * (everywhere / everywhere.sum())[:, None]).astype(np.float32),
+        stem_count=stem.sum(axis=1).astype(np.float32),
     )
-    sample = marked.where(calibrates).orderBy("_order", "doc_id").limit(max_calibration)
-    numbered = sample.select(F.col("toxic").cast("int").alias("toxic"), "text")
-    seen = _text_features(numbered, model, "toxic").toArrow()
-    values = [seen.column(c).to_numpy() for c in seen.column_names]
+    shared_model = docs.sparkSession.sparkContext.broadcast(model)
+    sample = chosen.where(calibrates).orderBy("_order", "doc_id").limit(max_calibration)
+    numbered = texts.join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    got = _text_features(numbered, shared_model, ["toxic"]).toArrow()
+    values = [got.column(c).to_numpy() for c in got.column_names]
+    weights = np.zeros(4)
     if len(values[0]):
         weights = logistic_fit(_design(*values[1:]), values[0].astype(float))
-        model = replace(model, weights=weights)
-    return model
+    return ToxicityFit(shared_model, weights)
 
 
 def _discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,26 +296,21 @@ def _discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(counts - DISCOUNT, 0) / total, np.maximum(left, 1e-6)
 
 
-def _dense(rows: DataFrame) -> np.ndarray:
-    """The table of 2^20 buckets or fewer ``<slot, toxic, ordinary>``, on the driver."""
-    got = rows.select(*[F.col(c).cast("int") for c in ("slot", "toxic", "ordinary")]).toArrow()
-    out = np.zeros((1 << WORD_BITS, 2))
-    for k, name in enumerate(("toxic", "ordinary")):
-        out[got.column("slot").to_numpy(), k] = got.column(name).to_numpy()
-    return out
-
-
-def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """``doc_id, score, predicted`` of every text.
+def score_toxicity(
+    docs: DataFrame, fit: ToxicityFit, threshold: float = 0.7, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id, score, predicted`` of every text, and the columns ``carry`` as a struct ``carried``.
 
     A null text or one without words has the score of a text that says nothing either way. Equal
     rows get equal scores; other columns are ignored; an empty table gives an empty result.
     """
-    found = _text_features(docs.select("doc_id", "text"), model, "doc_id")
-    a, b, c, d = (F.lit(float(w)) for w in model.weights)
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    keep = ["doc_id", *(["carried"] if carry else [])]
+    found = _text_features(docs.select("doc_id", "text", *carried), fit.model, keep)
+    a, b, c, d = (F.lit(float(w)) for w in fit.weights)
     z = a + b * F.col("mean_ratio") + c * F.col("best_word") + d * F.col("best_window")
     return found.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).select(
-        "doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep[1:]
     )
 
 
