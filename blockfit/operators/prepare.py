@@ -136,8 +136,8 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def with_row_id(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:
-    """Number the rows 0..n-1 in the order of ``keys``, which must identify a row.
+def with_row_id(df: DataFrame, keys: Sequence[str] | str, name: str = "row_id") -> DataFrame:
+    """Number the rows 0..n-1 in the order of ``keys``; rows of equal keys get numbers of their own.
 
     One range shuffle, written once; the numbers come from the rows per partition.
     """
@@ -153,7 +153,7 @@ def with_row_id(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:
     # one row per shuffle partition
     table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _offset long"))
     numbered = placed.withColumn("_part", part).join(table, "_part")
-    return numbered.select((F.col("_offset") + local).alias("row_id"), *df.columns)
+    return numbered.select((F.col("_offset") + local).alias(name), *df.columns)
 
 
 def class_dictionary(df: DataFrame, label) -> DataFrame:

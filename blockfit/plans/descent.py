@@ -19,6 +19,7 @@ from blockfit.operators.linalg import (
     softmax_row_partials,
     umlr_penalty,
 )
+from blockfit.operators.prepare import with_row_id
 from blockfit.plans.kernels import AdamMoments, uncorrelated_coefficients
 from blockfit.plans.rounds import STATS_LIMIT, indexed, num_features
 from blockfit.session import fixed_plans
@@ -140,19 +141,29 @@ def _hash_cut(hashes: DataFrame, k: int) -> int:
     return int(np.partition(last, k - 1)[k - 1])
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """Adds ``_position``: the place 0..n-1 of a row in the order of ``row_id``, whatever the ids are.
+
+    Batches are taken by position, so gaps, large and repeated ids lose no row. One range shuffle.
+    """
+    return with_row_id(df, "row_id", "_position")
+
+
 def sample_batch(
     df: DataFrame, b: int, step: int = 0, seed: int = 0, num_rows: int | None = None
 ) -> DataFrame:
     """A random batch of exactly ``b`` rows (all rows if there are fewer), new for every step.
 
-    The rows with the smallest hashes of (row_id, seed, step): a cut is found by counting
-    and then filters the rows, which neither move nor get sorted.
+    The rows with the smallest hashes of (position, seed, step): a cut is found by counting
+    and then filters the rows, which neither move nor get sorted. A frame that is not
+    :func:`positioned` is numbered first, once for each call.
     """
     n = df.count() if num_rows is None else num_rows
     if b >= n:
         return df
-    key = F.xxhash64("row_id", F.lit(seed), F.lit(step))
-    return df.filter(key <= F.lit(_hash_cut(df.select(key.alias("h")), b)))
+    rows = df if "_position" in df.columns else positioned(df)
+    key = F.xxhash64("_position", F.lit(seed), F.lit(step))
+    return rows.filter(key <= F.lit(_hash_cut(rows.select(key.alias("h")), b))).select(*df.columns)
 
 
 def batch_start(b: int, step: int, num_rows: int) -> int:
@@ -162,10 +173,16 @@ def batch_start(b: int, step: int, num_rows: int) -> int:
 
 
 def consecutive_batch(df: DataFrame, b: int, step: int = 0, num_rows: int | None = None) -> DataFrame:
-    """The window of ``b`` consecutive row ids (0..n-1) of a step; the last one may be shorter."""
+    """The window of ``b`` consecutive rows, in the order of ``row_id``, of a step.
+
+    The last window of a cycle may be shorter; every row is in one window of a cycle. A frame that
+    is not :func:`positioned` is numbered first, once for each call.
+    """
     n = df.count() if num_rows is None else num_rows
     start = batch_start(b, step, n)
-    return df.filter((F.col("row_id") >= start) & (F.col("row_id") < start + b))
+    rows = df if "_position" in df.columns else positioned(df)
+    inside = (F.col("_position") >= start) & (F.col("_position") < start + b)
+    return rows.filter(inside).select(*df.columns)
 
 
 class _Rule:
@@ -210,8 +227,9 @@ def umlr_minibatch(
 ) -> Model:
     """Maximal-uncorrelated multinomial regression on one batch per epoch.
 
-    ``batch_size=0`` takes all rows. ``batch`` is ``"consecutive"`` (row ids 0..n-1 needed;
-    the default of ``adam``) or ``"random"`` (the default of the other rules).
+    ``batch_size=0`` takes all rows. ``batch`` is ``"consecutive"`` (windows in the order of
+    ``row_id``; the default of ``adam``) or ``"random"`` (the default of the other rules). The rows are
+    numbered and range-sorted once, so that a window reads few of the cached batches.
     """
     if update not in ("adam", "sgd", "momentum", "rmsprop"):
         raise ValueError(f"unknown update {update!r}")
@@ -223,10 +241,12 @@ def umlr_minibatch(
         cached, n, parts = _cached_chunks(rows)
         full = True
     else:
-        cached = rows.persist(_KEEP)
+        cached = positioned(rows).persist(_KEEP)
         n, parts = (
             cached.withColumn("_part", F.spark_partition_id()).agg(F.count("*"), F.max("_part") + 1).first()
         )
+        if not n:
+            raise ValueError("no row to fit")
         full = batch_size >= n
     history = []
     with fixed_plans(df.sparkSession):
@@ -241,6 +261,8 @@ def umlr_minibatch(
                     picked = sample_batch(cached, batch_size, t, seed, n)
                 partials = picked.select("label", "features").mapInArrow(softmax_row_partials(W), "s array<double>")
             b, loss, g = _sums(partials, parts, W)
+            if not b:
+                raise ValueError(f"the batch of step {t} is empty")
             penalty = umlr_penalty(W, reg, eta)
             g = g / b + reg * W + eta * W * uncorrelated_coefficients(W)
             step = rule.step(g)

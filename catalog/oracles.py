@@ -276,9 +276,15 @@ FROM embeddings GROUP BY 1, 2"""
 
 ORACLES["consecutive_rows"] = """
 WITH n AS (SELECT count(*) AS n, CAST(ceil(count(*) / 7.0) AS BIGINT) AS b FROM orders),
-w AS (SELECT s AS step, (s % CAST(ceil(n / b) AS BIGINT)) * b AS lo, b FROM n, (VALUES (0), (1), (6), (7)) v(s))
+w AS (SELECT CAST(s AS INT) AS step, (s % CAST(ceil(n / b) AS BIGINT)) * b AS lo, b FROM n, range(8) v(s)),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)
 SELECT step, count(*) AS num_rows, min(o_orderkey) AS first_id
-FROM w JOIN orders ON o_orderkey >= lo AND o_orderkey < lo + b GROUP BY 1"""
+FROM w JOIN o ON place >= lo AND place < lo + b GROUP BY 1"""
+
+ORACLES["consecutive_all"] = """
+WITH o AS (SELECT o_orderkey + 1000 AS row_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n
+           FROM orders WHERE o_custkey % 3 <> 0)
+SELECT row_id, CAST(place // CAST(ceil(n / 5.0) AS BIGINT) AS INT) AS step FROM o"""
 
 ORACLES["sampled_rows"] = """
 SELECT CAST(count(*) // 3 AS BIGINT) AS first, CAST(count(*) // 3 AS BIGINT) AS second FROM orders"""
@@ -383,10 +389,12 @@ _MIRRORED = " UNION ALL ".join(
 )
 
 
-def _descent(steps: int, gradient: str, update: str, window: str = "") -> str:
+def _descent(steps: int, gradient: str, update: str, window: str = "", rows: str = "true") -> str:
     """Steps on ``w``: ``h`` are the gradient sums, ``c`` the squared norm, ``m`` and ``v`` moments."""
     return f"""
-WITH RECURSIVE {_PART}, n AS (SELECT count(*) AS n FROM part_rows),
+WITH RECURSIVE {_PART},
+placed AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM part_rows WHERE {rows}),
+n AS (SELECT count(*) AS n FROM placed),
 r(t, w0, w1, m0, m1, v0, v1) AS (
   SELECT 0, {", ".join(["0.0::DOUBLE"] * 6)}
   UNION ALL
@@ -396,7 +404,7 @@ r(t, w0, w1, m0, m1, v0, v1) AS (
     FROM (
       SELECT t, w0, w1, m0, m1, v0, v1, w0 * w0 + w1 * w1 AS c, sum(a * s) AS h0, sum(b * s) AS h1, count(*) AS cnt
       FROM (SELECT r.*, a, b, 1 / (1 + exp(-2 * (a * w0 + b * w1))) - l AS s
-            FROM r, n, part_rows WHERE t < {steps} {window})
+            FROM r, n, placed WHERE t < {steps} {window})
       GROUP BY ALL))),
 last AS (SELECT w0, w1 FROM r WHERE t = {steps})
 {_MIRRORED}"""
@@ -416,12 +424,17 @@ ORACLES["umlr_adam_weights"] = _descent(
     10, "h{i} + cnt * 1e-4 * w{i} * c", _adam(0.01, 0.9, 0.9999)
 )
 _MEAN = "h{i} / cnt + 0.01 * w{i} + 0.1 * w{i} * c"
+_BATCH = "CAST(ceil(n / 6.0) AS BIGINT)"
+_WINDOW = f"(t % CAST(ceil(n / CAST({_BATCH} AS DOUBLE)) AS BIGINT)) * {_BATCH}"
+_SIXTHS = f"AND place >= {_WINDOW} AND place < {_WINDOW} + {_BATCH}"
 ORACLES["umlr_minibatch_weights"] = _descent(
     8,
     _MEAN,
     _adam(0.05, 0.9, 0.999),
-    "AND id >= (t % CAST(ceil(n / 700.0) AS BIGINT)) * 700 AND id < (t % CAST(ceil(n / 700.0) AS BIGINT)) * 700 + 700",
+    _SIXTHS,
 )
+# the first twenty of every hundred ids are test rows
+ORACLES["umlr_minibatch_split"] = _descent(8, _MEAN, _adam(0.05, 0.9, 0.999), _SIXTHS, "id % 100 >= 20")
 ORACLES["umlr_sgd_weights"] = _descent(8, _MEAN, "w0 - 0.1 * g0, w1 - 0.1 * g1, m0, m1, v0, v1")
 ORACLES["umlr_momentum_weights"] = _descent(
     8,

@@ -28,6 +28,7 @@ from blockfit.plans.consensus import consensus_lasso, consensus_smlr, umlr_conse
 from blockfit.plans.descent import (
     consecutive_batch,
     least_squares_gd,
+    positioned,
     sample_batch,
     umlr_adam,
     umlr_minibatch,
@@ -580,10 +581,10 @@ def collect_vectors(spark, sf):
 
 @query
 def consecutive_rows(spark, sf):
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"))
+    rows = positioned(table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id")))
     n = rows.count()
     out = None
-    for step in (0, 1, 6, 7):
+    for step in range(8):
         batch = consecutive_batch(rows, -(-n // 7), step, n).agg(
             F.lit(step).alias("step"), F.count("*").alias("num_rows"), F.min("row_id").alias("first_id")
         )
@@ -591,6 +592,19 @@ def consecutive_rows(spark, sf):
     return out
 
 
+@query
+def consecutive_all(spark, sf):
+    """Every row of a table with gaps in its ids, with the step of the cycle that takes it."""
+    rows = table(spark, sf, "orders").where("o_custkey % 3 <> 0").select((F.col("o_orderkey") + 1000).alias("row_id"))
+    rows = positioned(rows)
+    n = rows.count()
+    steps = [consecutive_batch(rows, -(-n // 5), step, n).withColumn("step", F.lit(step)) for step in range(5)]
+    out = steps[0]
+    for batch in steps[1:]:
+        out = out.unionByName(batch)
+    return out.select("row_id", "step")
+
+
 @query
 def sampled_rows(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"))
@@ -635,8 +649,19 @@ def umlr_adam_weights(spark, sf):
 @query
 def umlr_minibatch_weights(spark, sf):
     rows = part_binary(spark, sf)
+    batch = -(-rows.count() // 6)
+    return weight_table(
+        umlr_minibatch(rows, batch_size=batch, epochs=8, lr=0.05, reg=0.01, eta=0.1, update="adam")
+    )
+
+
+@query
+def umlr_minibatch_split(spark, sf):
+    """The train part of a split has gaps in its ids; six windows cover it."""
+    rows = P.train_test_split(part_binary(spark, sf), by="key")[0]
+    batch = -(-rows.count() // 6)
     return weight_table(
-        umlr_minibatch(rows, batch_size=700, epochs=8, lr=0.05, reg=0.01, eta=0.1, update="adam")
+        umlr_minibatch(rows, batch_size=batch, epochs=8, lr=0.05, reg=0.01, eta=0.1, update="adam")
     )
 
 

@@ -131,6 +131,15 @@ def test_consecutive_batches_wrap(frame):
     assert sorted(r["row_id"] for r in consecutive_batch(df, 4, 2).collect()) == [8, 9]
 
 
+def test_batches_go_by_position_not_by_id(frame):
+    ids = np.r_[1000:1030:3, [1030] * 5, 9000]
+    df = frame(np.zeros((len(ids), 1)), np.zeros(len(ids)), ids=ids)
+    met = [r["row_id"] for t in range(4) for r in consecutive_batch(df, 4, t).collect()]
+    assert sorted(met) == sorted(ids.tolist())
+    same = frame(np.zeros((1000, 1)), np.zeros(1000), ids=np.full(1000, 7))
+    assert sample_batch(same, 10).count() == 10
+
+
 def test_collect_vectors_bounds_the_parts(frame):
     labels = [1] * 2000 + [2] * 30
     X = np.arange(2030.0).reshape(-1, 1)

@@ -311,6 +311,17 @@ def test_minibatches_consecutive_and_random(frame, blobs):
         assert np.isfinite(model.W).all() and model.history_rows[-1]["loss"] < model.history_rows[0]["loss"]
 
 
+def test_minibatches_meet_every_row(frame, blobs):
+    X, y = blobs
+    args = dict(batch_size=-(-len(X) // 3), epochs=3, lr=0.1)
+    far = umlr_minibatch(frame(X, y, ids=1000 + 7 * np.arange(len(X))), **args).W
+    np.testing.assert_allclose(far, umlr_minibatch(frame(X, y), **args).W, atol=1e-12)
+    labels = [None if k % 10 == 0 else int(v) for k, v in enumerate(y)]
+    changed = [None if v is None else (v + 1) % 3 if k >= len(y) - 40 else v for k, v in enumerate(labels)]
+    first, second = (umlr_minibatch(frame(X, v), **args).W for v in (labels, changed))
+    assert np.isfinite(first).all() and np.abs(first - second).max() > 1e-6
+
+
 def test_one_class_and_ties(spark, frame):
     model = umlr_adam(frame(np.ones((5, 2)), ["a"] * 5), epochs=2)
     assert model.classes == ["a"] and (model.W == 0).all()
