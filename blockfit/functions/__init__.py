@@ -2,10 +2,9 @@ from blockfit.functions.arrays import (
     class_margins,
     collect_sum,
     dot,
-    l2_norm,
     row_softmax,
     unit_hash,
-    with_zip,
+    whole_vector,
 )
 from blockfit.functions.shrinkage import (
     median_avg,

@@ -14,17 +14,24 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def double_array(values: Sequence[float]) -> Column:
-    """A literal vector."""
-    return F.array(*[F.lit(float(v)) for v in values])
+def whole_vector(features: Column | str, p: int, nulls: str = "keep") -> Column:
+    """``features`` where it is a vector of ``p`` numbers.
 
-
-def with_zip(a: Column | str, b: Column | str, fn: Callable) -> Column:
-    return F.zip_with(_col(a), _col(b), fn)
+    Another length is an error. A null vector, or one that holds a null, gives null, or with
+    ``nulls="raise"`` an error. NaN is a number.
+    """
+    x = _col(features)
+    broken = x.isNull() | F.exists(x, lambda v: v.isNull())
+    missing = F.lit(None) if nulls == "keep" else F.raise_error(F.lit("null among the features"))
+    ragged = F.raise_error(F.lit(f"rows differ in their number of features: {p} expected"))
+    return F.when(x.isNotNull() & (F.size(x) != p), ragged).when(broken, missing).otherwise(x)
 
 
 def dot(features: Column | str, weights: Sequence[float]) -> Column:
-    """``features . weights``, unrolled so that it takes part in code generation."""
+    """``features . weights``, unrolled so that it takes part in code generation.
+
+    The vector must have as many numbers as there are weights; see :func:`whole_vector`.
+    """
     x = _col(features)
     terms = [x[i] * F.lit(float(w)) for i, w in enumerate(weights)]
     total = F.lit(0.0)
@@ -55,10 +62,6 @@ def row_softmax(margins: Column | str) -> Column:
     return let(raised, normed)
 
 
-def l2_norm(vector: Column | str) -> Column:
-    return F.sqrt(F.aggregate(_col(vector), F.lit(0.0), lambda acc, v: acc + v * v))
-
-
 def collect_sum(vector: Column | str) -> Column:
     """Aggregate: element-wise sum of vectors, with partial sums before the shuffle."""
     return vector_to_array(Summarizer.sum(array_to_vector(_col(vector))))

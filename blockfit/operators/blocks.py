@@ -119,9 +119,12 @@ def spread_blocks(df: DataFrame, num_partitions: int | None = None, num_rows: in
 
 
 def feature_matrix(batch: pa.RecordBatch, name: str = "features") -> np.ndarray:
-    """The rows of a batch as a dense matrix, without a copy."""
+    """The rows of a batch as a dense matrix, without a copy; null or missing features are an error."""
     column = batch.column(name)
-    values = np.asarray(column.flatten(), dtype=np.float64)
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("null among the features")
+    values = np.asarray(flat, dtype=np.float64)
     if batch.num_rows == 0:
         return values.reshape(0, 0)
     p, rest = divmod(len(values), batch.num_rows)

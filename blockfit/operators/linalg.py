@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockfit.functions.arrays import class_margins, collect_sum, dot, row_softmax
+from blockfit.functions.arrays import class_margins, collect_sum, dot, row_softmax, whole_vector
 from blockfit.operators.blocks import chunk_matrices, feature_matrix, spread_blocks
 from blockfit.plans.kernels import scaled_inverse, softmax_terms
 
@@ -70,8 +71,33 @@ def _triangle(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
+def with_label(df: DataFrame) -> DataFrame:
+    """The rows that count in statistics: those with a label. Their features must be whole."""
+    return df.filter(F.col("label").isNotNull())
+
+
+def whole_rows(features: pa.Array, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as a matrix, and which rows are whole; rows with nulls are zeros, ragged ones an error.
+
+    The same rule as that of ``whole_vector`` in SQL.
+    """
+    X = np.zeros((len(features), p))
+    known = features.is_valid().to_numpy(zero_copy_only=False)
+    lengths = pa.compute.list_value_length(features).fill_null(p).to_numpy(zero_copy_only=False)
+    if (lengths != p).any():
+        raise ValueError(f"rows differ in their number of features: {p} expected")
+    values = features.flatten()
+    X[known] = values.to_numpy(zero_copy_only=False).reshape(-1, p)
+    holes = np.zeros(X.shape, bool)
+    holes[known] = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, p)
+    broken = holes.any(axis=1)
+    X[broken] = 0
+    return X, known & ~broken
+
+
 def row_gram(df: DataFrame, p: int) -> DataFrame:
     """Gram statistics of unpacked rows per ``block_id`` as plain SQL sums, for few features."""
+    df = df.select("block_id", "label", whole_vector("features", p, "raise").alias("features"))
     x, y = F.col("features"), F.col("label")
     sums = [F.sum(x[i] * x[j]).alias(f"_g{i}_{j}") for i, j in _triangle(p)]
     sums += [F.sum(x[i] * y).alias(f"_c{i}") for i in range(p)]
@@ -155,10 +181,12 @@ def gram(data: DataFrame, p: int, num_blocks: int | None = None) -> DataFrame:
     """``<block_id, n, gram, cross, yy>``: A'A row-major, A'b and b'b per block, of chunks or rows.
 
     Rows stay where they are while the statistics of ``num_blocks`` blocks are smaller
-    than a partition of rows; else the rows are shuffled by block first.
+    than a partition of rows; else the rows are shuffled by block first. Rows without a label are
+    left out; null or ragged features are an error, at every width.
     """
     if "X" in data.columns:
         return chunk_gram(data, p)
+    data = with_label(data)
     if "block_id" not in data.columns:
         data, num_blocks = data.withColumn("block_id", F.lit(0)), 1
     if p <= SMALL_WIDTH:
@@ -207,16 +235,17 @@ def column_gram(
 
 
 def margins(df: DataFrame, W: np.ndarray) -> DataFrame:
-    """Add ``margins = features . W``, one per class."""
+    """Add ``margins = features . W``, one per class; null for vectors that are or hold null."""
     if W.size <= SMALL_WIDTH**2:
-        return df.withColumn("margins", class_margins("features", W))
+        known = whole_vector("features", len(W)).isNotNull()
+        return df.withColumn("margins", F.when(known, class_margins("features", W)))
 
     @F.arrow_udf("array<double>")
     def multiply(features: pa.Array) -> pa.Array:
-        X = np.asarray(features.flatten()).reshape(len(features), -1)
+        X, known = whole_rows(features, len(W))
         M = X @ W
         ends = pa.array(np.arange(len(M) + 1, dtype=np.int32) * W.shape[1])
-        return pa.ListArray.from_arrays(ends, pa.array(M.ravel()))
+        return pa.ListArray.from_arrays(ends, pa.array(M.ravel()), mask=pa.array(~known))
 
     return df.withColumn("margins", multiply(F.col("features").cast("array<double>")))
 
@@ -230,12 +259,14 @@ def softmax_sums(df: DataFrame, W: np.ndarray) -> DataFrame:
     """One row ``<n, loss, gradient>``: the multinomial gradient sum (feature-major) and the clipped loss sum.
 
     Rows carry a class index as ``label``. Few weights are summed in SQL, others by the chunk kernel.
+    Null labels and features are treated as by :func:`gram`.
     """
     p, k = W.shape
     if "X" not in df.columns:
+        df = with_label(df)
         if W.size > SMALL_WIDTH**2:
             return _softmax_table(_plain_rows(df).mapInArrow(softmax_row_partials(W), "s array<double>"), W)
-        rows = softmax(margins(df.select("label", "features"), W))
+        rows = softmax(margins(df.select("label", whole_vector("features", p, "raise").alias("features")), W))
         y = F.col("label").cast("int")
         s = F.col("softmax")
         picked = F.element_at(s, y + 1)
@@ -339,10 +370,13 @@ def uncorrelated(weights: DataFrame, eta: float = 1.0) -> DataFrame:
 
 
 def ls_gradient(df: DataFrame, w: np.ndarray) -> DataFrame:
-    """``<feature_idx, value>``: sum of ``x (x.w - y)`` over rows or chunks."""
+    """``<feature_idx, value>``: sum of ``x (x.w - y)`` over rows or chunks; nulls as in :func:`gram`."""
     p = len(w)
+    if "X" not in df.columns:
+        df = with_label(df)
     if p <= SMALL_WIDTH and "X" not in df.columns:
         error = dot("features", w) - F.col("label")
+        df = df.select("label", whole_vector("features", p, "raise").alias("features"))
         total = df.withColumn("_e", error).agg(
             F.array(*[F.sum(F.col("features")[i] * F.col("_e")) for i in range(p)]).alias("g")
         )

@@ -46,6 +46,16 @@ def label_index(df: DataFrame, classes: Sequence) -> DataFrame:
     return joined.select(*[F.col("_index").alias("label") if c == "label" else F.col(c) for c in df.columns])
 
 
+def label_of(df: DataFrame, index: str, classes: Sequence, name: str) -> DataFrame:
+    """Add ``name``: the class label at position ``index``; null for a null position."""
+    if len(classes) <= _LITERAL_CLASSES:
+        return df.withColumn(name, F.get(F.array(*[F.lit(c) for c in classes]), F.col(index)))
+    # one row per class of a model that the driver holds anyway
+    lookup = df.sparkSession.createDataFrame(list(enumerate(classes)), ["_at", name])
+    joined = df.join(F.broadcast(lookup), F.col(index) == F.col("_at"), "left")
+    return joined.drop("_at")
+
+
 def index_labels(df: DataFrame) -> tuple[DataFrame, list]:
     """Index the distinct sorted labels to 0..K-1; works for 0-based, 1-based and any other labels."""
     classes = distinct_labels(df)

@@ -18,6 +18,7 @@ from blockfit.operators.linalg import (
     softmax_partials,
     softmax_row_partials,
     umlr_penalty,
+    with_label,
 )
 from blockfit.operators.prepare import with_row_id
 from blockfit.plans.kernels import AdamMoments, uncorrelated_coefficients
@@ -55,7 +56,7 @@ def least_squares_gd(
         gradient: Callable = lambda w: G @ w - c
         chunks = None
     else:
-        chunks, _, parts = _cached_chunks(df.drop("block_id"))
+        chunks, _, parts = _cached_chunks(with_label(df.drop("block_id")))
         source = chunks.select("p", "X", "y")
 
         def gradient(w):

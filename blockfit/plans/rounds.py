@@ -89,7 +89,7 @@ def indexed(df: DataFrame) -> tuple[DataFrame, list, int]:
 
 
 def num_features(df: DataFrame) -> int:
-    row = df.select(F.size("features").alias("p")).first()
+    row = df.filter(F.col("features").isNotNull()).select(F.size("features").alias("p")).first()
     if row is None:
         raise ValueError("no row to fit")
     return row["p"]

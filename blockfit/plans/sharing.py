@@ -20,7 +20,7 @@ from pyspark.storagelevel import StorageLevel
 
 from blockfit.model import Model
 from blockfit.operators.blocks import MAX_CHUNK_BYTES, chunk_matrices, feature_blocks, pack_chunks
-from blockfit.operators.linalg import driver_sum, gram, vector_sum
+from blockfit.operators.linalg import driver_sum, gram, vector_sum, with_label
 from blockfit.plans.kernels import (
     AdamMoments,
     lasso_block,
@@ -420,7 +420,7 @@ def sharing_lasso(
         G = np.array(row["gram"]).reshape(p, p)
         problem = _LassoOnGram(G, np.array(row["cross"]).reshape(p, 1), row["yy"], blocks, prepare, rho)
     else:
-        rows = df.drop("block_id")
+        rows = with_label(df.drop("block_id"))
         row_step = squared_rows(num_blocks, rho)
         problem = _SharingRounds(rows, rows.count(), blocks, 1, prepare, row_step, 0.0, stats_limit)
     with fixed_plans(df.sparkSession, problem.parts):

@@ -158,6 +158,11 @@ SELECT vec_id % 3 AS block_id, count(*) AS n,
        round(sum(pow(list_sum(CAST(embedding AS DOUBLE[])), 2)), 6) AS total
 FROM embeddings GROUP BY 1"""
 
+_NULL_GRAM = """SELECT {w} AS width, id % 3 AS block_id, count(*) AS n, round(sum(a * a), 6) AS g00,
+       round(sum(a * b), 6) AS g01, round(sum(a * y), 6) AS c0, round(sum(y * y), 6) AS yy
+FROM part_rows WHERE id % 7 <> 0 GROUP BY 2"""
+ORACLES["gram_nulls"] = f"WITH {_PART} {_NULL_GRAM.format(w=2)} UNION ALL {_NULL_GRAM.format(w=9)}"
+
 ORACLES["block_cross"] = f"""
 WITH {_PART} SELECT id % 3 AS block_id, round(sum(a * y), 6) AS c0, round(sum(b * y), 6) AS c1
 FROM part_rows GROUP BY 1"""
@@ -494,6 +499,12 @@ last AS (SELECT x0, x1 FROM r WHERE t = 20) {_WEIGHTS_1}"""
 ORACLES["predict_linear_rows"] = f"""
 WITH {_PART} SELECT id AS row_id, round(0.4 * a + 0.8 * b, 6) AS prediction FROM part_rows"""
 
+ORACLES["predict_nulls"] = f"""
+WITH {_PART}, p AS (
+  SELECT id AS row_id, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN -1.0 ELSE round(0.4 * a + 0.8 * b, 6) END AS narrow
+  FROM part_rows)
+SELECT row_id, narrow, narrow AS wide FROM p"""
+
 ORACLES["predict_class_rows"] = f"""
 WITH {_EMB}, w AS (SELECT label AS k, pos, avg(v) AS w FROM emb GROUP BY 1, 2),
 m AS (SELECT id, k, sum(v * w) AS m FROM emb JOIN w USING (pos) GROUP BY 1, 2)
@@ -532,3 +543,6 @@ WITH {_PART}, f AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold),
 w AS (SELECT fold, {_SLOPE} AS w FROM f JOIN part_rows ON id % 5 <> fold GROUP BY 1),
 e AS (SELECT fold, avg(abs(y - w * a)) AS e FROM w JOIN part_rows ON id % 5 = fold GROUP BY 1)
 SELECT round(avg(e), 6) AS mean, round(max(e), 6) AS max, round(min(e), 6) AS min FROM e"""
+
+for _name in ("consensus_lasso", "sharing_lasso", "umlr_consensus", "umlr_sharing", "least_squares"):
+    ORACLES[f"{_name}_table"] = ORACLES[f"{_name}_weights"]

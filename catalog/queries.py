@@ -403,6 +403,32 @@ def block_gram(spark, sf):
     )
 
 
+def part_with_nulls(spark, sf) -> DataFrame:
+    """Every seventh label is null."""
+    rows = part_regression(spark, sf)
+    return rows.withColumn("label", F.when(F.col("row_id") % 7 != 0, F.col("label")))
+
+
+@query
+def gram_nulls(spark, sf):
+    """Rows without a label count nowhere, be the statistics SQL sums or those of the kernel."""
+    rows = B.row_blocks(part_with_nulls(spark, sf), 3, by="key")
+    wide = F.concat("features", F.array(*[F.lit(0.0)] * 7))
+    out = None
+    for p, frame in ((2, rows), (9, rows.withColumn("features", wide))):
+        one = L.gram(frame, p).select(
+            F.lit(p).alias("width"),
+            "block_id",
+            "n",
+            r6(F.col("gram")[0]).alias("g00"),
+            r6(F.col("gram")[1]).alias("g01"),
+            r6(F.col("cross")[0]).alias("c0"),
+            r6("yy").alias("yy"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def block_cross(spark, sf):
     rows = B.row_blocks(part_regression(spark, sf), 3, by="key")
@@ -696,6 +722,38 @@ def least_squares_weights(spark, sf):
     return weight_table(least_squares_gd(part_regression(spark, sf), lr=0.2 / n, epochs=20))
 
 
+# the same trainers where nothing but the answer fits the driver
+
+
+@query
+def consensus_lasso_table(spark, sf):
+    rows = part_regression(spark, sf)
+    model = consensus_lasso(rows, 0.5, 1.0, 3, max_iter=20, tol=-1, block_by="key", stats_limit=0)
+    return weight_table(model)
+
+
+@query
+def sharing_lasso_table(spark, sf):
+    rows = part_regression(spark, sf)
+    return weight_table(sharing_lasso(rows, lam=0.5, rho=0.2, max_iter=10, tol=-1, stats_limit=0))
+
+
+@query
+def umlr_consensus_table(spark, sf):
+    return weight_table(umlr_consensus(part_binary(spark, sf), num_blocks=3, epochs=20, block_by="key", stats_limit=0))
+
+
+@query
+def umlr_sharing_table(spark, sf):
+    return weight_table(umlr_sharing(part_binary(spark, sf), num_blocks=2, epochs=6, eta=0.01, stats_limit=0))
+
+
+@query
+def least_squares_table(spark, sf):
+    n = table(spark, sf, "part").count()
+    return weight_table(least_squares_gd(part_regression(spark, sf), lr=0.2 / n, epochs=20, stats_limit=0))
+
+
 @query
 def consensus_smlr_weights(spark, sf):
     model = consensus_smlr(
@@ -737,6 +795,22 @@ def predict_linear_rows(spark, sf):
     return scored.select("row_id", r6("prediction").alias("prediction"))
 
 
+@query
+def predict_nulls(spark, sf):
+    """A vector that is null or holds a null has no prediction, at any width."""
+    rows = part_regression(spark, sf)
+    holed = F.when(F.col("row_id") % 5 == 0, F.array(F.lit(None).cast("double"), F.lit(1.0))).when(
+        F.col("row_id") % 7 != 0, F.col("features")
+    )
+    rows = rows.withColumn("features", holed)
+    wide = rows.withColumn("features", F.concat("features", F.array(*[F.lit(0.0)] * 68)))
+    narrow = predict_linear(rows, Model(spark, np.array([[0.4], [0.8]])))
+    other = predict_linear(wide, Model(spark, np.array([[0.4], [0.8]] + [[0.0]] * 68)))
+    other = other.select("row_id", F.col("prediction").alias("wide"))
+    both = narrow.join(other, "row_id")
+    return both.select("row_id", *[F.coalesce(r6(c), F.lit(-1.0)).alias(n) for c, n in (("prediction", "narrow"), ("wide", "wide"))])
+
+
 @query
 def predict_class_rows(spark, sf):
     scored = predict_class(embedding_rows(spark, sf), class_mean_model(spark, sf))

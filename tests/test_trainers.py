@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockfit.operators.blocks import feature_blocks
+from blockfit.model import Model
+from blockfit.operators.linalg import gram, ls_gradient, margins
 from blockfit.operators.score import predict_class, predict_linear
 from blockfit.plans import consensus, descent, sharing
 from blockfit.plans.consensus import consensus_lasso, consensus_smlr, umlr_consensus
@@ -373,3 +375,56 @@ def test_wide_statistics_are_added_by_spark(frame, lasso_small, monkeypatch):
     np.testing.assert_allclose(a, umlr_adam(df, epochs=3).W, atol=1e-12)
     np.testing.assert_allclose(b, umlr_consensus(df, num_blocks=2, epochs=3, block_by="key").W, atol=1e-12)
     assert descent.STATS_LIMIT > 0
+
+
+def _outcome(fn):
+    try:
+        return fn()
+    except Exception as error:  # noqa: BLE001
+        return "null" if "null among" in str(error) else "ragged" if "differ in their number" in str(error) else error
+
+
+@pytest.mark.parametrize("p", [8, 9])
+def test_one_null_rule_for_statistics(spark, frame, p):
+    rng = np.random.default_rng(0)
+    X, y = rng.normal(size=(40, p)), rng.normal(size=40)
+    df = frame(X, y)
+    holed = df.withColumn("label", F.when(F.col("row_id") != 3, F.col("label")))
+    keep = np.arange(40) != 3
+    row = gram(holed, p).first()
+    assert row["n"] == 39
+    np.testing.assert_allclose(row["gram"], (X[keep].T @ X[keep]).ravel())
+    np.testing.assert_allclose(row["cross"], X[keep].T @ y[keep])
+    model = least_squares_gd(holed, lr=1e-3, epochs=3)
+    np.testing.assert_allclose(model.W, least_squares_gd(frame(X[keep], y[keep]), lr=1e-3, epochs=3).W)
+    w = np.ones(p)
+    got = [r["value"] for r in ls_gradient(holed, w).orderBy("feature_idx").collect()]
+    np.testing.assert_allclose(got, X[keep].T @ (X[keep] @ w - y[keep]))
+    none = df.withColumn("features", F.when(F.col("row_id") != 3, F.col("features")))
+    hole = df.withColumn("features", F.transform("features", lambda v: F.when(F.col("row_id") != 3, v)))
+    short = df.withColumn("features", F.when(F.col("row_id") != 3, F.col("features")).otherwise(F.slice("features", 1, 2)))
+    for bad, said in ((none, "null"), (hole, "null"), (short, "ragged")):
+        assert _outcome(lambda: gram(bad, p).collect()) == said  # noqa: B023
+        assert _outcome(lambda: ls_gradient(bad, w).collect()) == said  # noqa: B023
+
+
+@pytest.mark.parametrize("p", [64, 65])
+def test_one_null_rule_for_scoring(spark, frame, p):
+    X = np.arange(4.0 * p).reshape(4, p)
+    df = frame(X, np.zeros(4))
+    holed = df.withColumn(
+        "features",
+        F.when(F.col("row_id") == 1, F.lit(None).cast("array<double>")).otherwise(
+            F.transform("features", lambda v: F.when(F.col("row_id") != 2, v))
+        ),
+    )
+    got = {r["row_id"]: r["prediction"] for r in predict_linear(holed, Model(spark, np.ones((p, 1)))).collect()}
+    assert got[1] is None and got[2] is None and got[0] == X[0].sum() and got[3] == X[3].sum()
+    W = np.stack([np.ones(p), -np.ones(p)], axis=1)
+    got = {r["row_id"]: r["prediction"] for r in predict_class(holed, Model(spark, W, ["a", "b"])).collect()}
+    assert got[1] is None and got[2] is None and got[3] == "a"
+    got = {r["row_id"]: r["margins"] for r in margins(holed, W).collect()}
+    assert got[1] is None and got[2] is None and got[3] == [X[3].sum(), -X[3].sum()]
+    short = df.withColumn("features", F.when(F.col("row_id") != 1, F.col("features")).otherwise(F.slice("features", 1, 9)))
+    assert _outcome(lambda: predict_linear(short, Model(spark, np.ones((p, 1)))).collect()) == "ragged"
+    assert _outcome(lambda: predict_class(short, Model(spark, W, ["a", "b"])).collect()) == "ragged"
