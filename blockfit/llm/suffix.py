@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockfit.llm.common import column_of, mixed, shuffle_partitions, stored
+from blockfit.llm.common import column_of, mixed, shuffle_partitions, slices, stored
 from blockfit.llm.quality import odd_factors
 
 _U = np.uint64
 GRAM = 32
 #: Bytes looked at together, and different segments of a gram in one batch beyond which it is hot.
-BUFFER, HOT = 1 << 20, 64
+BUFFER, HOT = 1 << 19, 64
 _POSITION = _U((1 << 22) - 1)
 #: Kinds of rows.
 SEGMENT, MARKER, REPEAT, BUCKET, SINGLE = range(5)
@@ -144,10 +144,7 @@ def _binary(batch: pa.RecordBatch) -> list[bytes]:
 def _name_segments(length: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = pa.compute.binary_length(column_of(whole, "data")).fill_null(0).to_numpy(zero_copy_only=False)
-            block = np.cumsum(sizes) // (8 << 20)
-            for b in np.unique(block):
-                batch = whole.filter(pa.array(block == b))
+            for batch in slices(whole, "data"):
                 texts = _binary(batch)
                 rank = column_of(batch, "rank").to_numpy(zero_copy_only=False)
                 tags = np.array([text_tag(t) for t in texts], np.int64)
@@ -368,7 +365,7 @@ def remove_repeats(
     tagged_schema = T.StructType([*source.schema.fields, T.StructField("tag", T.LongType())])
 
     def add_tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "data")):
             tags = pa.array([text_tag(t) for t in _binary(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, tags], names=tagged_schema.names)
 
@@ -391,7 +388,7 @@ def remove_repeats(
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "data")):
             rows = []
             for data, ranges in zip(_binary(batch), column_of(batch, "ranges")):
                 spans = _merged(ranges, length, len(data))
