@@ -1,4 +1,7 @@
-"""Readers that end in the labelled frame ``<row_id?, label double, features array<double>>``."""
+"""Readers that end in the labelled frame ``<row_id long, label double, features array<double>>``.
+
+Files have no key, so their rows are numbered in the order in which they are read.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockfit.operators.prepare import assemble, train_test_split, with_row_id
+from blockfit.operators.prepare import assemble, number_in_place, train_test_split, with_row_id
 
 
 def _csv_width(spark: SparkSession, path: str, sep: str) -> int:
@@ -33,14 +36,14 @@ def read_labeled_csv(
     names = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
     raw = spark.read.csv(path, schema=schema, sep=sep, header=False, mode="FAILFAST")
-    return assemble(raw, names[-1] if label == "last" else names[0])
+    return number_in_place(assemble(raw, names[-1] if label == "last" else names[0]))
 
 
 def read_labeled_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``label,f1 f2 f3``: label first, features parted by blanks."""
     parts = F.split(F.col("value"), ",")
     numbers = F.split(F.trim(parts[1]), r"\s+")
-    return (
+    rows = (
         spark.read.text(path)
         .filter(F.length(F.trim("value")) > 0)
         .select(
@@ -48,6 +51,7 @@ def read_labeled_text(spark: SparkSession, path: str) -> DataFrame:
             F.transform(numbers, lambda s: s.cast("double")).alias("features"),
         )
     )
+    return number_in_place(rows)
 
 
 def load_train_test(
@@ -61,7 +65,7 @@ def load_train_test(
     train = read_labeled_csv(spark, path)
     if test_path is not None:
         return train, read_labeled_csv(spark, test_path)
-    return train_test_split(train, test_size, seed, by="random")
+    return train_test_split(train, test_size, seed)
 
 
 def from_table(

@@ -546,3 +546,14 @@ SELECT round(avg(e), 6) AS mean, round(max(e), 6) AS max, round(min(e), 6) AS mi
 
 for _name in ("consensus_lasso", "sharing_lasso", "umlr_consensus", "umlr_sharing", "least_squares"):
     ORACLES[f"{_name}_table"] = ORACLES[f"{_name}_weights"]
+
+ORACLES["csv_to_lasso"] = f"""
+WITH RECURSIVE {_PART}, {_consensus_lasso('part_rows', 20, 0.5, 1.0, 3)}, w AS ({_WEIGHTS_1}),
+e AS (SELECT round(avg(abs(y - a * x0 - b * x1)), 6) AS mae FROM part_rows, last)
+SELECT w.*, mae FROM w, e"""
+ORACLES["text_to_umlr"] = ORACLES["umlr_adam_weights"].replace(
+    _MIRRORED,
+    f"""w AS ({_MIRRORED}),
+e AS (SELECT round(avg(CAST((a * w0 + b * w1 > 0) = (l = 1) AS DOUBLE)), 6) AS accuracy FROM part_rows, last)
+SELECT w.*, accuracy FROM w, e""",
+).replace("last AS (SELECT w0, w1 FROM r WHERE t = 10)", "last AS (SELECT w0, w1 FROM r WHERE t = 10),")

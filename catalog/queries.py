@@ -602,6 +602,47 @@ def collect_vectors(spark, sf):
     )
 
 
+# --- from a file to a model ------------------------------------------------------------------
+
+
+def part_file(spark, sf, lines: Callable[[DataFrame], DataFrame], write: Callable) -> str:
+    path = scratch_path(spark, "rows")
+    # one file, so that the order of its lines is that of the keys
+    write(lines(table(spark, sf, "part").orderBy("p_partkey")).coalesce(1), path)
+    return path
+
+
+@query
+def csv_to_lasso(spark, sf):
+    path = part_file(
+        spark,
+        sf,
+        lambda part: part.select(*part_features(), F.col("p_retailprice") / 1000),
+        lambda rows, path: rows.write.csv(path),
+    )
+    rows = read_labeled_csv(spark, path)
+    model = consensus_lasso(rows, lam=0.5, rho=1.0, num_blocks=3, max_iter=20, tol=-1, block_by="key")
+    error = H.mae(predict_linear(rows, model)).select(r6("mae").alias("mae"))
+    # a row for each weight against one row
+    return weight_table(model).crossJoin(F.broadcast(error))
+
+
+@query
+def text_to_umlr(spark, sf):
+    path = part_file(
+        spark,
+        sf,
+        lambda part: part.select(
+            F.concat_ws(",", (F.col("p_size") > 25).cast("int"), F.concat_ws(" ", *part_features())).alias("value")
+        ),
+        lambda rows, path: rows.write.text(path),
+    )
+    rows = read_labeled_text(spark, path)
+    model = umlr_adam(rows, lr=0.01, eta=1e-4, epochs=10)
+    right = H.accuracy(predict_class(rows, model)).select(r6("accuracy").alias("accuracy"))
+    return weight_table(model).crossJoin(F.broadcast(right))
+
+
 # --- batches ---------------------------------------------------------------------------------
 
 
