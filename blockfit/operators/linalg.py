@@ -28,15 +28,32 @@ _HELD_LIMIT = 256 << 20
 # statistics of all blocks up to this size are summed where the rows are, in bytes
 _IN_PLACE_LIMIT = 32 << 20
 
+# numbers of a vector that are added in one task, and partial vectors a task of the first level adds
+SEGMENT = 1 << 16
+FAN_IN = 64
+
 _DOUBLES = pa.list_(pa.float64())
 
 
-def vector_sum(df: DataFrame, col: str, by: Sequence[str] = (), fan_in: int | None = None) -> DataFrame:
+def vector_sum(
+    df: DataFrame, col: str, by: Sequence[str] = (), fan_in: int | None = None, width: int | None = None
+) -> DataFrame:
     """Element-wise sum of a vector column per group, with partial sums before every shuffle.
 
-    ``fan_in`` puts a stage between that adds up to so many partial sums per task, for
-    wide vectors from many partitions.
+    ``fan_in`` puts a stage between that adds up to so many partial sums per task. Vectors of a
+    ``width`` beyond ``SEGMENT`` are cut into segments that are added apart and in two levels, so that no
+    task adds the whole vectors of all partitions; only the sums meet again.
     """
+    if width is not None and width > SEGMENT:
+        last = -(-width // SEGMENT) - 1
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.lit(last)),
+            lambda i: F.struct(i.alias("segment"), F.slice(col, i * SEGMENT + 1, F.lit(SEGMENT)).alias(col)),
+        )
+        cut = df.select(*by, F.explode(pieces).alias("_e")).select(*by, "_e.segment", f"_e.{col}")
+        summed = vector_sum(cut, col, [*by, "segment"], fan_in or FAN_IN)
+        joined = F.transform(F.array_sort(F.collect_list(F.struct("segment", col))), lambda s: s[col])
+        return summed.groupBy(*by).agg(F.flatten(joined).alias(col))
     if fan_in:
         salted = df.withColumn("_salt", F.floor(F.spark_partition_id() / F.lit(fan_in)))
         df = salted.groupBy(*by, "_salt").agg(collect_sum(col).alias(col))
@@ -48,13 +65,17 @@ def driver_sum(partials: DataFrame, num_partials: int, widths: dict[str, int]) -
 
     ``partials`` has the columns of ``widths`` (vector name to length). While all partials
     together stay below a limit they are fetched as they are and added in order, which
-    takes one stage; else Spark adds them in two levels first.
+    takes one stage; else Spark adds them in two levels first, in as many tasks as there are
+    groups of partials, however many partitions the session has.
     """
     names = list(widths)
     if num_partials * sum(widths.values()) * 8 > PARTIALS_LIMIT:
         joined = partials.select(F.concat(*names).alias("all"))
         fan_in = max(2, int(num_partials**0.5))
-        total = np.asarray(vector_sum(joined, "all", fan_in=fan_in).first()["all"])
+        salts = -(-num_partials // fan_in)
+        salted = joined.withColumn("_salt", F.floor(F.spark_partition_id() / F.lit(fan_in)))
+        groups = salted.repartition(salts, "_salt").groupBy("_salt").agg(collect_sum("all").alias("all"))
+        total = np.asarray(vector_sum(groups, "all", width=sum(widths.values())).first()["all"])
         cuts = np.cumsum([widths[n] for n in names])[:-1]
         return dict(zip(names, np.split(total, cuts)))
     table = partials.select(*names).toArrow()
@@ -162,7 +183,7 @@ def _gram_partials(parts_of: Callable) -> Callable:
 
 def _gram_table(partials: DataFrame, p: int) -> DataFrame:
     s = F.col("s")
-    return vector_sum(partials, "s", ["block_id"]).select(
+    return vector_sum(partials, "s", ["block_id"], width=2 + p + p * p).select(
         "block_id",
         s[0].cast("long").alias("n"),
         F.slice(s, F.lit(p + 3), F.lit(p * p)).alias("gram"),
@@ -289,7 +310,7 @@ def _plain_rows(df: DataFrame) -> DataFrame:
 
 def _softmax_table(partials: DataFrame, W: np.ndarray) -> DataFrame:
     s = F.col("s")
-    return vector_sum(partials, "s").select(
+    return vector_sum(partials, "s", width=2 + W.size).select(
         s[0].cast("long").alias("n"), s[1].alias("loss"), F.slice(s, F.lit(3), F.lit(W.size)).alias("gradient")
     )
 
@@ -381,9 +402,9 @@ def ls_gradient(df: DataFrame, w: np.ndarray) -> DataFrame:
             F.array(*[F.sum(F.col("features")[i] * F.col("_e")) for i in range(p)]).alias("g")
         )
     elif "X" in df.columns:
-        total = vector_sum(df.select("p", "X", "y").mapInArrow(ls_partials(w), "g array<double>"), "g")
+        total = vector_sum(df.select("p", "X", "y").mapInArrow(ls_partials(w), "g array<double>"), "g", width=p)
     else:
-        total = vector_sum(_plain_rows(df).mapInArrow(ls_partials(w, _matrices), "g array<double>"), "g")
+        total = vector_sum(_plain_rows(df).mapInArrow(ls_partials(w, _matrices), "g array<double>"), "g", width=p)
     return total.select(F.posexplode("g").alias("feature_idx", "value"))
 
 

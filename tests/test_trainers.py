@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blockfit.operators.blocks import feature_blocks
 from blockfit.model import Model
-from blockfit.operators.linalg import gram, ls_gradient, margins
+from blockfit.operators.linalg import gram, ls_gradient, margins, softmax_gradient
 from blockfit.operators.score import predict_class, predict_linear
 from blockfit.plans import consensus, descent, sharing
 from blockfit.plans.consensus import consensus_lasso, consensus_smlr, umlr_consensus
@@ -428,3 +428,26 @@ def test_one_null_rule_for_scoring(spark, frame, p):
     short = df.withColumn("features", F.when(F.col("row_id") != 1, F.col("features")).otherwise(F.slice("features", 1, 9)))
     assert _outcome(lambda: predict_linear(short, Model(spark, np.ones((p, 1)))).collect()) == "ragged"
     assert _outcome(lambda: predict_class(short, Model(spark, W, ["a", "b"])).collect()) == "ragged"
+
+
+def test_wide_sums_are_cut_into_segments(spark, frame, monkeypatch):
+    rng = np.random.default_rng(5)
+    X, y = rng.normal(size=(60, 12)), rng.normal(size=60)
+    df = frame(X, y, parts=5).withColumn("block_id", F.pmod("row_id", F.lit(2)))
+    plain = {r["block_id"]: r for r in gram(df, 12).collect()}
+    monkeypatch.setattr("blockfit.operators.linalg.SEGMENT", 10)
+    table = gram(df, 12)
+    cut = {r["block_id"]: r for r in table.collect()}
+    for b in (0, 1):
+        assert cut[b]["n"] == plain[b]["n"] == 30
+        for c in ("gram", "cross"):
+            np.testing.assert_allclose(cut[b][c], plain[b][c], rtol=1e-12)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "segment" in plan and "_salt" in plan
+    W = rng.normal(size=(12, 3))
+    rows = df.withColumn("label", F.pmod("row_id", F.lit(3)).cast("double"))
+    first = softmax_gradient(rows, W).toPandas()
+    monkeypatch.setattr("blockfit.operators.linalg.SEGMENT", 1 << 16)
+    second = softmax_gradient(rows, W).toPandas()
+    keys = ["feature_idx", "class_idx"]
+    np.testing.assert_allclose(first.sort_values(keys).value, second.sort_values(keys).value)
