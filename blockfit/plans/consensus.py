@@ -8,7 +8,6 @@ joined to the data, and only ``z`` is known to the driver. Both ways give the sa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -514,21 +513,46 @@ def _uncorrelated_round(z: np.ndarray, scale: float, rho: float, epsilon: float)
     return run
 
 
+def _place_chunks(chunks: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks put into their partitions once, by ``(block_id, salt)``, and the salts of the blocks.
+
+    A block has one salt for each partition's worth of chunks, so that a hot one fills many.
+    Returns the persisted chunks and ``<block_id, _salts>`` of the blocks that have several.
+    """
+    counts = chunks.groupBy("block_id").agg(F.count("*").alias("_chunks"))
+    per_part = max(1, -(-(counts.agg(F.sum("_chunks")).first()[0] or 0) // parts))
+    # blocks above the mean partition: fewer than there are partitions
+    hot = [(r["block_id"], -(-r["_chunks"] // per_part)) for r in counts.filter(F.col("_chunks") > per_part).collect()]
+    salts = chunks.sparkSession.createDataFrame(hot, "block_id long, _salts long")
+    salt = F.pmod(F.xxhash64("chunk_id"), F.coalesce("_salts", F.lit(1)))
+    salted = chunks.join(F.broadcast(salts), "block_id", "left").withColumn("salt", salt).drop("_salts")
+    return salted.repartition(parts, "block_id", "salt").persist(_KEEP), salts
+
+
 class _UncorrelatedTable(_StateTable):
     def __init__(self, chunks, parts, shape, num_blocks, num_rows, epsilon, rho, eta):
-        self.data, self.shape, self.n, self.scale = chunks, shape, num_blocks, num_blocks / num_rows
+        self.shape, self.n, self.scale = shape, num_blocks, num_blocks / num_rows
         self.epsilon, self.rho, self.eta = epsilon, rho, eta
+        self.data, self.salts = _place_chunks(chunks, parts)
         ones = F.array_repeat(F.lit(1.0), int(np.prod(shape)))
-        self.state = chunks.select("block_id").distinct().select("block_id", ones.alias("x"), ones.alias("u"))
+        self.state = self.data.select("block_id").distinct().select("block_id", ones.alias("x"), ones.alias("u"))
         self.state = self.state.persist(_KEEP)
+        self.state.count()
+        chunks.unpersist()
         self.z, self._z_before = np.ones(shape), np.zeros(shape)
         self._init_residuals(shape, num_blocks, rho)
 
-    def advance(self) -> dict:
+    def joined(self) -> DataFrame:
+        """The chunks, where they lie, with the state of their block; only the state moves."""
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)
         state = self.state.select("block_id", F.col("x").alias("w"), "u")
-        joined = self.data.select("block_id", "p", "X", "y").join(state, "block_id")
+        state = state.join(F.broadcast(self.salts), "block_id", "left").withColumn("salt", F.explode(every))
+        chunks = self.data.select("block_id", "salt", "p", "X", "y")
+        return chunks.join(state.drop("_salts").hint("shuffle_hash"), ["block_id", "salt"]).drop("salt")
+
+    def advance(self) -> dict:
         sums = (
-            joined.mapInArrow(
+            self.joined().mapInArrow(
                 _joined_gradients(self.shape), "block_id long, g array<double>, x array<double>, u array<double>"
             )
             .groupBy("block_id")
@@ -571,7 +595,6 @@ def umlr_consensus(
     held = 3 * num_blocks * shape[0] * shape[1] * 8 <= stats_limit and last < num_blocks
     kind = _UncorrelatedHeld if held else _UncorrelatedTable
     problem = kind(chunks, parts, shape, num_blocks, num_rows, epsilon, rho, eta)
-    # the join of a large state table is left to adaptive execution, which splits a hot block
-    with fixed_plans(spark, parts) if held else nullcontext():
+    with fixed_plans(spark, parts):
         z, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
     return Model(spark, z, classes, history_rows=history, params=params)

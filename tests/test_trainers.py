@@ -451,3 +451,27 @@ def test_wide_sums_are_cut_into_segments(spark, frame, monkeypatch):
     second = softmax_gradient(rows, W).toPandas()
     keys = ["feature_idx", "class_idx"]
     np.testing.assert_allclose(first.sort_values(keys).value, second.sort_values(keys).value)
+
+
+def test_consensus_table_moves_only_the_state(spark, frame, blobs, monkeypatch):
+    """The placed chunks have no exchange and no sort above them, a block with most rows included."""
+    X, y = blobs
+    blocks = np.where(np.arange(len(X)) % 5 == 0, np.arange(len(X)) // 5 % 3, 0)
+    df = frame(X, y, block_id=[int(b) for b in blocks])
+    plans = []
+    advance = consensus._UncorrelatedTable.advance
+
+    def watched(self):
+        plans.append((self.joined()._jdf.queryExecution().executedPlan().toString(), self.salts.count()))
+        return advance(self)
+
+    monkeypatch.setattr(consensus._UncorrelatedTable, "advance", watched)
+    pack = consensus.pack_chunks
+    monkeypatch.setattr(consensus, "pack_chunks", lambda rows, parts, **k: pack(rows, parts, max_chunk_bytes=512, **k))
+    table = umlr_consensus(df, num_blocks=3, epochs=4, stats_limit=0)
+    held = umlr_consensus(df, num_blocks=3, epochs=4)
+    np.testing.assert_allclose(table.W, held.W, atol=1e-9)
+    plan, hot = plans[0]
+    assert hot >= 1 and "ShuffledHashJoin" in plan
+    chunk_side = plan[plan.index("ShuffledHashJoin") :].split("InMemoryTableScan")[0]
+    assert "Exchange" not in chunk_side and "Sort" not in chunk_side
