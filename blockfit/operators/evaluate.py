@@ -65,9 +65,9 @@ def cross_validate(
     seed: int = 1,
     by: str = "hash",
 ) -> tuple[DataFrame, DataFrame]:
-    """``(per fold, summary)``: the metric of every fold, and its mean, maximum and minimum.
+    """``(per fold, summary)``: the metrics of every fold, and ``<metric, mean, max, min>`` of each.
 
-    The first column of the metric is summarised.
+    The input is read once for each fold and is best persisted by the caller.
     """
     folds = k_fold(df, k, seed, by)
     results = []
@@ -76,7 +76,8 @@ def cross_validate(
         test = folds.filter(F.col("fold") == i).drop("fold")
         results.append(validate(train, test, fit, predict, metric).withColumn("fold", F.lit(i)))
     per_fold = reduce(DataFrame.unionByName, results)
-    value = F.col(per_fold.columns[0])
-    return per_fold, per_fold.agg(
-        F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min")
+    named = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in per_fold.columns[:-1]]
+    values = per_fold.select(F.explode(F.array(*named)).alias("m")).groupBy("m.metric")
+    return per_fold, values.agg(
+        F.avg("m.value").alias("mean"), F.max("m.value").alias("max"), F.min("m.value").alias("min")
     )

@@ -52,15 +52,15 @@ def class_mean(df: DataFrame) -> DataFrame:
     return sums.select("label", F.transform("features", lambda v: v / F.col("_n")).alias("features"))
 
 
-def collect_vectors(df: DataFrame, key: str, rows_per_part: int = 4096, num_parts: int | None = None) -> DataFrame:
+def collect_vectors(df: DataFrame, key: str, rows_per_part: int = 4096, by: str = "hash") -> DataFrame:
     """``<key, part, row_ids, vectors>``: the vectors of a group in row order.
 
     A group comes in parts by a hash of the row, about ``rows_per_part`` rows each, so
-    that no task holds a whole group; a group of at most that size is one part.
+    that no task holds a whole group; a group of at most that size is one part. ``by="range"`` takes
+    the rows of so many consecutive ids to a part.
     """
-    if num_parts is not None:
-        part = F.pmod(F.col("row_id"), F.lit(num_parts)).cast("int")
-        placed = df.withColumn("part", part)
+    if by == "range":
+        placed = df.withColumn("part", F.floor(F.col("row_id") / F.lit(rows_per_part)).cast("int"))
     else:
         sizes = df.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows_per_part)).alias("_parts"))
         placed = df.join(sizes, key).withColumn(

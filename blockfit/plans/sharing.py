@@ -232,7 +232,7 @@ def _round_kernel(x: np.ndarray, n_blocks: int, row_step: RowStep, start: float)
     """Kernel over chunks (with their state, but in the first round): one round of the rows.
 
     Gives the new ``z`` and ``u``, the part of ``X'(z - Abar - u)`` in ``r``, and in ``s``
-    the sums of squares and of absolute values of ``Abar - z``.
+    the sums of squares of ``Abar - z`` and of absolute changes of ``u``.
     """
     k = x.shape[1]
 
@@ -254,7 +254,9 @@ def _round_kernel(x: np.ndarray, n_blocks: int, row_step: RowStep, start: float)
                 z.append(z_new.tobytes())
                 u.append(u_new.tobytes())
                 r.append((A.T @ (-gap - u_new)).ravel())
-                s.append([float((gap**2).sum()), float(np.abs(gap).sum())])
+                # the first change counts from zero, whatever the start
+                moved = gap if has_state else u_new
+                s.append([float((gap**2).sum()), float(np.abs(moved).sum())])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("chunk_id"),

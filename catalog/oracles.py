@@ -274,7 +274,7 @@ ORACLES["class_mean"] = f"""
 WITH {_EMB} SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) AS value FROM emb GROUP BY 1, 2"""
 
 ORACLES["collect_vectors"] = """
-SELECT label, CAST(vec_id % 3 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS num_rows,
+SELECT label, CAST(vec_id // 150 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS num_rows,
        string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids,
        round(CAST(arg_max(embedding[64], vec_id) AS DOUBLE), 6) AS last_value
 FROM embeddings GROUP BY 1, 2"""
@@ -368,24 +368,44 @@ def _cols(fmt: str) -> str:
     return ", ".join(fmt.format(i=i, k=k, o=1 - k, s="" if k else "-") for i, k in _ik)
 
 
-ORACLES["umlr_consensus_weights"] = f"""
-WITH RECURSIVE {_PART}, n AS (SELECT count(*) AS n FROM part_rows),
-r(t, blk, {_cols("x{i}{k}")}, {_cols("u{i}{k}")}, {_cols("z{i}{k}")}) AS (
-  SELECT 0, blk, {", ".join(["1.0::DOUBLE"] * 12)} FROM (SELECT DISTINCT id % 3 AS blk FROM part_rows)
+def _umlr_consensus(rows: str, name: str, blocks: int, rounds: int, epsilon: float, rho: float, eta: float) -> str:
+    """CTEs ``<name>n, <name>r, <name>``: the last ``z`` of the ADMM rounds over ``rows``."""
+    mean = "(avg(x{i}{k}) OVER () + avg(u{i}{k}) OVER ())"
+    scale = f"({eta} * (z0{{o}} * z0{{o}} + z1{{o}} * z1{{o}}) + {blocks} * {rho})"
+    step = f"{blocks}.0 / n * ({{s}}h{{i}}) + {rho} * (x{{i}}{{k}} - z{{i}}{{k}} + u{{i}}{{k}})"
+    return f"""{name}n AS (SELECT count(*) AS n FROM {rows}),
+{name}r(t, blk, {_cols("x{i}{k}")}, {_cols("u{i}{k}")}, {_cols("z{i}{k}")}) AS (
+  SELECT 0, blk, {", ".join(["1.0::DOUBLE"] * 12)} FROM (SELECT DISTINCT id % {blocks} AS blk FROM {rows})
   UNION ALL
-  SELECT t + 1, blk, {_cols("x{i}{k}")}, {_cols("u{i}{k}")},
-         {_cols("0.01 * 3 * (avg(x{i}{k}) OVER () + avg(u{i}{k}) OVER ()) / (1e-5 * (z0{o} * z0{o} + z1{o} * z1{o}) + 3 * 0.01)")}
+  SELECT t + 1, blk, {_cols("x{i}{k}")}, {_cols("u{i}{k}")}, {_cols(f"{rho} * {blocks} * {mean} / {scale}")}
   FROM (
     SELECT t, blk, {_cols("z{i}{k}")}, {_cols("u{i}{k} + x{i}{k} - z{i}{k} AS u{i}{k}")},
-           {_cols("x{i}{k} - 0.01 * (3.0 / n * ({s}h{i}) + 0.01 * (x{i}{k} - z{i}{k} + u{i}{k})) AS x{i}{k}")}
+           {_cols(f"x{{i}}{{k}} - {epsilon} * ({step}) AS x{{i}}{{k}}")}
     FROM (
       SELECT t, blk, {_cols("x{i}{k}")}, {_cols("u{i}{k}")}, {_cols("z{i}{k}")}, sum(a * s) AS h0, sum(b * s) AS h1
-      FROM (SELECT r.*, a, b, 1 / (1 + exp(a * x00 + b * x10 - a * x01 - b * x11)) - l AS s
-            FROM r JOIN part_rows ON id % 3 = blk WHERE t < 20)
-      GROUP BY ALL), n)),
-last AS (SELECT DISTINCT {_cols("z{i}{k}")} FROM r WHERE t = 20)
+      FROM (SELECT {name}r.*, a, b, 1 / (1 + exp(a * x00 + b * x10 - a * x01 - b * x11)) - l AS s
+            FROM {name}r JOIN {rows} ON id % {blocks} = blk WHERE t < {rounds})
+      GROUP BY ALL), {name}n)),
+{name} AS (SELECT DISTINCT {_cols("z{i}{k}")} FROM {name}r WHERE t = {rounds})"""
+
+
+ORACLES["umlr_consensus_weights"] = f"""
+WITH RECURSIVE {_PART}, {_umlr_consensus("part_rows", "last", 3, 20, 0.01, 0.01, 1e-5)}
 {_WEIGHTS_2}"""
 
+_folds = range(3)
+_FOLD_METRICS = f"""WITH RECURSIVE {_PART},
+{", ".join(f"train{f} AS (SELECT * FROM part_rows WHERE id % 3 <> {f}), " + _umlr_consensus(f"train{f}", f"last{f}", 2, 5, 0.5, 0.1, 0.01) for f in _folds)},
+pred AS ({" UNION ALL ".join(f"SELECT {f} AS fold, l, CAST(a * z01 + b * z11 > a * z00 + b * z10 AS INT) AS p FROM part_rows, last{f} WHERE id % 3 = {f}" for f in _folds)}),
+hit AS (SELECT fold, avg(CAST(l = p AS DOUBLE)) AS micro FROM pred GROUP BY 1),
+cls AS (SELECT t.fold, t.l, coalesce(avg(CAST(pred.l = pred.p AS DOUBLE)), 0) AS prec
+        FROM (SELECT DISTINCT fold, l FROM pred) t LEFT JOIN pred ON pred.fold = t.fold AND pred.p = t.l GROUP BY 1, 2),
+folded AS (SELECT fold, micro, macro FROM hit JOIN (SELECT fold, avg(prec) AS macro FROM cls GROUP BY 1) USING (fold))"""
+ORACLES["cross_validate_classes"] = f"{_FOLD_METRICS} SELECT fold, round(micro, 6) AS micro, round(macro, 6) AS macro FROM folded"
+ORACLES["cross_validate_summary"] = f"""{_FOLD_METRICS},
+m AS (SELECT 'micro' AS metric, micro AS v FROM folded UNION ALL SELECT 'macro', macro FROM folded)
+SELECT metric, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(min(v), 6) AS min FROM m GROUP BY 1"""
+
 # with two classes and a start at zero the classes mirror each other: w is the second one
 _MIRRORED = " UNION ALL ".join(
     f"SELECT {k} AS class_idx, {i} AS feature_idx, round({'' if k else '-'}w{i}, 6) AS weight FROM last"
