@@ -577,3 +577,40 @@ ORACLES["text_to_umlr"] = ORACLES["umlr_adam_weights"].replace(
 e AS (SELECT round(avg(CAST((a * w0 + b * w1 > 0) = (l = 1) AS DOUBLE)), 6) AS accuracy FROM part_rows, last)
 SELECT w.*, accuracy FROM w, e""",
 ).replace("last AS (SELECT w0, w1 FROM r WHERE t = 10)", "last AS (SELECT w0, w1 FROM r WHERE t = 10),")
+
+# two classes mirror each other: x, u, z, m, v are those of the second one, for two features and the bias
+
+
+def _three(fmt: str) -> str:
+    return ", ".join(fmt.format(i=i) for i in range(3))
+
+
+_VECTORS = ", ".join(_three(f"{c}{{i}}") for c in "xuzmv")
+_RATE = "0.01 * sqrt(1 - pow(0.999, t % 3 + 1)) / (1 - pow(0.9, t % 3 + 1))"
+_ADAM_STEP = f"x{{i}} - {_RATE} * m{{i}} / (sqrt(v{{i}}) + 1e-8) AS x{{i}}"
+_MIDDLE = "(median(x{i} + u{i}) OVER ())"
+_SHRUNK = f"(CASE WHEN t % 3 = 2 THEN greatest({_MIDDLE} - k, 0) - greatest(-{_MIDDLE} - k, 0) ELSE z{{i}} END)"
+ORACLES["consensus_smlr_small"] = f"""
+WITH RECURSIVE {_PART}, c AS (SELECT 0.01 / 3.0::DOUBLE AS k),
+r(t, blk, {_VECTORS}) AS (
+  SELECT 0, blk, {", ".join(["0.0::DOUBLE"] * 15)} FROM (SELECT DISTINCT id % 3 AS blk FROM part_rows)
+  UNION ALL
+  SELECT t + 1, blk, {_three("x{i}")}, {_three("u{i}")}, {_three(_SHRUNK)}, {_three("m{i}")}, {_three("v{i}")}
+  FROM (
+    SELECT t, blk, {_three(_ADAM_STEP)}, {_three("u{i}")}, {_three("z{i}")}, {_three("m{i}")}, {_three("v{i}")}
+    FROM (
+      SELECT t, blk, {_three("x{i}")}, {_three("u{i}")}, {_three("z{i}")},
+             {_three("0.9 * m{i} + 0.1 * g{i} AS m{i}")}, {_three("0.999 * v{i} + 0.001 * g{i} * g{i} AS v{i}")}
+      FROM (
+        SELECT t, blk, {_VECTORS}, {_three("h{i} + 1.0 * (x{i} - z{i} + u{i}) AS g{i}")}
+        FROM (
+          SELECT t, blk, {_VECTORS}, sum(a * s) AS h0, sum(b * s) AS h1, sum(s) AS h2
+          FROM (SELECT d.*, a, b, 1 / (1 + exp(-2 * (a * x0 + b * x1 + x2))) - l AS s
+                FROM (SELECT t, blk, {_three("x{i}")}, {_three("z{i}")},
+                             {_three("CASE WHEN t % 3 = 0 THEN u{i} + x{i} - z{i} ELSE u{i} END AS u{i}")},
+                             {_three("CASE WHEN t % 3 = 0 THEN 0.0 ELSE m{i} END AS m{i}")},
+                             {_three("CASE WHEN t % 3 = 0 THEN 0.0 ELSE v{i} END AS v{i}")}
+                      FROM r WHERE t < 12) d JOIN part_rows ON id % 3 = blk)
+          GROUP BY ALL)))), c),
+last AS (SELECT DISTINCT {_three("z{i}")} FROM r WHERE t = 12)
+{" UNION ALL ".join(f"SELECT {k} AS class_idx, {i} AS feature_idx, round({'' if k else '-'}z{i}, 6) AS weight FROM last" for k in range(2) for i in range(3))}"""

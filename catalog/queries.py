@@ -803,6 +803,15 @@ def consensus_smlr_weights(spark, sf):
     return weight_table(model)
 
 
+@query
+def consensus_smlr_small(spark, sf):
+    return weight_table(
+        consensus_smlr(
+            part_binary(spark, sf), 0.01, 1.0, 0.01, num_blocks=3, max_iter=4, tol=-1, local_steps=3, block_by="key"
+        )
+    )
+
+
 @query
 def sharing_smlr_weights(spark, sf):
     model = sharing_smlr(
