@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockfit.llm.common import WordIds, byte_words, column_of, hash_bytes, mixed, slices, stored
+from blockfit.llm.common import WordIds, byte_words, column_of, hash_bytes, mixed, shuffle_partitions, slices, stored
 from blockfit.llm.graph import connected_components
 from blockfit.llm.quality import odd_factors, window_hashes
 
@@ -132,36 +132,194 @@ def estimate(left: str, right: str) -> Column:
     return (equal - F.lit(chance)) / F.lit(1 - chance)
 
 
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets of the documents in ``nodes <node>``."""
+    ends = nodes.select(F.col("node").alias("doc_id")).distinct()
+    return stored(shingle_sets(docs.join(ends, "doc_id", "left_semi")).dropDuplicates(), "sets")
+
+
+_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
 def linked_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The ``pairs <a, b>`` whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(shingle_sets(docs.join(ends, "doc_id", "left_semi")), "sets")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b"
     )
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for left, right in zip(column_of(batch, "left"), column_of(batch, "right")):
                 x, y = np.frombuffer(left.as_buffer(), _U), np.frombuffer(right.as_buffer(), _U)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 joint = np.concatenate([x, y])
                 joint.sort(kind="stable")
                 common = int((joint[1:] == joint[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [column_of(batch, c).filter(mask) for c in ("a", "b")], names=schema.names
-            )
+            yield pa.RecordBatch.from_arrays([column_of(batch, c).filter(mask) for c in _LINK.names], names=_LINK.names)
+
+    return both.select("a", "b", "left", "right").mapInArrow(confirm, _LINK)
 
-    return both.select("a", "b", "left", "right").mapInArrow(confirm, schema)
 
+#: Nodes of a bucket that one task compares with as many others.
+BLOCK = 1000
+_CELL = ["key", "i", "j"]
+_SEAT = T.StructType(
+    [
+        *[T.StructField(c, T.LongType()) for c in ("key", "i", "j", "node", "component")],
+        T.StructField("side", T.IntegerType()),
+    ]
+)
 
-def near_duplicates(docs: DataFrame, percent: int = 85, spread: float = 6.0, first_partners: int = 2) -> DataFrame:
+
+def open_cells(members: DataFrame, components: DataFrame, compared: int) -> DataFrame:
+    """Groups ``<key, node>`` that still hold several components, as cells of bounded size.
+
+    A node outside its group's largest component is on the left (1) and every node on the right (2); a
+    cell compares a block of the left with a block of the right. Groups of up to ``compared`` nodes
+    need no cell.
+    """
+    placed = members.join(components, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")
+    )
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("total")
+    )
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK))
+    split = split.where((F.col("parts") > 1) & (F.col("total") > compared)).select(
+        "key",
+        F.col("largest.component").alias("largest"),
+        blocks(F.col("total") - F.col("largest.n")).alias("lefts"),
+        blocks(F.col("total")).alias("rights"),
+    )
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    seat = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    across = lambda n, of: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), of)
+    left = across(F.col("rights"), lambda j: seat(block(F.col("lefts")), j, 1))
+    right = across(F.col("lefts"), lambda i: seat(i, block(F.col("rights")), 2))
+    outside = F.col("component") != F.col("largest")
+    seats = placed.join(split, "key").withColumn("seat", F.explode(F.when(outside, F.concat(left, right)).otherwise(right)))
+    return seats.select("key", "seat.i", "seat.j", "node", "component", "seat.side")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Complete cells from sorted rows, one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([column_of(batch, c).to_numpy(zero_copy_only=False) for c in _CELL])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        if held:
+            last = [column_of(held[-1], c)[held[-1].num_rows - 1].as_py() for c in _CELL]
+            if last != keys[:, 0].tolist():
+                yield pa.concat_batches(held)
+                held = []
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _sides(cell: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    side, component = (column_of(cell, c).to_numpy(zero_copy_only=False) for c in ("side", "component"))
+    return np.flatnonzero(side == 1), np.flatnonzero(side == 2), component
+
+
+class _Roots(dict):
+    """Disjoint sets of numbers, the smallest being the root."""
+
+    def find(self, x: int) -> int:
+        while (y := self.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _promising(lowest: float, percent: int):
+    """Of every cell the pairs that by packed bits may be similar enough, as edges that connect them."""
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = 2.0**-LOW_BITS
+        most = int((1 - (lowest * (1 - chance) + chance)) * MINIMA) + 1
+        ones = _U(int("1" * 16, 16))
+        for cell in _cells(batches):
+            left, right, component = _sides(cell)
+            n, node = (column_of(cell, c).to_numpy(zero_copy_only=False) for c in ("n", "node"))
+            bits = column_of(cell, "bits").flatten().to_numpy(zero_copy_only=False).view(_U).reshape(-1, PACKED)
+            roots = _Roots()
+            for at in range(0, len(left), 128):
+                rows = left[at : at + 128]
+                apart = np.zeros((len(rows), len(right)), np.int16)
+                for k in range(PACKED):
+                    x = bits[rows, k][:, None] ^ bits[right, k][None, :]
+                    x |= x >> _U(1)
+                    x |= x >> _U(2)
+                    apart += np.bitwise_count(x & ones)
+                a, b = n[rows][:, None], n[right][None, :]
+                good = (apart <= most) & (component[rows][:, None] != component[right][None, :])
+                good &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+                for r in np.flatnonzero(good.any(axis=1)):
+                    for other in node[right[good[r]]].tolist():
+                        roots.join(int(node[rows[r]]), other)
+            out = [(x, roots.find(x)) for x in roots if roots.find(x) != x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=_LINK.names)
+
+    return select
+
+
+def _join_cells(percent: int):
+    """Exact intersections of all pairs of a cell; links that join two components."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            left, right, component = _sides(cell)
+            node = column_of(cell, "node").to_numpy(zero_copy_only=False)
+            sets = [np.frombuffer(x.as_buffer(), _U) for x in column_of(cell, "members")]
+            sizes = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+            shared = times[shingle] > 1
+            column = (np.cumsum(times > 1) - 1)[shingle[shared]]
+            owner = owner[shared]
+            order = np.argsort(column, kind="stable")
+            column, owner = column[order], owner[order]
+            common = np.zeros((len(left), len(right)), np.float32)
+            width = 2048
+            for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+                a, b = np.searchsorted(column, (first, first + width))
+                part = np.zeros((len(sets), width), np.float32)
+                part[owner[a:b], column[a:b] - first] = 1
+                common += part[left] @ part[right].T
+            union = sizes[left][:, None] + sizes[right][None, :] - common
+            good = (100 * common >= percent * union) & (component[left][:, None] != component[right][None, :])
+            roots = _Roots()
+            out = []
+            for r in np.flatnonzero(good.any(axis=1)):
+                partners = np.flatnonzero(good[r])
+                kinds, at = np.unique(component[right[partners]], return_index=True)
+                for kind, k in zip(kinds.tolist(), at):
+                    if roots.join(int(component[left[r]]), kind):
+                        out.append((int(node[left[r]]), int(node[right[partners[k]]])))
+            if out:
+                columns = [pa.array(c, pa.int64()) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays(columns, names=_LINK.names)
+
+    return link
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, spread: float = 6.0) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Documents link if 100 * intersection >= ``percent`` * union of their 5-word shingle sets; a
@@ -169,11 +327,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, spread: float = 6.0, fir
 
     1. Equal sets are one class, its smallest id the node. 2. 40 bands of 6 minima put nodes into
     buckets (a link is missed with probability below 1e-8); every node is compared with the smallest
-    of each of its buckets. 3. While a bucket holds several components, its nodes outside the largest
-    are compared with those of other components, the most similar by estimate first, and
-    eight times as many in each further round, until no pair is left. So no partner is capped, yet a
-    bucket of copies costs one comparison for each copy. Pairs whose estimate lies ``spread`` standard
-    errors below the limit are not compared.
+    of each of its buckets. 3. Where a bucket then still holds several components, its nodes outside
+    the largest are estimated against all of it, in cells of 1000 by 1000 nodes; nodes connected by such
+    pairs form a group, whose full sets are compared in cells of the same size. A cell returns only
+    links that join two components. So no partner is capped, no pair is written out, and a bucket of copies
+    costs one comparison for each copy. Pairs whose estimate lies ``spread`` standard errors below
+    the limit are not compared on full sets.
 
     Null and empty texts have no shingles and no links. Rows of equal ``doc_id`` are one document.
     A null id links with nothing, has a null component and is kept. Other columns are ignored.
@@ -209,15 +368,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, spread: float = 6.0, fir
     stars = members.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     checked = stored(told(stars.distinct()).distinct(), "pairs")
     edges = stored(linked_pairs(checked, ids, percent), "links")
-    partners = first_partners
-    while True:
-        components = connected_components(edges)
-        asked = stored(_open_pairs(members, bits, components, checked, lowest, percent, partners), "pairs")
-        if not asked.limit(1).count():
-            break
-        edges = stored(edges.union(linked_pairs(asked, ids, percent)), "links")
-        checked = checked.union(asked)
-        partners *= 8
+    components = connected_components(edges)
+    parts = shuffle_partitions(docs.sparkSession)
+    dealt = lambda df: df.repartition(parts, *_CELL).sortWithinPartitions(*_CELL)
+    # two nodes of a bucket have been compared
+    seats = open_cells(members, components, 2).join(bits, "node")
+    promising = stored(dealt(seats).mapInArrow(_promising(lowest, percent), _LINK), "promising")
+    # nodes that share many buckets meet once, in the group that such pairs connect
+    groups = connected_components(promising).withColumnRenamed("component", "key")
+    seats = open_cells(groups, components, 1).join(sets_of(groups, ids), "node")
+    joined = dealt(seats).mapInArrow(_join_cells(percent), _LINK)
+    components = connected_components(stored(edges.union(joined), "links"))
     named = classes.select("digest", "node").join(components, "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component_id"))
     # rows of one id may lie in several classes: the smallest component of any of them
@@ -234,39 +395,3 @@ def near_duplicates(docs: DataFrame, percent: int = 85, spread: float = 6.0, fir
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
-
-
-def _open_pairs(
-    members: DataFrame, bits: DataFrame, components: DataFrame, checked: DataFrame, lowest: float, percent: int, partners: int
-) -> DataFrame:
-    """Pairs that share a bucket but not a component and were not compared: the best ``partners``
-    by estimate for each node outside its bucket's largest component, and other component."""
-    placed = members.join(components, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "component"))["component"].alias("largest"),
-        F.count("*").alias("parts"),
-        F.sum("n").alias("total"),
-    )
-    # two nodes of a bucket were compared in the first round
-    split = split.where((F.col("parts") > 1) & (F.col("total") > 2)).select("key", "largest")
-    active = stored(placed.join(split, "key").join(bits, "node"), "active")
-    left = active.where(F.col("component") != F.col("largest")).select(
-        "key", *[F.col(c).alias(f"{c}_l") for c in ("node", "component", "n", "bits")]
-    )
-    right = active.select("key", "largest", *[F.col(c).alias(f"{c}_r") for c in ("node", "component", "n", "bits")])
-    sizes = F.lit(100) * F.least("n_l", "n_r") >= F.lit(percent) * F.greatest("n_l", "n_r")
-    once = (F.col("component_r") == F.col("largest")) | (F.col("node_l") < F.col("node_r"))
-    found = (
-        left.join(right, "key")
-        .where((F.col("component_l") != F.col("component_r")) & once & sizes & (estimate("bits_l", "bits_r") >= lowest))
-        .groupBy("node_l", "node_r")
-        .agg(F.max(estimate("bits_l", "bits_r")).alias("likeness"), F.any_value("component_r").alias("component_r"))
-    )
-    pairs = found.select(
-        F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b"), "node_l", "component_r", "likeness"
-    ).join(checked, ["a", "b"], "left_anti")
-    best = Window.partitionBy("node_l", "component_r").orderBy(F.desc("likeness"), "a", "b")
-    return pairs.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= partners).select("a", "b").distinct()
