@@ -174,24 +174,40 @@ def features(ratios: np.ndarray) -> tuple[float, float, float]:
     return float(sums[-1]) / n, float(ratios.max()), best
 
 
-def _text_features(docs: DataFrame, shared: Broadcast[ToxicityModel], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the three features of every text."""
+def _text_features(docs: DataFrame, shared: Broadcast[ToxicityModel], keep: str) -> DataFrame:
+    """The column ``keep`` and the three features of every text, which may be a field of ``keep``."""
     schema = T.StructType(
-        [*[docs.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in ("mean_ratio", "best_word", "best_window")]]
+        [docs.schema[keep], *[T.StructField(c, T.DoubleType()) for c in ("mean_ratio", "best_word", "best_window")]]
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = WordIds(_derive)
-        for batch in (s for b in batches for s in slices(b)):
+        for batch in (s for b in batches for s in _parts(b, keep)):
             got = []
-            for text in column_of(batch, "text"):
+            for text in _texts(batch, keep):
                 ids = words_of(score_words(text.as_py()))
                 got.append(features(shared.value.ratios(words_of.values["word"][ids], words_of.values["stem"][ids])))
             words_of.fresh()
             columns = [pa.array(c, pa.float64()) for c in zip(*got)]
-            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in keep), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([column_of(batch, keep), *columns], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(measure, schema)
+    # a text inside ``keep`` goes to Python once
+    sent = [keep] if isinstance(docs.schema[keep].dataType, T.StructType) else [keep, "text"]
+    return docs.select(*sent).mapInArrow(measure, schema)
+
+
+def _texts(batch: pa.RecordBatch, keep: str) -> pa.Array:
+    column = column_of(batch, keep)
+    return column.field("text") if pa.types.is_struct(column.type) else column_of(batch, "text")
+
+
+def _parts(batch: pa.RecordBatch, keep: str) -> Iterator[pa.RecordBatch]:
+    """Slices with a few MB of text each."""
+    sized = pa.RecordBatch.from_arrays([_texts(batch, keep)], names=["text"])
+    at = 0
+    for part in slices(sized):
+        yield batch.slice(at, part.num_rows)
+        at += part.num_rows
 
 
 def _design(mean_ratio, best_word, best_window) -> np.ndarray:
@@ -281,7 +297,7 @@ def fit_toxicity(
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     sample = chosen.where(calibrates).orderBy("_order", "doc_id").limit(max_calibration)
     numbered = texts.join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    got = _text_features(numbered, shared_model, ["toxic"]).toArrow()
+    got = _text_features(numbered, shared_model, "toxic").toArrow()
     values = [got.column(c).to_numpy() for c in got.column_names]
     weights = np.zeros(4)
     if len(values[0]):
@@ -299,18 +315,19 @@ def _discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def score_toxicity(
     docs: DataFrame, fit: ToxicityFit, threshold: float = 0.7, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``doc_id, score, predicted`` of every text, and the columns ``carry`` as a struct ``carried``.
+    """``doc_id, score, predicted`` of every text; with ``carry``, ``score, predicted`` and these
+    columns, the text among them, as a struct ``carried``.
 
     A null text or one without words has the score of a text that says nothing either way. Equal
     rows get equal scores; other columns are ignored; an empty table gives an empty result.
     """
-    carried = [F.struct(*carry).alias("carried")] if carry else []
-    keep = ["doc_id", *(["carried"] if carry else [])]
-    found = _text_features(docs.select("doc_id", "text", *carried), fit.model, keep)
+    keep = "carried" if carry else "doc_id"
+    source = docs.select(F.struct(*carry).alias("carried")) if carry else docs.select("doc_id", "text")
+    found = _text_features(source, fit.model, keep)
     a, b, c, d = (F.lit(float(w)) for w in fit.weights)
     z = a + b * F.col("mean_ratio") + c * F.col("best_word") + d * F.col("best_window")
     return found.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).select(
-        "doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep[1:]
+        keep, "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
