@@ -53,7 +53,7 @@ class WordIds:
     the word alone, so this never changes a result.
     """
 
-    def __init__(self, derive: Callable[[list[bytes]], dict[str, np.ndarray]], limit: int = 400_000):
+    def __init__(self, derive: Callable[[list[bytes]], dict[str, np.ndarray]], limit: int = 150_000):
         self.derive, self.limit = derive, limit
         self._reset()
 
@@ -100,11 +100,18 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
-    Cuts the lineage; a lost executor loses nothing, and the files are columnar and compressed.
+    Cuts the lineage; a lost executor loses nothing, and the files are columnar and compressed. While it
+    runs, Python gets texts in batches of 8 MB, as two tasks of an executor hold theirs at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "8m")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -168,7 +175,7 @@ def running_sums(
     )
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``max_bytes`` of text each; a longer text is a part of its own."""
     lengths = pa.compute.binary_length(column_of(batch, text)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths) // max_bytes
