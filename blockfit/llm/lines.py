@@ -34,7 +34,8 @@ def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 10)
     first = digests.groupBy("digest").agg(
         F.min(F.struct("order", "place")).alias("first"), F.max(F.struct("order", "place")).alias("last")
     )
-    first = first.where(F.col("first") != F.col("last")).drop("last")
+    # stored, so that the join deals out both sides anew and can split a hot unit
+    first = stored(first.where(F.col("first") != F.col("last")).drop("last"), "first-units")
     return (
         digests.join(first, "digest")
         .where(F.struct("order", "place") != F.col("first"))
