@@ -3,8 +3,9 @@
 The pages of a host are merged into one tree of element paths. A path is presented in several ways
 (sequences of child elements) and holds several contents; both are variety, measured as entropy over
 the host's pages. Navigation, advertising and notices look and read alike on many pages, so their
-branches have low importance and are cut from each page. What HTML itself declares (``nav``, ``footer``,
-``article`` ...) is a prior that outweighs the statistics, and it is all there is for a host of few pages.
+branches have low importance and are cut from each page, inside declared main parts as well. ``article``
+and ``main`` raise the importance of what they hold, as so many pages more would; what HTML declares to be
+something else (``nav``, ``footer`` ...) goes in any case. A host of few pages has only the declarations.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_DIGITS = re.compile(r"\d+")
+#: Numbers that name a page or a record; shorter ones tell the parts of a template apart.
+_NUMBER = re.compile(r"\d{3,}")
 
 
 @dataclass
@@ -67,8 +69,9 @@ class Branch:
     path: str
     tag: str
     kind: int  # 1 main, -1 noise, 0 undeclared
+    above: int = 0
     children: list[str] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
+    same: dict[str, int] = field(default_factory=dict)  # children by label
 
 
 def page_parts(page: str) -> tuple[list[tuple[str, int, int]], list[Branch]]:
@@ -110,7 +113,9 @@ def page_parts(page: str) -> tuple[list[tuple[str, int, int]], list[Branch]]:
                     declared = -1
                 elif values.get("role") == "main":
                     declared = 1
-                label = f"{name}.{_DIGITS.sub('0', values.get('class') or values.get('id') or '').strip()}"
+                label = f"{name}.{_NUMBER.sub('0', values.get('class') or values.get('id') or '').strip()}"
+        if name in ("html", "body", *MAIN):
+            label = name  # their classes tell pages apart
         if name in NEVER:
             declared = -1
         elif name in MAIN and declared == 0:
@@ -119,7 +124,8 @@ def page_parts(page: str) -> tuple[list[tuple[str, int, int]], list[Branch]]:
         if name in VOID:
             continue
         kind = -1 if above.kind < 0 or declared < 0 else declared or above.kind
-        branches.append(Branch(f"{above.path}/{label}", name, kind))
+        place = above.same[label] = above.same.get(label, -1) + 1
+        branches.append(Branch(f"{above.path}/{label}:{place}", name, kind, stack[-1]))
         stack.append(len(branches) - 1)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -160,67 +166,91 @@ _FACT = T.StructType(
         T.StructField("host", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("role", T.StringType()),
+        T.StructField("kind", T.IntegerType()),
         T.StructField("value", T.LongType()),
     ]
 )
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: of each undeclared path how it is presented and what it holds."""
+    """Per page: of each path outside declared noise how it is presented and what it holds; the path of
+    the page itself is empty."""
     import xxhash
 
     digest = lambda text: xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
     for batch in batches:
-        rows: list[tuple[str, str, str, int]] = []
+        rows: list[tuple[str, str, str, int, int]] = []
         for host, page in zip(column_of(batch, "host").to_pylist(), column_of(batch, "html").to_pylist()):
             blocks, branches = page_blocks(page or "")
-            shown: dict[str, list[str]] = {}
-            held: dict[str, list[str]] = {}
-            for b in branches[1:]:
-                if not b.kind:
-                    runs = [c for k, c in enumerate(b.children) if not k or b.children[k - 1] != c]
-                    shown.setdefault(b.path, []).extend(runs)
+            held: dict[int, list[str]] = {}
             for text, owner in blocks:
-                path = branches[owner].path
-                while path in shown:
-                    held.setdefault(path, []).append(text)
-                    path = path.rpartition("/")[0]
-            rows += [(host, path, "style", digest("/".join(runs))) for path, runs in shown.items()]
-            rows += [(host, path, "content", digest("\n".join(texts))) for path, texts in held.items()]
+                if branches[owner].kind < 0:
+                    continue
+                for k in _upwards(branches, owner):
+                    held.setdefault(k, []).append(text)
+            for k, b in enumerate(branches):
+                if b.kind >= 0:
+                    runs = [c for i, c in enumerate(b.children) if not i or b.children[i - 1] != c]
+                    rows.append((host, b.path, "style", b.kind, digest("/".join(runs))))
+                    if k in held:
+                        rows.append((host, b.path, "content", b.kind, digest("\n".join(held[k]))))
         if rows:
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_FACT.names)
 
 
+def _upwards(branches: list[Branch], k: int) -> Iterator[int]:
+    """The branch and all above it, the page (0) last."""
+    yield k
+    while k:
+        k = branches[k].above
+        yield k
+
+
 def branch_importance(pages: DataFrame, decay: float = 0.9) -> DataFrame:
-    """``host, path, pages, importance`` of every undeclared branch of every host.
+    """``host, path, kind, pages, style, content, importance`` of every branch of every host that lies
+    outside declared noise.
 
     The entropy of presentations and that of contents are each divided by the log of the number of
     pages, so that 1 means all differ and 0 all are alike. As in a style tree the presentation counts
     with weight 1 - ``decay`` and what is below with ``decay``; the content of a path includes all
     that is below it, which keeps every branch a row of its own and the tree out of any one task.
+
+    Copies of a page tell nothing of its template: contents are measured relative to the variety of whole
+    pages on the host, and ``pages`` is at most the number of equally frequent pages of that variety.
     """
     facts = pages.select("host", "html").mapInArrow(_facts, _FACT)
-    values = facts.groupBy("host", "path", "role", "value").agg(F.count("*").alias("n"))
+    values = facts.groupBy("host", "path", "role", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
     n = F.col("n").cast("double")
     spread = values.groupBy("host", "path", "role").agg(
-        F.sum("n").alias("pages"), F.sum(n * F.log(n)).alias("weighted")
+        F.sum("n").alias("pages"), F.sum(n * F.log(n)).alias("weighted"), F.max("kind").alias("kind")
+    )
+    most = F.log(F.col("pages").cast("double"))
+    spread = spread.withColumn("entropy", F.greatest(most - F.col("weighted") / F.col("pages"), F.lit(0.0)))
+    spread = stored(
+        spread.withColumn("entropy_share", F.when(F.col("pages") > 1, F.col("entropy") / most).otherwise(1.0)),
+        "style-tree",
+    )
+    whole = spread.where((F.col("path") == "") & (F.col("role") == "content")).select(
+        "host", F.round(F.exp("entropy"), 6).alias("varied"), F.col("entropy_share").alias("whole")
     )
-    entropy = F.when(
-        F.col("pages") > 1, F.lit(1.0) - F.col("weighted") / (F.col("pages") * F.log(F.col("pages").cast("double")))
-    ).otherwise(1.0)
-    of = lambda role: F.max(F.when(F.col("role") == role, F.col("entropy")))
-    return (
-        spread.withColumn("entropy", entropy)
-        .groupBy("host", "path")
-        .agg(F.max("pages").alias("pages"), of("style").alias("style"), of("content").alias("content"))
-        .select(
-            "host",
-            "path",
-            "pages",
-            (F.lit(1 - decay) * F.col("style") + F.lit(decay) * F.coalesce("content", F.lit(1.0))).alias("importance"),
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("entropy_share")))
+    branches = (
+        spread.groupBy("host", "path")
+        .agg(
+            F.max("kind").alias("kind"), F.max("pages").alias("pages"), of("style").alias("style"), of("content").alias("content")
         )
+        .join(whole, "host", "left")
     )
+    relative = F.when(F.col("whole") > 0, F.least(F.col("content") / F.col("whole"), F.lit(1.0)))
+    return branches.select(
+        "host",
+        "path",
+        "kind",
+        F.least("pages", F.coalesce("varied", F.lit(1.0))).alias("pages"),
+        "style",
+        F.coalesce(relative, F.lit(1.0)).alias("content"),
+    ).withColumn("importance", F.lit(1 - decay) * F.col("style") + F.lit(decay) * F.col("content"))
 
 
 def main_text(
@@ -228,19 +258,23 @@ def main_text(
 ) -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of every page.
 
-    Blocks inside declared noise go; of the others, if a page declares a main part (``article``,
-    ``main``), the blocks inside it stay; of a page that declares none, all but those in branches whose
-    importance on their host is below ``least_importance``, for hosts with ``least_pages`` pages or more.
+    Blocks inside declared noise go. Of the others, inside a declared main part (``article``, ``main``) or
+    not, those in branches whose importance on their host is below ``least_importance`` go, for hosts with
+    ``least_pages`` different pages or more. A declared main part counts as ``least_pages`` pages more of
+    importance 1.
 
     A null page counts as empty and gives an empty text; a null url is a host of its own. Repeated
     rows each give a row. Columns other than ``page_id, url, html`` are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     sited = pages.select("page_id", "url", "html", host.alias("host"))
-    # every branch of a host that is cut; undeclared branches only, so the list is as long as its template
+    # a declared main part is a prior, worth so many pages of importance 1
+    prior = F.when(F.col("kind") > 0, F.lit(float(least_pages))).otherwise(0.0)
+    importance = (F.col("pages") * F.col("importance") + prior) / (F.col("pages") + prior)
+    # what repeats on a host, so the list is as long as its template
     cut = stored(
         branch_importance(sited)
-        .where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+        .where((F.col("path") != "") & (F.col("pages") >= least_pages) & (importance < least_importance))
         .groupBy("host")
         .agg(F.collect_list("path").alias("cut")),
         "cut-branches",
@@ -260,12 +294,7 @@ def main_text(
             for page, paths in zip(column_of(batch, "html").to_pylist(), column_of(batch, "cut").to_pylist()):
                 blocks, branches = page_blocks(page or "")
                 gone = set(paths or ())
-                declared = any(branches[owner].kind > 0 for _, owner in blocks)
-                kept = []
-                for text, owner in blocks:
-                    branch = branches[owner]
-                    if branch.kind > 0 or not declared and not branch.kind and not _below(branch.path, gone):
-                        kept.append(text)
+                kept = [text for text, owner in blocks if _stays(branches, owner, gone)]
                 texts.append(" ".join(kept))
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(
@@ -275,9 +304,7 @@ def main_text(
     return sited.join(cut, "host", "left").select("page_id", "url", "html", "cut").mapInArrow(extract, schema)
 
 
-def _below(path: str, gone: set[str]) -> bool:
-    while path:
-        if path in gone:
-            return True
-        path = path.rpartition("/")[0]
-    return False
+def _stays(branches: list[Branch], owner: int, gone: set[str]) -> bool:
+    if branches[owner].kind < 0:
+        return False
+    return not gone or not any(branches[k].path in gone for k in _upwards(branches, owner))

@@ -408,6 +408,24 @@ def test_site_style_tree_cuts_what_a_host_repeats(spark):
     assert extraction.main_text(frame.where("false")).count() == 0
 
 
+def test_style_tree_decides_inside_and_beside_an_article(spark):
+    rng = random.Random(7)
+    bodies = [prose(rng, 30) for _ in range(20)]
+    page = (
+        "<html><body class='postid-{k}'><div class='w-1/2'>Top of all</div><article id='post-{k}'><p>{body}</p>"
+        "<div class='b1'>Buy the book</div><div class='b2'><p>more {body}</p></div></article><div class='x'>beside {body}</div></body></html>"
+    )
+    rows = [(k, f"http://one.example/{k}", page.format(k=1000 + k, body=b)) for k, b in enumerate(bodies)]
+    # copies of a page, however many, do not make it a template
+    rows += [(100 + k, f"http://two.example/{k}", page.format(k=1000, body=bodies[0])) for k in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extraction.main_text(frame).collect()}
+    for k, body in enumerate(bodies):
+        assert got[k] == f"{body} more {body} beside {body}"
+    for k in range(40):
+        assert got[100 + k] == f"Top of all {bodies[0]} Buy the book more {bodies[0]} beside {bodies[0]}"
+
+
 def test_declared_parts_win(spark):
     page = (
         "<header>h</header><nav>n</nav><div class='cookie-notice'>c</div><article><h1>T&eacute;st</h1><p>one<br>two&nbsp; three"
