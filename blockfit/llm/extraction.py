@@ -35,6 +35,8 @@ NEVER = frozenset(
     "svg math title object embed canvas audio video".split()
 )
 MAIN = frozenset("article main".split())
+#: Their classes describe the layout of the page.
+FRAME = MAIN | {"html", "body"}
 #: Closed by the start of one of the others.
 CLOSES = {
     "p": BLOCK - {"br"},
@@ -46,14 +48,15 @@ CLOSES = {
     "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "option": frozenset({"option"}),
 }
-#: Words in class, id or role that declare what a branch is.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
+#: Words in class, id or role that mark what a branch is; a class of several words marks if all do, so
+#: that ``has-sidebar`` or ``site-header-fixed`` say nothing.
+_NOISE_WORD = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
     r"nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|comments?|disqus|replies|reply|respond|"
     r"share|sharing|social|related|recommend\w*|login|signup|search|pagination|pager|complementary|contentinfo|"
-    r"alertdialog|hidden)(?:$|[\s_-])",
-    re.I,
+    r"alertdialog|hidden)"
 )
+_NOISE = re.compile(rf"(?:^|\s){_NOISE_WORD}(?:[_-]+{_NOISE_WORD})*(?:$|\s)", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
@@ -70,6 +73,8 @@ class Branch:
     tag: str
     kind: int  # 1 main, -1 noise, 0 undeclared
     above: int = 0
+    marked: bool = False  # a mark of its own by class, id or role
+    hidden: bool = False  # in noise by tag or attribute, which the style tree does not undo
     children: list[str] = field(default_factory=list)
     same: dict[str, int] = field(default_factory=dict)  # children by label
 
@@ -104,28 +109,32 @@ def page_parts(page: str) -> tuple[list[tuple[str, int, int]], list[Branch]]:
             stack.pop()
         block += name in BLOCK
         above = branches[stack[-1]]
-        label, declared = name, 0
+        label, declared, marked, hidden = name, 0, False, name in NEVER
         if token[3]:
             values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token[3])}
             if values:
                 marks = " ".join(values.get(k, "") for k in ("class", "id", "role"))
-                if "hidden" in values or values.get("aria-hidden") == "true" or _NOISE.search(marks):
-                    declared = -1
-                elif values.get("role") == "main":
+                hidden = hidden or "hidden" in values or values.get("aria-hidden") == "true"
+                if values.get("role") == "main":
                     declared = 1
+                else:
+                    marked = name not in FRAME and bool(_NOISE.search(marks))
                 label = f"{name}.{_NUMBER.sub('0', values.get('class') or values.get('id') or '').strip()}"
-        if name in ("html", "body", *MAIN):
+        if name in FRAME:
             label = name  # their classes tell pages apart
-        if name in NEVER:
+        if hidden or marked:
             declared = -1
-        elif name in MAIN and declared == 0:
+        elif name in MAIN:
             declared = 1
         above.children.append(label)
         if name in VOID:
             continue
-        kind = -1 if above.kind < 0 or declared < 0 else declared or above.kind
+        hidden = hidden or above.hidden
+        # the main part of a page undoes a mark by class around it
+        main = not hidden and (name == "main" or declared > 0 and name not in MAIN)
+        kind = 1 if main else -1 if above.kind < 0 or declared < 0 else declared or above.kind
         place = above.same[label] = above.same.get(label, -1) + 1
-        branches.append(Branch(f"{above.path}/{label}:{place}", name, kind, stack[-1]))
+        branches.append(Branch(f"{above.path}/{label}:{place}", name, kind, stack[-1], marked and not hidden, hidden))
         stack.append(len(branches) - 1)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -173,7 +182,7 @@ _FACT = T.StructType(
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: of each path outside declared noise how it is presented and what it holds; the path of
+    """Per page: of each path outside noise by tag how it is presented and what it holds; the path of
     the page itself is empty."""
     import xxhash
 
@@ -184,16 +193,22 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, branches = page_blocks(page or "")
             held: dict[int, list[str]] = {}
             for text, owner in blocks:
-                if branches[owner].kind < 0:
+                if branches[owner].hidden:
                     continue
+                # what is marked counts for its own branches only
+                noise = branches[owner].kind < 0
                 for k in _upwards(branches, owner):
+                    if noise and branches[k].kind >= 0:
+                        break
                     held.setdefault(k, []).append(text)
+            if held:
+                held.setdefault(0, [text for text, owner in blocks if not branches[owner].hidden])
             for k, b in enumerate(branches):
-                if b.kind >= 0:
+                if not b.hidden:
                     runs = [c for i, c in enumerate(b.children) if not i or b.children[i - 1] != c]
-                    rows.append((host, b.path, "style", b.kind, digest("/".join(runs))))
+                    rows.append((host, b.path, "style", b.kind if b.marked else max(b.kind, 0), digest("/".join(runs))))
                     if k in held:
-                        rows.append((host, b.path, "content", b.kind, digest("\n".join(held[k]))))
+                        rows.append((host, b.path, "content", b.kind if b.marked else max(b.kind, 0), digest("\n".join(held[k]))))
         if rows:
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_FACT.names)
@@ -209,7 +224,7 @@ def _upwards(branches: list[Branch], k: int) -> Iterator[int]:
 
 def branch_importance(pages: DataFrame, decay: float = 0.9) -> DataFrame:
     """``host, path, kind, pages, style, content, importance`` of every branch of every host that lies
-    outside declared noise.
+    outside noise by tag; ``kind`` is -1 for those marked by class.
 
     The entropy of presentations and that of contents are each divided by the log of the number of
     pages, so that 1 means all differ and 0 all are alike. As in a style tree the presentation counts
@@ -258,9 +273,11 @@ def main_text(
 ) -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of every page.
 
-    Blocks inside declared noise go. Of the others, inside a declared main part (``article``, ``main``) or
-    not, those in branches whose importance on their host is below ``least_importance`` go, for hosts with
-    ``least_pages`` different pages or more. A declared main part counts as ``least_pages`` pages more of
+    Blocks inside declared noise go; but a mark by class, id or role is overruled on hosts with
+    ``least_pages`` different pages or more, where the branch varies in presentation and in content alike, each
+    by ``least_importance``. Of the others, inside a declared main part (``article``, ``main``) or not, those
+    in branches whose importance is below ``least_importance`` go on such hosts. A declared main part
+    counts as ``least_pages`` pages more of
     importance 1.
 
     A null page counts as empty and gives an empty text; a null url is a host of its own. Repeated
@@ -272,11 +289,17 @@ def main_text(
     prior = F.when(F.col("kind") > 0, F.lit(float(least_pages))).otherwise(0.0)
     importance = (F.col("pages") * F.col("importance") + prior) / (F.col("pages") + prior)
     # what repeats on a host, so the list is as long as its template
+    marked = F.col("kind") < 0
+    varies = F.least("style", "content") >= least_importance
     cut = stored(
         branch_importance(sited)
-        .where((F.col("path") != "") & (F.col("pages") >= least_pages) & (importance < least_importance))
+        .where((F.col("path") != "") & (F.col("pages") >= least_pages))
+        .where(F.when(marked, varies).otherwise(importance < least_importance))
         .groupBy("host")
-        .agg(F.collect_list("path").alias("cut")),
+        .agg(
+            F.collect_list(F.when(~marked, F.col("path"))).alias("cut"),
+            F.collect_list(F.when(marked, F.col("path"))).alias("spared"),
+        ),
         "cut-branches",
     )
     schema = T.StructType(
@@ -291,20 +314,27 @@ def main_text(
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, paths in zip(column_of(batch, "html").to_pylist(), column_of(batch, "cut").to_pylist()):
+            lists = (column_of(batch, c).to_pylist() for c in ("html", "cut", "spared"))
+            for page, cut_paths, spared_paths in zip(*lists):
                 blocks, branches = page_blocks(page or "")
-                gone = set(paths or ())
-                kept = [text for text, owner in blocks if _stays(branches, owner, gone)]
+                gone, spared = set(cut_paths or ()), set(spared_paths or ())
+                kept = [text for text, owner in blocks if _stays(branches, owner, gone, spared)]
                 texts.append(" ".join(kept))
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [column_of(batch, "page_id"), column_of(batch, "url"), *columns], names=schema.names
             )
 
-    return sited.join(cut, "host", "left").select("page_id", "url", "html", "cut").mapInArrow(extract, schema)
+    return sited.join(cut, "host", "left").select("page_id", "url", "html", "cut", "spared").mapInArrow(extract, schema)
 
 
-def _stays(branches: list[Branch], owner: int, gone: set[str]) -> bool:
-    if branches[owner].kind < 0:
+def _stays(branches: list[Branch], owner: int, gone: set[str], spared: set[str]) -> bool:
+    if branches[owner].hidden or branches[owner].kind < 0 and not spared:
         return False
-    return not gone or not any(branches[k].path in gone for k in _upwards(branches, owner))
+    noise = branches[owner].kind < 0
+    for k in _upwards(branches, owner):
+        b = branches[k]
+        noise = noise and b.kind < 0
+        if b.path in gone or noise and b.marked and b.path not in spared:
+            return False
+    return True

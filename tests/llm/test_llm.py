@@ -426,6 +426,29 @@ def test_style_tree_decides_inside_and_beside_an_article(spark):
         assert got[100 + k] == f"Top of all {bodies[0]} Buy the book more {bodies[0]} beside {bodies[0]}"
 
 
+def test_class_names_of_layout_are_no_noise(spark):
+    pages = [
+        "<body class='has-sidebar'><article>a</article></body>",
+        "<article class='post single no-sidebar'>b</article>",
+        "<div class='site-header-fixed'><p class='content side-by-side'>c</p></div>",
+        "<html class='nav menu'><main id=search>d</main><div class='cookie-banner'>x</div><div class='ad'>y</div>",
+        "<div class='sidebar'><main>e</main>x</div>",
+    ]
+    rows = [(k, f"http://h{k}/", p) for k, p in enumerate(pages)]
+    rng = random.Random(8)
+    shapes = [[rng.choice(["p", "h2", "ul", "pre"]) for _ in range(6)] for _ in range(12)]
+    bodies = [prose(rng, 5) for _ in shapes]
+    for k, (shape, body) in enumerate(zip(shapes, bodies)):
+        inner = "".join(f"<{t}>{body} {n}</{t}>" for n, t in enumerate(shape))
+        # a story that goes by a suspicious name, and a real advert
+        rows.append((100 + k, f"http://story/{k}", f"<div class='social'>{inner}</div><div class='ad'>buy {body}</div>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extraction.main_text(frame).collect()}
+    assert [got[k] for k in range(5)] == list("abcde")
+    for k, body in enumerate(bodies):
+        assert got[100 + k] == " ".join(f"{body} {n}" for n in range(6))
+
+
 def test_declared_parts_win(spark):
     page = (
         "<header>h</header><nav>n</nav><div class='cookie-notice'>c</div><article><h1>T&eacute;st</h1><p>one<br>two&nbsp; three"
