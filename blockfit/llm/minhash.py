@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, spread: float = 6.0) ->
     component is what links reach, named by its smallest id, which is the document kept.
 
     1. Equal sets are one class, its smallest id the node. 2. 40 bands of 6 minima put nodes into
-    buckets (a link is missed with probability below 1e-8); every node is compared with the smallest
+    buckets (a link at the limit is missed with probability below 1e-8 for 85, below 6e-6 for 80); every node is compared with the smallest
     of each of its buckets. 3. Where a bucket then still holds several components, its nodes outside
     the largest are estimated against all of it, in cells of 1000 by 1000 nodes; nodes connected by such
     pairs form a group, whose full sets are compared in cells of the same size. A cell returns only

@@ -507,6 +507,25 @@ def test_index_returns_every_code_in_the_radius():
 # --- the pipeline ----------------------------------------------------------------------------------------
 
 
+def test_pipeline_drops_near_copies_from_similarity_80(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    rows, want = [], set()
+    for k in range(0, 60, 3):
+        text = prose(rng, 200).split()
+        # of 196 shingles: 0.83 and 0.77 of the union are in common
+        near, far = (text + prose(rng, n).split() for n in (40, 60))
+        rows += [(k, " ".join(text)), (k + 1, " ".join(near)), (k + 2, " ".join(far))]
+        shared = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert 0.8 <= shared(rows[-3][1], rows[-2][1]) < 0.85 and shared(rows[-3][1], rows[-1][1]) < 0.8
+        want |= {k, k + 2}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars"
+    )
+    assert {r.doc_id for r in P.drop_near_duplicates(spark, frame, SF).collect()} == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
