@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockfit.llm.alignment import align_tokenizers
 from blockfit.llm.common import crc_mod
+from blockfit.llm.copies import exact_copies
 from blockfit.llm.langid import predict_language
 from blockfit.llm.extraction import main_text
+from blockfit.llm.infill import fill_in_middle
 from blockfit.llm.lines import remove_repeated_units
 from blockfit.llm.minhash import near_duplicates
 from blockfit.llm.mixing import mix_sources
@@ -143,3 +146,57 @@ SELECT doc_id, count(*) AS n_units, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_
        md5(coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_md5
 FROM r GROUP BY doc_id
 """
+
+
+@query
+def op11_exact_dedup(spark, sf):
+    return exact_copies(table(spark, sf, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op12_token_alignment(spark, sf):
+    return align_tokenizers(table(spark, sf, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark, sf):
+    return fill_in_middle(table(spark, sf, "documents"))
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n,
+         least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+              THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+         array_to_string(units[b + 1:], '') AS suffix
+  FROM c
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
