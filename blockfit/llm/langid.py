@@ -21,8 +21,13 @@ BUCKET_BITS = 17
 UNDETERMINED = "und"
 _SCRIPTS = (*SCRIPTS, "other")
 _FACTORS = [odd_factors(n, 100 + n) for n in ORDERS]
-#: Viterbi cells (documents x words) held at once.
-_CELLS = 2_000_000
+#: Viterbi cells (documents x words x languages) held at once.
+_CELLS = 8_000_000
+#: Words a task knows at once, with five languages or fewer; in check_l a task meets about 440,000 in 20 MB.
+WORD_LIMIT = 400_000
+_SLICE_BYTES = 4 << 20
+#: Numbers of languages on a path.
+_STATE = np.int16
 
 
 def letter_words(text: str | None) -> list[bytes]:
@@ -123,29 +128,28 @@ def best_paths(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
     Texts of like length go through the words together, one array step for each word.
     """
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, _STATE)] * len(scores)
     order = sorted((k for k in range(len(scores)) if len(scores[k])), key=lambda k: -len(scores[k]))
     at = 0
     while at < len(order):
-        longest = len(scores[order[at]])
-        group = order[at : at + max(1, _CELLS // longest)]
+        longest, states = scores[order[at]].shape
+        group = order[at : at + max(1, _CELLS // (longest * states))]
         at += len(group)
         lengths = np.array([len(scores[k]) for k in group])
-        states = scores[group[0]].shape[1]
         laid = np.zeros((longest, len(group), states), np.float32)
         for j, k in enumerate(group):
             laid[: lengths[j], j] = scores[k]
-        came = np.zeros((longest, len(group), states), np.int8)
+        came = np.zeros((longest, len(group), states), _STATE)
         value = laid[0].copy()
         for t in range(1, longest):
             alive = int(np.searchsorted(-lengths, -t))  # texts longer than t come first
             now = value[:alive]
-            top = now.argmax(axis=1).astype(np.int8)
+            top = now.argmax(axis=1).astype(_STATE)
             switch = now[np.arange(alive), top][:, None] - penalty
             change = switch > now
-            came[t, :alive] = np.where(change, top[:, None], np.arange(states, dtype=np.int8))
+            came[t, :alive] = np.where(change, top[:, None], np.arange(states, dtype=_STATE))
             value[:alive] = np.where(change, switch, now) + laid[t, :alive]
-        path = np.zeros((longest, len(group)), np.int8)
+        path = np.zeros((longest, len(group)), _STATE)
         state = value.argmax(axis=1)
         for t in range(longest - 1, -1, -1):
             alive = int(np.searchsorted(-lengths, -t))
@@ -194,11 +198,11 @@ def label_languages(
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.languages
-        words_of = WordIds(derive)
-        for batch in (s for b in batches for s in slices(b)):
+        words_of = WordIds(derive, WORD_LIMIT * 5 // max(5, len(names)))
+        for batch in (s for b in batches for s in slices(b, max_bytes=_SLICE_BYTES)):
             ids = [words_of(letter_words(t.as_py())) for t in column_of(batch, "text")]
             scores = [words_of.values["score"][i] for i in ids]
-            paths = best_paths(scores, penalty) if names else [np.zeros(0, np.int8)] * len(ids)
+            paths = best_paths(scores, penalty) if names else [np.zeros(0, _STATE)] * len(ids)
             langs, shares, spans = [], [], []
             for i, path in zip(ids, paths):
                 if not len(path):

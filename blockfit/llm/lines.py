@@ -20,7 +20,7 @@ def normal_unit(unit: Column) -> Column:
     return F.trim(plain)
 
 
-def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 10) -> DataFrame:
+def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 1) -> DataFrame:
     """``doc_id, text_hash, place``: units whose normal form occurs earlier, by (doc_id, place)."""
     unit = F.posexplode(F.split(F.col("text"), separator.replace("\n", r"\n"), -1)).alias("place", "unit")
     units = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), unit)
@@ -43,11 +43,11 @@ def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 10)
     )
 
 
-def remove_repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 10) -> DataFrame:
+def remove_repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 1) -> DataFrame:
     """Every row without the units that occur earlier: ``doc_id, n_units, n_removed, removed_chars,
     kept, spans``.
 
-    A unit is a line (or what ``separator`` ends) with at least ``min_words`` words; shorter and
+    A unit is a line (or what ``separator`` ends, such as an empty line for paragraphs) with at least ``min_words`` words;
     blank ones always stay. Units are equal if they are after lower-casing A-Z and joining white
     space; of equal ones the first by (doc_id, place) stays. ``spans`` holds place, start and
     length of each removed unit in characters of the input text, the separator not included; ``kept``

@@ -16,6 +16,8 @@ from blockfit.llm.common import WordIds, byte_words, column_of, hash_bytes, mixe
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
+#: Words a task knows at once; in check_l a task meets about 440,000 in 20 MB.
+WORD_LIMIT = 400_000
 _LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 #: Unicode blocks by first and last letter, for the scripts with bands of their own. Fixed values.
@@ -119,7 +121,7 @@ def text_measures(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        words_of = WordIds(lambda words: {"h": hash_bytes(words)})
+        words_of = WordIds(lambda words: {"h": hash_bytes(words)}, WORD_LIMIT)
         factors = odd_factors(8, 6)
         for batch in batches:
             rows = []

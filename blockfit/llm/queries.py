@@ -125,7 +125,7 @@ def op5_html_text(spark, sf):
 @query
 def op7_line_dedup(spark, sf):
     found = remove_repeated_units(table(spark, sf, "documents"))
-    return found.select("doc_id", "n_units", "n_removed", "removed_chars", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+    return found.select("doc_id", F.col("kept").alias("text"), "n_removed", "removed_chars", "n_units")
 
 
 ORACLES["op7_line_dedup"] = r"""
@@ -136,14 +136,14 @@ WITH u AS (
 ), n AS (
   SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                 '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain,
-         len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) >= 10 AS counted
+         regexp_matches(unit, '[^\x20\x09-\x0D]') AS counted
   FROM e
 ), r AS (
   SELECT *, counted AND row_number() OVER (PARTITION BY counted, plain ORDER BY doc_id, place) > 1 AS gone FROM n
 )
-SELECT doc_id, count(*) AS n_units, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,
-       CAST(sum(CASE WHEN gone THEN length(unit) ELSE 0 END) AS BIGINT) AS removed_chars,
-       md5(coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_md5
+SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
+       CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,
+       CAST(sum(CASE WHEN gone THEN length(unit) ELSE 0 END) AS BIGINT) AS removed_chars, count(*) AS n_units
 FROM r GROUP BY doc_id
 """
 

@@ -196,13 +196,26 @@ def test_line_dedup_keeps_first_with_offsets(spark, empty):
     line = "This is a line of more than ten words that repeats a lot"
     rows = [(2, f"x\n{line}\ny"), (1, f"{line}\nshort one"), (3, f" {line.upper()}  \n{line}\nshort one"), (4, None), (1, f"{line}\nshort one")]
     got = collections.defaultdict(list)
-    for r in lines.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in lines.remove_repeated_units(table, min_words=10).collect():
         got[r.doc_id].append((r.n_units, r.n_removed, r.kept, [(s.start, s.length) for s in r.spans]))
     assert got[1] == [(2, 0, f"{line}\nshort one", [])] * 2
     assert got[2] == [(3, 1, "x\ny", [(2, len(line))])]
     assert got[3] == [(3, 2, "short one", [(0, len(line) + 3), (len(line) + 4, len(line))])]
     assert got[4] == [(1, 0, "", [])]
     assert lines.remove_repeated_units(empty).count() == 0
+    every = {r.doc_id: r.kept for r in lines.remove_repeated_units(table).collect()}
+    assert every == {1: f"{line}\nshort one", 2: "x\ny", 3: "", 4: ""}
+
+
+def test_short_units_and_paragraphs_are_units(spark):
+    rows = [(1, "世界和平\n\nA\nB"), (2, "世界和平\n\na \t\nb"), (3, "A\n\n\nB\n世界和平" + "\nlong" * 20000)]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, place int, digest string")
+    by_line = {r.doc_id: r.kept for r in lines.remove_repeated_units(table).collect()}
+    assert by_line == {1: rows[0][1], 2: "", 3: "\n\nlong"}
+    by_paragraph = {r.doc_id: (r.kept, r.n_removed) for r in lines.remove_repeated_units(table, "\n\n").collect()}
+    assert by_paragraph[2] == ("a \t\nb", 1) or by_paragraph[2] == ("", 2)
+    assert by_paragraph[1] == (rows[0][1], 0)
 
 
 # --- mixing and packing ----------------------------------------------------------------------------
@@ -363,6 +376,15 @@ def test_viterbi_matches_every_path():
         assert len(path) == len(s) and abs(value(path) - best) < 1e-4
 
 
+def test_three_hundred_languages(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}word " * 20, f"l{k:03d}", "r") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict_language(docs, F.lit(True)).collect()}
+    assert got == {k: f"l{k:03d}" for k in range(300)}
+    path = langid.best_paths([np.eye(300, dtype=np.float32)[[299, 299, 7]] * 9], 1.0)[0]
+    assert path.tolist() == [299, 299, 7]
+
+
 def test_toxicity_held_out(spark, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = crc_mod("doc_id", 3) == 1
