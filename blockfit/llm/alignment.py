@@ -19,9 +19,9 @@ from blockfit.llm.common import column_of, slices, stored
 #: A single space between other characters than white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of known parts that a task keeps.
-_KEPT_BYTES = 96 << 20
-#: Characters of new parts that are aligned at once.
-_LOT_CHARS = 1 << 16
+_KEPT_BYTES = 160 << 20
+#: New parts that are aligned at once, and that are encoded as one text: both tokenizers are fastest on short ones.
+_BATCH, _LOT = 4096, 32
 #: Pairs of ids that may be broadcast with their counts, about 50 bytes each.
 MAX_BROADCAST_PAIRS = 1_000_000
 
@@ -52,8 +52,11 @@ def byte_places(text: str, raw: bytes) -> np.ndarray:
     return np.append(np.flatnonzero(lead), len(raw))
 
 
-def spans_of(offsets: list[tuple[int, int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+def spans_of(offsets: list[list[tuple[int, int]]], before: np.ndarray) -> np.ndarray:
+    """The spans of several texts, each moved by the characters before it."""
+    sizes = list(map(len, offsets))
+    flat = chain.from_iterable(chain.from_iterable(offsets))
+    return np.fromiter(flat, np.int64, 2 * sum(sizes)).reshape(-1, 2) + np.repeat(before, sizes)[:, None]
 
 
 def byte_ends(place: np.ndarray, spans: np.ndarray, lengths: np.ndarray, spelled: np.ndarray) -> np.ndarray:
@@ -92,10 +95,12 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         import json
+        import os
 
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         letters = byte_of_letter()
@@ -106,6 +111,7 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.size_b = self.b.get_piece_size()
         self.pairs = len(names) * self.size_b
+        self.names = np.array(list(map(str, range(max(len(names), self.size_b)))), dtype=object)
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.spelled_b = np.array([self.b.is_byte(i) for i in range(self.size_b)])
         self.bytes_b = [
@@ -130,27 +136,39 @@ class Aligner:
         and itself. Tokenizers whose rules do not promise such cuts get whole texts."""
         return _CUT.split(text) if self.by_part else [text]
 
-    def tokens(self, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids and byte ends of a space and ``part`` by A and by B; none if one of them changes its bytes."""
-        a = self.a.encode(" " + part, add_special_tokens=False)
-        b = self.b.encode(part, return_type="offset_mapping") if part else {"ids": [], "offsets": []}
-        text = " " + part
-        raw = text.encode()
-        if (
-            not b["ids"]
-            or b"".join(map(self.bytes_a.__getitem__, a.ids)) != raw
-            or b"".join(map(self.bytes_b.__getitem__, b["ids"])) != raw
-        ):
-            return None
-        ids_a, ids_b, place = np.array(a.ids), np.array(b["ids"]), byte_places(text, raw)
-        ends_a = byte_ends(place, spans_of(a.offsets), self.lengths_a[ids_a], np.zeros(len(ids_a), bool))
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids and byte ends, by A and by B, of ``texts`` with a space before each, one after the other; none if
+        one of them changes the bytes."""
+        from_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        from_b = self.b.encode(texts, return_type="offset_mapping", num_threads=1)
+        whole = " " + " ".join(texts)
+        raw, ids = whole.encode(), []
+        for found, table in (([x.ids for x in from_a], self.bytes_a), ([x["ids"] for x in from_b], self.bytes_b)):
+            ids.append(list(chain.from_iterable(found)))
+            if b"".join(map(table.__getitem__, ids[-1])) != raw:
+                return None
+        ids_a, ids_b, place = np.array(ids[0], np.int64), np.array(ids[1], np.int64), byte_places(whole, raw)
+        before = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        spans_a = spans_of([x.offsets for x in from_a], before)
         # B adds the space itself and counts characters without it
-        ends_b = byte_ends(place, spans_of(b["offsets"]) + 1, self.lengths_b[ids_b], self.spelled_b[ids_b])
+        spans_b = spans_of([x["offsets"] for x in from_b], before + 1)
+        ends_a = byte_ends(place, spans_a, self.lengths_a[ids_a], np.zeros(len(ids_a), bool))
+        ends_b = byte_ends(place, spans_b, self.lengths_b[ids_b], self.spelled_b[ids_b])
         return ids_a, ends_a, ids_b, ends_b
 
+    def written(self, ids: np.ndarray, last: np.ndarray) -> list[str]:
+        """The ids of each group, whose last tokens are at ``last``, as decimal numbers with commas."""
+        names = self.names[ids].tolist()
+        out = self.names[ids[last]].tolist()
+        first = np.append(-1, last[:-1]) + 1
+        several = np.flatnonzero(first < last)
+        for k, x, y in zip(several.tolist(), first[several].tolist(), last[several].tolist()):
+            out[k] = ",".join(names[x : y + 1])
+        return out
+
     def align(self, parts: list[str]) -> Iterator[Aligned]:
-        """Aligns several parts, joined to one text if that leaves each of them what it is."""
-        found = self.tokens(" ".join(parts))
+        """Aligns several parts, joined to short texts, if that leaves each of them what it is."""
+        found = self.tokens([" ".join(parts[k : k + _LOT]) for k in range(0, len(parts), _LOT)])
         if found is None:
             if len(parts) == 1:
                 yield _NONE
@@ -161,11 +179,8 @@ class Aligner:
         ids_a, ends_a, ids_b, ends_b = found
         # ends grow from token to token, so each common end belongs to one token of either
         common, to_a, to_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        groups, from_x, from_y = [], 0, 0
-        for x, y in zip((to_a + 1).tolist(), (to_b + 1).tolist()):
-            groups.append(f"{','.join(names_a[from_x:x])}|{','.join(names_b[from_y:y])}")
-            from_x, from_y = x, y
+        left, right = self.written(ids_a, to_a), self.written(ids_b, to_b)
+        groups = [f"{x}|{y}" for x, y in zip(left, right)]
         last = np.cumsum([1 + len(p.encode()) for p in parts])
         sizes = [np.diff(np.searchsorted(e, last, "right"), prepend=0) for e in (ends_a, ends_b, common)]
         borders = np.concatenate([[0], np.cumsum(sizes[2])]).tolist()
@@ -194,29 +209,18 @@ class PartTable:
     def reset(self) -> None:
         self.ids: dict[str, int] = {}
         self.groups: list[str] = []
-        self.counts = np.zeros((1 << 12, 4), np.int64)
+        self.counts = np.zeros((1 << 12, 4), np.int32)
         self.first = np.zeros(1 << 12, np.int64)
         self.links = np.zeros(1 << 12, np.int64)
         self.filled = self.held = 0
 
     def learn(self, parts: set[str]) -> None:
         """Align new parts. Those without white space at their ends are joined, as the cuts between them are safe."""
-        joins, lot, size = [], [], 0
-        alone = []
-        for part in parts:
-            if part in self.ids:
-                continue
-            if not self.tool.by_part or not part or part != part.strip() or "▁" in part:
-                alone.append(part)
-                continue
-            lot.append(part)
-            size += len(part)
-            if size > _LOT_CHARS:
-                joins.append(lot)
-                lot, size = [], 0
-        for together in [*joins, lot] if lot else joins:
-            self._add(together)
-        for part in alone:
+        new = [p for p in parts if p not in self.ids]
+        joins = [p for p in new if self.tool.by_part and p and p == p.strip() and "▁" not in p]
+        for k in range(0, len(joins), _BATCH):
+            self._add(joins[k : k + _BATCH])
+        for part in set(new).difference(joins):
             self._add([part])
 
     def _add(self, parts: list[str]) -> None:

@@ -111,7 +111,7 @@ def whole_alignment(text):
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_alignment_is_that_of_whole_texts(spark, docs, rows, limit, monkeypatch):
-    monkeypatch.setattr(alignment, "_LOT_CHARS", 200)
+    monkeypatch.setattr(alignment, "_LOT", 3)
     got = alignment.align_tokenizers(docs, with_groups=True, max_broadcast=limit).collect()
     found = [(doc_id, *whole_alignment(text)) for doc_id, text in rows]
     count = collections.Counter(link for *_, links in found for link in links)
