@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from blockfit.functions.arrays import class_margins, collect_sum, dot, row_softmax, whole_vector
 from blockfit.operators.blocks import chunk_matrices, feature_matrix, spread_blocks
+from blockfit.operators.trees import partition_bound, tree_levels, tree_sum
 from blockfit.plans.kernels import scaled_inverse, softmax_terms
 
 # up to here statistics are plain sums over columns
@@ -28,36 +29,28 @@ _HELD_LIMIT = 256 << 20
 # statistics of all blocks up to this size are summed where the rows are, in bytes
 _IN_PLACE_LIMIT = 32 << 20
 
-# numbers of a vector that are added in one task, and partial vectors a task of the first level adds
-SEGMENT = 1 << 16
-FAN_IN = 64
-
 _DOUBLES = pa.list_(pa.float64())
 
 
 def vector_sum(
-    df: DataFrame, col: str, by: Sequence[str] = (), fan_in: int | None = None, width: int | None = None
+    df: DataFrame,
+    col: str,
+    by: Sequence[str] = (),
+    fan_in: int | None = None,
+    width: int | None = None,
+    num_partials: int | None = None,
+    num_groups: int = 1,
 ) -> DataFrame:
     """Element-wise sum of a vector column per group, with partial sums before every shuffle.
 
-    ``fan_in`` puts a stage between that adds up to so many partial sums per task. Vectors of a
-    ``width`` beyond ``SEGMENT`` are cut into segments that are added apart and in two levels, so that no
-    task adds the whole vectors of all partitions; only the sums meet again.
+    The partial sums of the partitions meet in a tree (:func:`blockfit.operators.trees.tree_sum`), planned from
+    ``width`` and ``num_partials``, so that no task reads more than a set number of bytes at any width.
+    ``fan_in`` puts a level in front that adds up the rows of so many partitions.
     """
-    if width is not None and width > SEGMENT:
-        last = -(-width // SEGMENT) - 1
-        pieces = F.transform(
-            F.sequence(F.lit(0), F.lit(last)),
-            lambda i: F.struct(i.alias("segment"), F.slice(col, i * SEGMENT + 1, F.lit(SEGMENT)).alias(col)),
-        )
-        cut = df.select(*by, F.explode(pieces).alias("_e")).select(*by, "_e.segment", f"_e.{col}")
-        summed = vector_sum(cut, col, [*by, "segment"], fan_in or FAN_IN)
-        joined = F.transform(F.array_sort(F.collect_list(F.struct("segment", col))), lambda s: s[col])
-        return summed.groupBy(*by).agg(F.flatten(joined).alias(col))
     if fan_in:
         salted = df.withColumn("_salt", F.floor(F.spark_partition_id() / F.lit(fan_in)))
         df = salted.groupBy(*by, "_salt").agg(collect_sum(col).alias(col))
-    return df.groupBy(*by).agg(collect_sum(col).alias(col))
+    return tree_sum(df, col, by, width, num_partials, num_groups)
 
 
 def driver_sum(partials: DataFrame, num_partials: int, widths: dict[str, int]) -> dict[str, np.ndarray]:
@@ -65,17 +58,12 @@ def driver_sum(partials: DataFrame, num_partials: int, widths: dict[str, int]) -
 
     ``partials`` has the columns of ``widths`` (vector name to length). While all partials
     together stay below a limit they are fetched as they are and added in order, which
-    takes one stage; else Spark adds them in two levels first, in as many tasks as there are
-    groups of partials, however many partitions the session has.
+    takes one stage; else Spark adds them in a tree first, however many partitions the session has.
     """
     names = list(widths)
     if num_partials * sum(widths.values()) * 8 > PARTIALS_LIMIT:
         joined = partials.select(F.concat(*names).alias("all"))
-        fan_in = max(2, int(num_partials**0.5))
-        salts = -(-num_partials // fan_in)
-        salted = joined.withColumn("_salt", F.floor(F.spark_partition_id() / F.lit(fan_in)))
-        groups = salted.repartition(salts, "_salt").groupBy("_salt").agg(collect_sum("all").alias("all"))
-        total = np.asarray(vector_sum(groups, "all", width=sum(widths.values())).first()["all"])
+        total = np.asarray(vector_sum(joined, "all", (), None, sum(widths.values()), num_partials).first()["all"])
         cuts = np.cumsum([widths[n] for n in names])[:-1]
         return dict(zip(names, np.split(total, cuts)))
     table = partials.select(*names).toArrow()
@@ -88,6 +76,18 @@ def driver_sum(partials: DataFrame, num_partials: int, widths: dict[str, int]) -
     return out
 
 
+def _tree_agg(df: DataFrame, by: Sequence[str], sums: Sequence[Column]) -> DataFrame:
+    """``sums`` per group, with levels in between where the partitions have more sums than a task should read."""
+    bound = partition_bound(df)
+    levels = tree_levels(bound, 8 * len(sums))
+    if not levels:
+        return df.groupBy(*by).agg(*sums)
+    salted = df.withColumn("_place", F.floor(F.spark_partition_id() * F.lit(levels[0] / bound)).cast("int"))
+    table = salted.groupBy(*by, "_place").agg(*sums)
+    names = [c for c in table.columns if c not in (*by, "_place")]
+    return table.groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
+
+
 def _triangle(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
@@ -122,7 +122,8 @@ def row_gram(df: DataFrame, p: int) -> DataFrame:
     x, y = F.col("features"), F.col("label")
     sums = [F.sum(x[i] * x[j]).alias(f"_g{i}_{j}") for i, j in _triangle(p)]
     sums += [F.sum(x[i] * y).alias(f"_c{i}") for i in range(p)]
-    table = df.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(y * y).alias("yy"), *sums)
+    sums = [F.count("*").alias("n"), F.sum(y * y).alias("yy"), *sums]
+    table = _tree_agg(df, ["block_id"], sums)
     gram = F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
     cross = F.array(*[F.col(f"_c{i}") for i in range(p)])
     return table.select(
@@ -181,9 +182,9 @@ def _gram_partials(parts_of: Callable) -> Callable:
     return run
 
 
-def _gram_table(partials: DataFrame, p: int) -> DataFrame:
+def _gram_table(partials: DataFrame, p: int, num_blocks: int = 1) -> DataFrame:
     s = F.col("s")
-    return vector_sum(partials, "s", ["block_id"], width=2 + p + p * p).select(
+    return vector_sum(partials, "s", ["block_id"], width=2 + p + p * p, num_groups=num_blocks).select(
         "block_id",
         s[0].cast("long").alias("n"),
         F.slice(s, F.lit(p + 3), F.lit(p * p)).alias("gram"),
@@ -192,10 +193,11 @@ def _gram_table(partials: DataFrame, p: int) -> DataFrame:
     )
 
 
-def chunk_gram(chunks: DataFrame, p: int) -> DataFrame:
+def chunk_gram(chunks: DataFrame, p: int, num_blocks: int = 1) -> DataFrame:
     """Gram statistics of packed chunks per ``block_id``."""
     source = chunks.select("block_id", "p", "X", "y")
-    return _gram_table(source.mapInArrow(_gram_partials(_chunk_parts), "block_id long, s array<double>"), p)
+    partials = source.mapInArrow(_gram_partials(_chunk_parts), "block_id long, s array<double>")
+    return _gram_table(partials, p, num_blocks)
 
 
 def gram(data: DataFrame, p: int, num_blocks: int | None = None) -> DataFrame:
@@ -206,7 +208,7 @@ def gram(data: DataFrame, p: int, num_blocks: int | None = None) -> DataFrame:
     left out; null or ragged features are an error, at every width.
     """
     if "X" in data.columns:
-        return chunk_gram(data, p)
+        return chunk_gram(data, p, num_blocks or 1)
     data = with_label(data)
     if "block_id" not in data.columns:
         data, num_blocks = data.withColumn("block_id", F.lit(0)), 1
@@ -219,7 +221,8 @@ def gram(data: DataFrame, p: int, num_blocks: int | None = None) -> DataFrame:
         F.col("label").cast("double").alias("label"),
         F.col("features").cast("array<double>").alias("features"),
     )
-    return _gram_table(rows.mapInArrow(_gram_partials(_row_parts), "block_id long, s array<double>"), p)
+    partials = rows.mapInArrow(_gram_partials(_row_parts), "block_id long, s array<double>")
+    return _gram_table(partials, p, num_blocks or 1)
 
 
 def cross(data: DataFrame, p: int) -> DataFrame:
@@ -293,11 +296,13 @@ def softmax_sums(df: DataFrame, W: np.ndarray) -> DataFrame:
         picked = F.element_at(s, y + 1)
         loss = F.sum(-F.log(F.greatest(picked, F.lit(1e-10))))
         flat = [
-            F.sum(F.col("features")[i] * (s[c] - F.when(y == c, 1.0).otherwise(0.0)))
+            F.sum(F.col("features")[i] * (s[c] - F.when(y == c, 1.0).otherwise(0.0))).alias(f"_g{i}_{c}")
             for i in range(p)
             for c in range(k)
         ]
-        return rows.agg(F.count("*").alias("n"), loss.alias("loss"), F.array(*flat).alias("gradient"))
+        table = _tree_agg(rows, [], [F.count("*").alias("n"), loss.alias("loss"), *flat])
+        gradient = F.array(*[F.col(f"_g{i}_{c}") for i in range(p) for c in range(k)])
+        return table.select("n", "loss", gradient.alias("gradient"))
 
     return _softmax_table(df.select("p", "X", "y").mapInArrow(softmax_partials(W), "s array<double>"), W)
 
@@ -398,9 +403,9 @@ def ls_gradient(df: DataFrame, w: np.ndarray) -> DataFrame:
     if p <= SMALL_WIDTH and "X" not in df.columns:
         error = dot("features", w) - F.col("label")
         df = df.select("label", whole_vector("features", p, "raise").alias("features"))
-        total = df.withColumn("_e", error).agg(
-            F.array(*[F.sum(F.col("features")[i] * F.col("_e")) for i in range(p)]).alias("g")
-        )
+        sums = [F.sum(F.col("features")[i] * F.col("_e")).alias(f"_g{i}") for i in range(p)]
+        table = _tree_agg(df.withColumn("_e", error), [], sums)
+        total = table.select(F.array(*[F.col(f"_g{i}") for i in range(p)]).alias("g"))
     elif "X" in df.columns:
         total = vector_sum(df.select("p", "X", "y").mapInArrow(ls_partials(w), "g array<double>"), "g", width=p)
     else:

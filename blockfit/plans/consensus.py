@@ -274,7 +274,9 @@ def block_gradients(chunks: DataFrame, states: np.ndarray, parts: int) -> np.nda
     )
     # a partition meets few blocks: together about one partial per block and partition
     if (parts + len(states)) * states[0].nbytes > PARTIALS_LIMIT:
-        partials = vector_sum(partials, "g", ["block_id"])
+        partials = vector_sum(
+            partials, "g", ["block_id"], width=states[0].size, num_partials=parts, num_groups=len(states)
+        )
     table = partials.toArrow()
     out = np.zeros_like(states)
     for b, g in zip(table["block_id"].to_pylist(), table["g"]):

@@ -165,10 +165,13 @@ def _gram_blocks(blocks: Sequence[tuple[int, int]]):
 class _BlockStep:
     """Solves all feature blocks: on the driver while their Gram matrices fit, else as tasks."""
 
-    def __init__(self, chunks: DataFrame, blocks, prepare: Callable, stats_limit: int):
+    def __init__(self, chunks: DataFrame, parts: int, blocks, prepare: Callable, stats_limit: int):
         self.blocks, self.prepare = blocks, prepare
         partials = chunks.select("p", "X", "y").mapInArrow(_gram_blocks(blocks), "block_id int, s array<double>")
-        table = vector_sum(partials, "s", ["block_id"])
+        widest = max(hi - lo for lo, hi in blocks)
+        table = vector_sum(
+            partials, "s", ["block_id"], width=widest + widest**2, num_partials=parts, num_groups=len(blocks)
+        )
         self.held = sum((hi - lo) ** 2 for lo, hi in blocks) * 8 <= stats_limit
         self.sums = np.zeros(blocks[-1][1])
         if self.held:
@@ -291,7 +294,7 @@ class _SharingRounds:
         self.chunks = chunks.repartition(self.parts, "chunk_id").persist(_KEEP)
         self.num_rows, self.num_chunks = self.chunks.agg(F.sum("n"), F.count("*")).first()
         self.n_blocks, self.k, self.row_step, self.start = len(blocks), num_outputs, row_step, start
-        self.block_step = _BlockStep(self.chunks, blocks, prepare, stats_limit)
+        self.block_step = _BlockStep(self.chunks, self.parts, blocks, prepare, stats_limit)
         self.x = np.full((p, num_outputs), start)
         self.x_checked = self.x.copy()
         self.blocks = blocks

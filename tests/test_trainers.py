@@ -435,7 +435,8 @@ def test_wide_sums_are_cut_into_segments(spark, frame, monkeypatch):
     X, y = rng.normal(size=(60, 12)), rng.normal(size=60)
     df = frame(X, y, parts=5).withColumn("block_id", F.pmod("row_id", F.lit(2)))
     plain = {r["block_id"]: r for r in gram(df, 12).collect()}
-    monkeypatch.setattr("blockfit.operators.linalg.SEGMENT", 10)
+    monkeypatch.setattr("blockfit.operators.trees.SEGMENT", 10)
+    monkeypatch.setattr("blockfit.operators.trees.READ_LIMIT", 160)
     table = gram(df, 12)
     cut = {r["block_id"]: r for r in table.collect()}
     for b in (0, 1):
@@ -443,11 +444,11 @@ def test_wide_sums_are_cut_into_segments(spark, frame, monkeypatch):
         for c in ("gram", "cross"):
             np.testing.assert_allclose(cut[b][c], plain[b][c], rtol=1e-12)
     plan = table._jdf.queryExecution().executedPlan().toString()
-    assert "segment" in plan and "_salt" in plan
+    assert "segment" in plan and "shufflepartitionidpassthrough" in plan.lower()
     W = rng.normal(size=(12, 3))
     rows = df.withColumn("label", F.pmod("row_id", F.lit(3)).cast("double"))
     first = softmax_gradient(rows, W).toPandas()
-    monkeypatch.setattr("blockfit.operators.linalg.SEGMENT", 1 << 16)
+    monkeypatch.setattr("blockfit.operators.trees.SEGMENT", 1 << 16)
     second = softmax_gradient(rows, W).toPandas()
     keys = ["feature_idx", "class_idx"]
     np.testing.assert_allclose(first.sort_values(keys).value, second.sort_values(keys).value)
