@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,25 +168,39 @@ def with_row_id(df: DataFrame, keys: Sequence[str] | str, name: str = "row_id")
     return numbered.select((F.col("_offset") + local).alias(name), *df.columns)
 
 
-def number_in_place(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows 0..n-1 in the order in which they are read; nothing moves.
+def file_place() -> list[Column]:
+    """Which split of which file a row comes from, for :func:`number_file_rows`."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
 
-    One pass counts the rows of every partition. The numbers are the same whenever the same files are
-    read with the same settings.
+
+def number_file_rows(df: DataFrame, name: str = "row_id", max_broadcast: int = 64 << 20) -> DataFrame:
+    """Number the rows of files 0..n-1, by path and then by place in the file; no row moves.
+
+    ``df`` has the columns of :func:`file_place`. One pass counts the rows of every split; prefix sums over the
+    splits in file order give the first number of each, and a row adds its place within the split. So the
+    numbers are those of the lines, however the files are split and packed to partitions. There is one count per
+    split, which the driver lists anyway to plan the scan; they are broadcast up to ``max_broadcast`` bytes and joined
+    by shuffle beyond. The splits must be the same when the rows are read as when they were counted: changing
+    ``spark.sql.files.*`` in between is an error.
     """
-    spark = df.sparkSession
     placed = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).count().orderBy("_part").collect()
-    offsets, total = [], 0
-    for row in counts:
-        offsets.append((row["_part"], total))
-        total += row["count"]
-    # one row per input partition
-    table = F.broadcast(spark.createDataFrame(offsets, "_part long, _offset long"))
-    local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = placed.withColumn("_part", part).join(table, "_part")
-    return numbered.select((F.col("_offset") + local).alias(name), *df.columns)
+    splits = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).toArrow()
+    splits = splits.sort_by([("_file", "ascending"), ("_start", "ascending")])
+    ends = np.cumsum(splits["_n"].to_numpy(), dtype=np.int64)
+    splits = splits.append_column("_offset", pa.array(ends - splits["_n"].to_numpy(), pa.int64()))
+    if not splits.num_rows:
+        return df.select(F.lit(0).cast("long").alias(name), *_without_place(df))
+    table = df.sparkSession.createDataFrame(splits)
+    known = F.broadcast(table) if splits.nbytes <= max_broadcast else table.hint("shuffle_hash")
+    local = F.col("_at") - F.col("_first")
+    other = F.col("_n").isNull() | ~local.between(F.lit(0), F.col("_n") - 1)
+    message = F.lit("the files are split otherwise than when their rows were counted")
+    number = F.when(other, F.raise_error(message)).otherwise(F.col("_offset") + local)
+    return placed.join(known, ["_file", "_start"], "left").select(number.alias(name), *_without_place(df))
+
+
+def _without_place(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("_file", "_start")]
 
 
 def class_dictionary(df: DataFrame, label) -> DataFrame:

@@ -1,6 +1,6 @@
 """Readers that end in the labelled frame ``<row_id long, label double, features array<double>>``.
 
-Files have no key, so their rows are numbered in the order in which they are read.
+Files have no key, so their rows are numbered by path and place in the file, however the files are split.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockfit.operators.prepare import assemble, number_in_place, train_test_split, with_row_id
+from blockfit.operators.prepare import file_place, number_file_rows, train_test_split, with_row_id
 
 
 def _csv_width(spark: SparkSession, path: str, sep: str) -> int:
@@ -36,7 +36,9 @@ def read_labeled_csv(
     names = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
     raw = spark.read.csv(path, schema=schema, sep=sep, header=False, mode="FAILFAST")
-    return number_in_place(assemble(raw, names[-1] if label == "last" else names[0]))
+    target = names[-1] if label == "last" else names[0]
+    features = F.array(*[F.col(n) for n in names if n != target])
+    return number_file_rows(raw.select(F.col(target).alias("label"), features.alias("features"), *file_place()))
 
 
 def read_labeled_text(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +51,10 @@ def read_labeled_text(spark: SparkSession, path: str) -> DataFrame:
         .select(
             parts[0].cast("double").alias("label"),
             F.transform(numbers, lambda s: s.cast("double")).alias("features"),
+            *file_place(),
         )
     )
-    return number_in_place(rows)
+    return number_file_rows(rows)
 
 
 def load_train_test(

@@ -567,6 +567,12 @@ SELECT round(avg(e), 6) AS mean, round(max(e), 6) AS max, round(min(e), 6) AS mi
 for _name in ("consensus_lasso", "sharing_lasso", "umlr_consensus", "umlr_sharing", "least_squares"):
     ORACLES[f"{_name}_table"] = ORACLES[f"{_name}_weights"]
 
+ORACLES["file_row_ids"] = """
+SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_id, round(p_retailprice, 2) AS label FROM part"""
+
+ORACLES["text_row_ids"] = """
+SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_id, CAST(p_size AS DOUBLE) AS label FROM part"""
+
 ORACLES["csv_to_lasso"] = f"""
 WITH RECURSIVE {_PART}, {_consensus_lasso('part_rows', 20, 0.5, 1.0, 3)}, w AS ({_WEIGHTS_1}),
 e AS (SELECT round(avg(abs(y - a * x0 - b * x1)), 6) AS mae FROM part_rows, last)

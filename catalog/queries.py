@@ -606,12 +606,37 @@ def collect_vectors(spark, sf):
 
 
 def part_file(spark, sf, lines: Callable[[DataFrame], DataFrame], write: Callable) -> str:
+    """Several files, written in parallel, whose order and that of their lines is the order of the keys."""
     path = scratch_path(spark, "rows")
-    # one file, so that the order of its lines is that of the keys
-    write(lines(table(spark, sf, "part").orderBy("p_partkey")).coalesce(1), path)
+    ranged = table(spark, sf, "part").repartitionByRange(6, "p_partkey").sortWithinPartitions("p_partkey")
+    write(lines(ranged), path)
     return path
 
 
+@query
+def file_row_ids(spark, sf):
+    path = part_file(
+        spark,
+        sf,
+        lambda part: part.select("p_partkey", "p_size", "p_retailprice"),
+        lambda rows, path: rows.write.csv(path),
+    )
+    rows = read_labeled_csv(spark, path)
+    return rows.select(F.col("features")[0].cast("long").alias("p_partkey"), "row_id", F.round("label", 2).alias("label"))
+
+
+@query
+def text_row_ids(spark, sf):
+    path = part_file(
+        spark,
+        sf,
+        lambda part: part.select(F.concat_ws(",", "p_size", F.concat_ws(" ", "p_partkey", "p_retailprice")).alias("value")),
+        lambda rows, path: rows.write.text(path),
+    )
+    rows = read_labeled_text(spark, path)
+    return rows.select(F.col("features")[0].cast("long").alias("p_partkey"), "row_id", "label")
+
+
 @query
 def csv_to_lasso(spark, sf):
     path = part_file(

@@ -21,6 +21,54 @@ def test_csv_and_text(spark, tmp_path):
     assert a.count() + b.count() == 3
 
 
+def _with_splits(spark, size, make):
+    names = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        return make()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+@pytest.mark.parametrize("kind", ["csv", "text"])
+def test_row_ids_do_not_depend_on_the_splits(spark, tmp_path, kind, limit, monkeypatch):
+    monkeypatch.setattr("blockfit.operators.prepare.number_file_rows.__defaults__", ("row_id", limit))
+    lines = []
+    for k, name in enumerate(["a", "b", "c"]):
+        own = [f"{k}.5,{k * 1000 + i}" for i in range((3000, 1, 1700)[k])]
+        (tmp_path / f"part-{name}.txt").write_text("\n".join([*own, "", ""]))
+        lines += own
+    read = read_labeled_text if kind == "text" else lambda s, p: read_labeled_csv(s, p, label="first")
+
+    def ids():
+        rows = read(spark, str(tmp_path))
+        return rows.rdd.getNumPartitions() if limit else 0, [
+            r["features"][0] for r in sorted(rows.collect(), key=lambda r: r["row_id"])
+        ], sorted(r["row_id"] for r in rows.collect())
+
+    found = [_with_splits(spark, size, ids) for size in ("1k", "7000b", "64m")]
+    for _, values, numbers in found:
+        assert values == [float(x.split(",")[1]) for x in lines] and numbers == list(range(len(lines)))
+    assert not limit or found[0][0] > 20 > found[2][0]
+
+
+def test_files_split_otherwise_after_counting_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("".join(f"{i},1\n" for i in range(5000)))
+    rows = _with_splits(spark, "2k", lambda: read_labeled_csv(spark, str(tmp_path / "a.csv")))
+    with pytest.raises(Exception, match="split otherwise"):
+        _with_splits(spark, "3k", rows.collect)
+
+
+def test_files_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    rows = read_labeled_csv(spark, str(tmp_path / "a.csv"), num_columns=3)
+    assert rows.collect() == [] and rows.columns == ["row_id", "label", "features"]
+
+
 def test_vector_column_is_accepted(spark):
     from pyspark.ml.linalg import Vectors
 
