@@ -388,6 +388,82 @@ class _SparseTable(_StateTable):
         self._replace(new)
 
 
+def _pass_step(z: np.ndarray, rho: float, alpha: float, t: int):
+    """Kernel over blocks with gradient, state and moments: local step ``t``.
+
+    The dual step comes before the first one, which starts with moments of zero.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in "xumv"}
+            for row in zip(*(batch.column(c) for c in ("g", "x", "u", "m", "v"))):
+                g, old, dual, m, v = (np.asarray(value.values) for value in row)
+                adam = AdamMoments(z.shape, alpha)
+                if t == 0:
+                    dual = dual + old - z
+                else:
+                    adam.m, adam.v, adam.t = m.copy(), v.copy(), t
+                new = old - adam.step(g + rho * (old - z + dual))
+                for c, value in zip("xumv", (new, dual, adam.m, adam.v)):
+                    out[c].append(value)
+            yield _state_batch(batch.column("block_id"), **out)
+
+    return run
+
+
+class _SparsePasses(_StateTable):
+    """Blocks too large for a worker, and states too large for the driver: local steps are passes.
+
+    A step sends the weights of the blocks to their chunks, which lie where they are, adds the partial gradients
+    in a tree and moves the state, with the moments of Adam, in a table of one row per block. The state is
+    checkpointed in every step, so a lost executor costs a step at most.
+    """
+
+    def __init__(self, chunks, parts, shape, num_blocks, lam, rho, alpha, steps, consensus):
+        self.parts, self.shape, self.n, self.consensus = parts, shape, num_blocks, consensus
+        self.rho, self.alpha, self.steps, self.k = rho, alpha, steps, lam / (num_blocks * rho)
+        self.size = int(np.prod(shape))
+        self.data, self.salts = _place_chunks(chunks.persist(_KEEP), parts)
+        zeros = F.array_repeat(F.lit(0.0), self.size)
+        blocks = self.data.select("block_id").distinct()
+        self._store(blocks.select("block_id", *[zeros.alias(c) for c in "xumv"]))
+        chunks.unpersist()
+        self.z = np.zeros(shape)
+        self._init_residuals(shape, num_blocks, rho)
+
+    def _store(self, new: DataFrame) -> None:
+        before, self._saved = self._saved, cut_lineage(new)
+        self.state = self._saved
+        drop_checkpoint(before)
+
+    def advance(self) -> None:
+        schema = _STATE_SCHEMA + ", m array<double>, v array<double>"
+        for t in range(self.steps):
+            partials = _with_states(self.data, self.salts, self.state).mapInArrow(
+                _joined_gradients(self.shape, with_state=False), "block_id long, g array<double>"
+            )
+            sums = vector_sum(
+                partials, "g", ["block_id"], width=self.size, num_partials=self.parts, num_groups=self.n
+            )
+            kernel = _pass_step(self.z.ravel(), self.rho, self.alpha, t)
+            self._store(self.state.join(sums, "block_id").mapInArrow(kernel, schema))
+        s = F.zip_with("x", "u", lambda a, b: a + b).alias("s")
+        moved = self.state.select("block_id", "x", s)
+        total = driver_sum(moved, self.n, {"x": self.size, "s": self.size})
+        self._x_bar = (total["x"] / self.n).reshape(self.shape)
+        if self.consensus == "median":
+            middle = np.zeros(self.size)
+            medians = block_median(moved, "s").toArrow()
+            middle[medians["pos"].to_numpy()] = medians["value"].to_numpy()
+        else:
+            middle = total["s"] / self.n
+        self.z = soft(middle.reshape(self.shape), self.k)
+
+    def cut_lineage(self) -> None:
+        """Every step does."""
+
+
 def consensus_smlr(
     df: DataFrame,
     lam: float = 0.5,
@@ -407,7 +483,9 @@ def consensus_smlr(
     """Sparse multinomial regression (with bias) by row-split ADMM and a robust consensus.
 
     Every block takes ``local_steps`` Adam steps of its own; ``z`` is the soft-thresholded
-    upper median (or mean) of the block states per coordinate.
+    upper median (or mean) of the block states per coordinate. A block up to ``max_block_bytes`` takes its steps in
+    one task; larger ones take the same steps by passes over their chunks, with the states on the driver up to
+    ``stats_limit`` and in a table beyond.
     """
     if consensus not in ("median", "mean"):
         raise ValueError(f"unknown consensus {consensus!r}")
@@ -422,8 +500,6 @@ def consensus_smlr(
     _require_blocks(found, num_blocks)
     whole = largest * p * 8 <= max_block_bytes
     held = 3 * num_blocks * shape[0] * shape[1] * 8 <= stats_limit and last < num_blocks
-    if not (whole or held):
-        raise ValueError("blocks exceed max_block_bytes: raise num_blocks")
     parts = partition_count(spark, num_rows * p * 8, MAX_CHUNK_BYTES)
     if whole:
         # local steps are all the work, so a block per task if the session has the partitions
@@ -435,6 +511,8 @@ def consensus_smlr(
         problem = _SparseHeld(
             chunks.persist(_KEEP), parts, shape, num_blocks, lam, rho, alpha, local_steps, consensus, whole
         )
+    elif not whole:
+        problem = _SparsePasses(chunks, parts, shape, num_blocks, lam, rho, alpha, local_steps, consensus)
     else:
         placed = chunks.repartition(parts, "block_id").persist(_KEEP)
         problem = _SparseTable(placed, parts, shape, num_blocks, lam, rho, alpha, local_steps, consensus)
@@ -469,7 +547,7 @@ class _UncorrelatedHeld(_HeldStates):
         self.chunks.unpersist()
 
 
-def _joined_gradients(shape):
+def _joined_gradients(shape, with_state: bool = True):
     """Kernel over chunks joined to states: partial gradient, next to the state, per partition and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,10 +555,11 @@ def _joined_gradients(shape):
         limit = max(1, (64 << 20) // (3 * 8 * shape[0] * shape[1]))
 
         def out():
-            columns = zip(*held.values())
+            names = ["g", "x", "u"] if with_state else ["g"]
+            columns = list(zip(*held.values()))[: len(names)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(held), pa.int64()), *[pa.array(list(c), _DOUBLES) for c in columns]],
-                names=["block_id", "g", "x", "u"],
+                names=["block_id", *names],
             )
 
         for batch in batches:
@@ -531,6 +610,15 @@ def _place_chunks(chunks: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     return salted.repartition(parts, "block_id", "salt").persist(_KEEP), salts
 
 
+def _with_states(data: DataFrame, salts: DataFrame, states: DataFrame) -> DataFrame:
+    """Placed chunks, where they lie, with the state of their block; only the state moves."""
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)
+    state = states.select("block_id", F.col("x").alias("w"), "u")
+    state = state.join(F.broadcast(salts), "block_id", "left").withColumn("salt", F.explode(every))
+    chunks = data.select("block_id", "salt", "p", "X", "y")
+    return chunks.join(state.drop("_salts").hint("shuffle_hash"), ["block_id", "salt"]).drop("salt")
+
+
 class _UncorrelatedTable(_StateTable):
     def __init__(self, chunks, parts, shape, num_blocks, num_rows, epsilon, rho, eta):
         self.shape, self.n, self.scale = shape, num_blocks, num_blocks / num_rows
@@ -545,12 +633,7 @@ class _UncorrelatedTable(_StateTable):
         self._init_residuals(shape, num_blocks, rho)
 
     def joined(self) -> DataFrame:
-        """The chunks, where they lie, with the state of their block; only the state moves."""
-        every = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)
-        state = self.state.select("block_id", F.col("x").alias("w"), "u")
-        state = state.join(F.broadcast(self.salts), "block_id", "left").withColumn("salt", F.explode(every))
-        chunks = self.data.select("block_id", "salt", "p", "X", "y")
-        return chunks.join(state.drop("_salts").hint("shuffle_hash"), ["block_id", "salt"]).drop("salt")
+        return _with_states(self.data, self.salts, self.state)
 
     def advance(self) -> dict:
         sums = (

@@ -620,3 +620,5 @@ r(t, blk, {_VECTORS}) AS (
           GROUP BY ALL)))), c),
 last AS (SELECT DISTINCT {_three("z{i}")} FROM r WHERE t = 12)
 {" UNION ALL ".join(f"SELECT {k} AS class_idx, {i} AS feature_idx, round({'' if k else '-'}z{i}, 6) AS weight FROM last" for k in range(2) for i in range(3))}"""
+
+ORACLES["consensus_smlr_table"] = ORACLES["consensus_smlr_passes"] = ORACLES["consensus_smlr_small"]

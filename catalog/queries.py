@@ -828,13 +828,24 @@ def consensus_smlr_weights(spark, sf):
     return weight_table(model)
 
 
+def _small_smlr(spark, sf, **limits) -> DataFrame:
+    args = dict(num_blocks=3, max_iter=4, tol=-1, local_steps=3, block_by="key")
+    return weight_table(consensus_smlr(part_binary(spark, sf), 0.01, 1.0, 0.01, **args, **limits))
+
+
 @query
 def consensus_smlr_small(spark, sf):
-    return weight_table(
-        consensus_smlr(
-            part_binary(spark, sf), 0.01, 1.0, 0.01, num_blocks=3, max_iter=4, tol=-1, local_steps=3, block_by="key"
-        )
-    )
+    return _small_smlr(spark, sf)
+
+
+@query
+def consensus_smlr_table(spark, sf):
+    return _small_smlr(spark, sf, stats_limit=0)
+
+
+@query
+def consensus_smlr_passes(spark, sf):
+    return _small_smlr(spark, sf, stats_limit=0, max_block_bytes=1)
 
 
 @query

@@ -152,11 +152,31 @@ def test_consensus_smlr_rounds(frame, blobs, middle):
     np.testing.assert_allclose(held.W, want, atol=1e-9)
     split = consensus_smlr(frame(X, y + 1), max_block_bytes=1, **args)
     np.testing.assert_allclose(split.W, want, atol=1e-9)
+    passes = consensus_smlr(frame(X, y + 1), max_block_bytes=1, stats_limit=0, **args)
+    np.testing.assert_allclose(passes.W, want, atol=1e-9)
     assert held.classes == [1, 2, 3]
     predicted = predict_class(frame(X, y + 1), held).toPandas()
     assert (predicted.label == predicted.prediction).mean() > 0.6
 
 
+def test_consensus_smlr_by_passes_with_a_hot_block(frame, blobs, monkeypatch):
+    """A block with most of the rows is spread over many chunks; its state is one row and no file stays."""
+    X, y = blobs
+    blocks = [10 * int(k // 5 % 3) if k % 5 == 0 else 0 for k in range(len(X))]
+    df = frame(X, y, block_id=blocks)
+    pack = consensus.pack_chunks
+    monkeypatch.setattr(consensus, "pack_chunks", lambda rows, parts, size, **k: pack(rows, parts, 512, **k))
+    args = dict(lam=0.1, rho=1.0, alpha=0.02, num_blocks=3, max_iter=2, tol=-1, local_steps=4)
+    saved = []
+    store = consensus._SparsePasses._store
+    monkeypatch.setattr(consensus._SparsePasses, "_store", lambda self, new: (store(self, new), saved.append(self))[0])
+    got = consensus_smlr(df, max_block_bytes=1, stats_limit=0, **args)
+    assert len(saved) == 1 + 2 * 4 and saved[0].salts.count() >= 1
+    A, Y = np.column_stack([X, np.ones(len(X))]), np.eye(3)[y]
+    parts = [np.array(blocks) == b for b in (0, 10, 20)]
+    np.testing.assert_allclose(got.W, smlr_rounds(A, Y, parts, 0.1, 1.0, 0.02, 4, 2, "median"), atol=1e-9)
+
+
 def test_median_consensus_withstands_a_bad_block(frame):
     rng = np.random.default_rng(42)
     X = rng.normal(size=(400, 8)) * 2
