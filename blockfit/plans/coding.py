@@ -337,32 +337,57 @@ def _advance_pairs(params: CodingParams, first: bool, new_outer: bool, last: boo
     return run
 
 
-def _tile_sums(gamma: float, threshold: float):
-    """Kernel over tiles: ``[A d, sum d]`` per test row over the dictionary rows of the tile."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                p = batch.column("p")[i].as_py()
-                A = np.frombuffer(batch.column("A")[i].as_buffer()).reshape(-1, p)
-                flat = np.frombuffer(batch.column("steps")[i].as_buffer()).reshape(-1, p + 1)
-                tests = len(batch.column("row_ids")[i].values)
-                steps = [(s[:, :-1], s[:, -1]) for s in np.split(flat, len(flat) // tests)]
-                d = code_parts(A, steps, gamma, threshold)
+def _cell_sums(gamma: float, threshold: float):
+    """Kernel over a cell of the grid: ``[A d, sum d]`` per test row over the dictionary rows of the cell."""
+
+    def run(tests: pa.Table, parts: pa.Table) -> pa.Table:
+        ids, classes, out = [], [], []
+        if tests.num_rows and parts.num_rows:
+            p = tests.column("p")[0].as_py()
+            A = np.concatenate([np.frombuffer(a.as_buffer()).reshape(-1, p) for a in parts.column("A")])
+            for chunk, k, row_ids, steps in zip(*(tests.column(c) for c in ("chunk_id", "class_idx", "row_ids", "steps"))):
+                flat = np.frombuffer(steps.as_buffer()).reshape(-1, p + 1)
+                done = [(s[:, :-1], s[:, -1]) for s in np.split(flat, len(flat) // len(row_ids.values))]
+                d = code_parts(A, done, gamma, threshold)
+                ids.append(chunk.as_py())
+                classes.append(k.as_py())
                 out.append(np.column_stack([d @ A, d.sum(axis=1)]).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk_id"), batch.column("class_idx"), pa.array(out, _DOUBLES)],
-                names=["chunk_id", "class_idx", "sums"],
-            )
+        columns = [pa.array(ids, pa.int64()), pa.array(classes, pa.int32()), pa.array(out, _DOUBLES)]
+        return pa.Table.from_arrays(columns, names=["chunk_id", "class_idx", "sums"])
 
     return run
 
 
+def _grid(pairs: DataFrame, parts: DataFrame, columns: dict[int, int], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to the cells ``(class_idx, column, row)`` of a grid.
+
+    A class has as many ``columns`` as its dictionary fills cells; the tests of every class have ``rows`` rows. A
+    test chunk is copied once for each column of a class, a dictionary chunk once for each row.
+    """
+    width = F.element_at(F.create_map(*[F.lit(x) for k in sorted(columns.items()) for x in k]), F.col("class_idx"))
+    to_all = F.explode(F.sequence(F.lit(0), width - 1))
+    tests = pairs.withColumn("column", to_all).withColumn(
+        "row", F.pmod(F.xxhash64("chunk_id", "class_idx"), F.lit(rows)).cast("int")
+    )
+    place = F.pmod(F.xxhash64("dict_id"), width).cast("int")
+    dictionary = parts.withColumn("column", place).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return tests, dictionary
+
+
 def _code_tiled(
-    tests: DataFrame, dictionary: DataFrame, class_idx: list[int], p: int, params: CodingParams, limit: int
+    tests: DataFrame,
+    dictionary: DataFrame,
+    class_idx: list[int],
+    p: int,
+    params: CodingParams,
+    limit: int,
+    cell_bytes: int,
 ) -> DataFrame:
-    """Classes too large for one task: the dictionary stays in chunks, a tile meets one chunk."""
+    """Classes too large for one task: test chunks and dictionary chunks meet in the cells of a grid.
+
+    A cell holds about ``cell_bytes`` of either side, so what moves in a step is the tests times the columns and the
+    dictionary times the rows, not the dictionary times the test chunks; a large class fills many cells.
+    """
     ones = dictionary.withColumn("label", F.lit(1.0))
     chunks = pack_chunks(ones, sort=False).persist(_KEEP)
     stats = (
@@ -375,10 +400,14 @@ def _code_tiled(
         )
         .persist(_KEEP)
     )
-    parts_of_class = chunks.select(
-        F.col("block_id").cast("int").alias("class_idx"), F.col("chunk_id").alias("dict_id")
+    parts = chunks.select(
+        F.col("block_id").cast("int").alias("class_idx"), F.col("chunk_id").alias("dict_id"), F.col("X").alias("A")
     )
-    dict_chunks = chunks.select(F.col("chunk_id").alias("dict_id"), F.col("X").alias("A"))
+    # one number per class, of which the driver has the list
+    sizes = parts.groupBy("class_idx").agg(F.sum(F.length("A")).alias("size")).collect()
+    columns = {r["class_idx"]: -(-r["size"] // cell_bytes) for r in sizes}
+    steps_bytes = (tests.agg(F.sum(F.length("X"))).first()[0] or 0) * params.inner * (p + 1) // p
+    rows = max(1, -(-steps_bytes // cell_bytes))
     threshold = params.lam / params.rho2
     gamma = 1.0 if params.ridge == "identity" else 0.0
     pairs = _pairs(tests, class_idx)
@@ -389,15 +418,12 @@ def _code_tiled(
             first, last = o == i == 0, (o, i) == (params.outer - 1, params.inner - 1)
             source = _join_by_class(pairs, stats, len(class_idx), stats_bytes, limit)
             if i > 0:
-                tiles = (
-                    pairs.select("chunk_id", "class_idx", "p", "row_ids", "steps")
-                    .join(parts_of_class, "class_idx")
-                    .join(dict_chunks, "dict_id")
-                )
-                partial = tiles.mapInArrow(
-                    _tile_sums(gamma, threshold), "chunk_id long, class_idx int, sums array<double>"
+                sides = _grid(pairs.select("chunk_id", "class_idx", "p", "row_ids", "steps"), parts, columns, rows)
+                cells = (side.groupBy("class_idx", "column", "row") for side in sides)
+                partial = next(cells).cogroup(next(cells)).applyInArrow(
+                    _cell_sums(gamma, threshold), "chunk_id long, class_idx int, sums array<double>"
                 )
-                sums = vector_sum(partial, "sums", ["chunk_id", "class_idx"])
+                sums = vector_sum(partial, "sums", ["chunk_id", "class_idx"], num_partials=max(columns.values()))
                 source = source.join(sums, ["chunk_id", "class_idx"])
             kernel = _advance_pairs(params, first, i == 0, last)
             if last:
@@ -424,13 +450,14 @@ def huber_sparse_code(
     test_chunk_bytes: int = 1 << 20,
     max_dictionary_bytes: int = 64 << 20,
     broadcast_limit: int = 64 << 20,
+    cell_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Code every test row on every class: ``<test_id, class_idx, class_label, residual, mae>``.
 
     ``test`` is ``<row_id, features>``, ``train`` ``<row_id, label, features>``. ``ridge`` is
     the term added to the normal equations: ``"identity"`` on the diagonal (the ADMM step)
     or ``"scalar"`` on every entry. Dictionaries above ``max_dictionary_bytes`` are coded in
-    tiles; smaller ones are broadcast while all together stay below ``broadcast_limit``.
+    a grid of cells with ``cell_bytes`` of tests and of dictionary rows each; smaller ones are broadcast while all together stay below ``broadcast_limit``.
     """
     if ridge not in ("identity", "scalar"):
         raise ValueError(f"unknown ridge {ridge!r}")
@@ -456,7 +483,7 @@ def huber_sparse_code(
         results.append(_code_whole(tests, part, small, total, params, broadcast_limit))
     if large:
         part = rows.filter(F.col("block_id").isin(large)) if small else rows
-        results.append(_code_tiled(tests, part, large, p, params, broadcast_limit))
+        results.append(_code_tiled(tests, part, large, p, params, broadcast_limit, cell_bytes))
     codes = results[0] if len(results) == 1 else results[0].unionByName(results[1])
     labels = F.array(*[F.lit(k) for k in classes])
     return codes.select(

@@ -622,3 +622,102 @@ last AS (SELECT DISTINCT {_three("z{i}")} FROM r WHERE t = 12)
 {" UNION ALL ".join(f"SELECT {k} AS class_idx, {i} AS feature_idx, round({'' if k else '-'}z{i}, 6) AS weight FROM last" for k in range(2) for i in range(3))}"""
 
 ORACLES["consensus_smlr_table"] = ORACLES["consensus_smlr_passes"] = ORACLES["consensus_smlr_small"]
+
+
+# Two classes mirror each other here too, so the rows carry z and u of the second one. Two features, a block each.
+
+
+def _sharing_smlr(rounds: int, lam: float, rho: float, alpha: float) -> str:
+    """The rounds one after the other, each with two steps of either inner loop."""
+    ctes = [
+        f"g AS (SELECT sum(a * a) AS ga, sum(b * b) AS gb FROM part_rows)",
+        "s0 AS (SELECT id, a, b, l, 0.0::DOUBLE AS z, 0.0::DOUBLE AS u, 0.0::DOUBLE AS pull FROM part_rows)",
+        "x0 AS (SELECT 0.0::DOUBLE AS xa, 0.0::DOUBLE AS xb)",
+    ]
+    for t in range(1, rounds + 1):
+        for k in "ab":
+            ctes += [
+                f"f{k}{t} AS (SELECT g{k} AS gk, {rho} * (g{k} * x{k} + (SELECT sum({k} * pull) FROM s{t - 1})) AS fixed FROM x{t - 1}, g)",
+                f"v{k}{t} AS (SELECT gk, fixed, fixed / ({rho} * gk + 1) AS v1 FROM f{k}{t})",
+                f"w{k}{t} AS (SELECT gk, fixed, v1, {shrink('v1', str(lam))} AS z1 FROM v{k}{t})",
+                f"y{k}{t} AS (SELECT (fixed + z1 - (v1 - z1)) / ({rho} * gk + 1) + v1 - z1 AS y FROM w{k}{t})",
+                f"z{k}{t} AS (SELECT {shrink('y', str(lam))} AS x{k} FROM y{k}{t})",
+            ]
+        ctes += [
+            f"x{t} AS (SELECT xa, xb FROM za{t}, zb{t})",
+            f"r{t} AS (SELECT id, a, b, l, z, u, (a * xa + b * xb) / 2 AS abar, 0.0 AS m, 0.0 AS v FROM s{t - 1}, x{t})",
+        ]
+        source = f"r{t}"
+        for k in (1, 2):
+            rate = f"{alpha} * sqrt(1 - pow(0.999, {k})) / (1 - pow(0.9, {k}))"
+            ctes += [
+                f"h{t}_{k} AS (SELECT *, 2 * (1 / (1 + exp(-4 * z)) - l + {rho} * z - {rho} * (abar + u)) AS h FROM {source})",
+                f"k{t}_{k} AS (SELECT id, a, b, l, z, u, abar, 0.9 * m + 0.1 * h AS m, 0.999 * v + 0.001 * h * h AS v FROM h{t}_{k})",
+                f"l{t}_{k} AS (SELECT id, a, b, l, z - {rate} * m / (sqrt(v) + 1e-8) AS z, u, abar, m, v FROM k{t}_{k})",
+            ]
+            source = f"l{t}_{k}"
+        ctes.append(
+            f"s{t} AS (SELECT id, a, b, l, z, u + abar - z AS u, -(abar - z) - (u + abar - z) AS pull FROM {source})"
+        )
+    out = " UNION ALL ".join(
+        f"SELECT {k} AS class_idx, {i} AS feature_idx, round({'' if k else '-'}x{c}, 6) AS weight FROM x{rounds}"
+        for k in range(2)
+        for i, c in enumerate("ab")
+    )
+    return f"WITH {_PART}, " + ",\n".join(ctes) + "\n" + out
+
+
+ORACLES["sharing_smlr_small"] = ORACLES["sharing_smlr_small_table"] = _sharing_smlr(4, 0.05, 0.5, 0.05)
+
+# Sparse coding over two pixels: the ridge step is a system of two equations, solved by its determinant.
+_PIXELS = (1, 2)
+
+
+def _pixels(fmt: str) -> str:
+    return ", ".join(fmt.format(i=i, j=3 - i) for i in _PIXELS)
+
+
+def _ridge_step(name: str, source: str, keep: str) -> str:
+    """``p{i}`` (f) and ``ax{i}`` for the right-hand side ``g{i}`` and the code part ``ad{i}``."""
+    return f"""{name}_q AS (
+  SELECT *, {_pixels("r{i} * (r{i} * g{i} * g{i}{i} + r{j} * g{j} * g12 + ad{i}) AS q{i}").replace("g11", "c11").replace("g22", "c22").replace("g12", "c12")},
+         (r1 * r1 * c11 + 1) * (r2 * r2 * c22 + 1) - r1 * r2 * c12 * r1 * r2 * c12 AS det FROM {source}),
+{name}_f AS (
+  SELECT *, r1 * g1 - r1 * ((r2 * r2 * c22 + 1) * q1 - r1 * r2 * c12 * q2) / det AS p1,
+         r2 * g2 - r2 * ((r1 * r1 * c11 + 1) * q2 - r1 * r2 * c12 * q1) / det AS p2 FROM {name}_q),
+{name} AS (SELECT {keep}, p1, p2, p1 * c11 + p2 * c12 + ad1 AS ax1, p1 * c12 + p2 * c22 + ad2 AS ax2 FROM {name}_f)"""
+
+
+def _outer_pass(k: int) -> str:
+    """From ``fit{i}`` before to the weights of this pass and ``fit{i}`` after it."""
+    base = "t, k, b1, b2, c11, c12, c22, r1, r2"
+    weight = "CASE WHEN top = 0 THEN 1.0 ELSE 1 / (1 + exp((q{i} - top) / top)) END"
+    half = "(r{i} * ax{i} - r{i} * b{i} + 1) / 2"
+    return f"""o{k}_s AS (SELECT *, {_pixels("(b{i} - fit{i}) ** 2 AS q{i}")} FROM o{k - 1}),
+o{k}_a AS (SELECT *, greatest(q1, q2) AS top FROM o{k}_s),
+o{k}_w AS (SELECT t, k, b1, b2, c11, c12, c22, {_pixels(f"sqrt({weight}) AS r{{i}}")} FROM o{k}_a),
+o{k}_b AS (SELECT *, {_pixels("r{i} * b{i} AS g{i}, 0.0 AS ad{i}")} FROM o{k}_w),
+{_ridge_step(f"o{k}_x", f"o{k}_b", base)},
+o{k}_h AS (SELECT *, {_pixels(f"{half} + {shrink(f'({half})', '(10 * r{i})')} AS z{{i}}")} FROM o{k}_x),
+o{k}_g AS (SELECT {base}, p1, p2, {_pixels("z{i} - (1 + r{i} * ax{i} - r{i} * b{i} - z{i}) + r{i} * b{i} AS g{i}")} FROM o{k}_h),
+o{k}_d AS (SELECT t, h.k, a, b, p1 * a + p2 * b AS x FROM o{k}_g h JOIN train ON train.k = h.k),
+o{k}_e AS (SELECT t, k, a, b, 2 * {shrink("(x + 1)", "1")} - 1 - x AS d FROM o{k}_d),
+o{k}_n AS (SELECT t, k, sum(d * a) AS ad1, sum(d * b) AS ad2 FROM o{k}_e GROUP BY t, k),
+o{k}_j AS (SELECT g.* EXCLUDE (p1, p2), ad1, ad2 FROM o{k}_g g JOIN o{k}_n n ON g.t = n.t AND g.k = n.k),
+{_ridge_step(f"o{k}_y", f"o{k}_j", base)},
+o{k} AS (SELECT {base}, ax1 AS fit1, ax2 AS fit2 FROM o{k}_y)"""
+
+
+_HUBER = f"""WITH {_PART}, train AS (SELECT l AS k, a, b FROM part_rows WHERE id % 5 <> 0),
+dictionary AS (
+  SELECT k, sum(a * a) AS c11, sum(a * b) AS c12, sum(b * b) AS c22, avg(a) AS fit1, avg(b) AS fit2 FROM train GROUP BY k),
+o0 AS (SELECT id AS t, k, a AS b1, b AS b2, c11, c12, c22, fit1, fit2 FROM part_rows, dictionary WHERE id % 5 = 0),
+{_outer_pass(1)},
+{_outer_pass(2)},
+codes AS (SELECT t, k, r1 * abs(b1 - fit1) / 2 AS mae FROM o2) -- the last pixel does not count, yet the width does
+"""
+ORACLES["huber_code_small"] = ORACLES["huber_code_tiled"] = f"""{_HUBER}
+SELECT t AS test_id, k AS class_label, round(mae, 6) AS mae, 2 AS width FROM codes"""
+
+ORACLES["huber_classify_small"] = f"""{_HUBER}, best AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY mae, k) AS place FROM codes)
+SELECT t AS test_id, k AS prediction, round(mae, 6) AS mae FROM best WHERE place = 1"""

@@ -856,6 +856,49 @@ def sharing_smlr_weights(spark, sf):
     return weight_table(model)
 
 
+def _small_sharing(spark, sf, **limits) -> DataFrame:
+    args = dict(lam=0.05, rho=0.5, alpha=0.05, num_blocks=2, max_iter=4, tol=-1, inner_iter=2, z_steps=2)
+    return weight_table(sharing_smlr(part_binary(spark, sf), **args, **limits))
+
+
+@query
+def sharing_smlr_small(spark, sf):
+    return _small_sharing(spark, sf)
+
+
+@query
+def sharing_smlr_small_table(spark, sf):
+    return _small_sharing(spark, sf, stats_limit=0)
+
+
+def _small_codes(spark, sf, **limits) -> DataFrame:
+    """Every fifth part coded on the others, of either class."""
+    rows = part_binary(spark, sf)
+    held_out = F.pmod("row_id", F.lit(5)) == 0
+    return E.huber_sparse_code(rows.where(held_out).drop("label"), rows.where(~held_out), **limits)
+
+
+def _code_rows(codes: DataFrame) -> DataFrame:
+    return codes.select("test_id", "class_label", r6("mae").alias("mae"), F.size("residual").alias("width"))
+
+
+@query
+def huber_code_small(spark, sf):
+    return _code_rows(_small_codes(spark, sf))
+
+
+@query
+def huber_code_tiled(spark, sf):
+    """No class counts as small: test chunks and dictionary chunks meet in the cells of a grid."""
+    return _code_rows(_small_codes(spark, sf, max_dictionary_bytes=0, test_chunk_bytes=4096, cell_bytes=8192))
+
+
+@query
+def huber_classify_small(spark, sf):
+    found = E.classify_by_residual(_small_codes(spark, sf))
+    return found.select("test_id", "prediction", r6("mae").alias("mae"))
+
+
 def _codes(spark, sf) -> DataFrame:
     train, test = P.train_test_split(embedding_rows(spark, sf), 0.2, by="key")
     return E.huber_sparse_code(test.drop("label"), train)

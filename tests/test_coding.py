@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from blockfit.operators.evaluate import accuracy, attach_truth
+from blockfit.plans import coding
 from blockfit.plans.coding import classify_by_residual, huber_sparse_code, pixel_weights
 
 
@@ -69,6 +70,35 @@ def test_codes(frame, faces, ridge, c, limit):
         assert row.mae == pytest.approx(want[:-1].sum() / 24, rel=1e-5, abs=1e-3)
 
 
+@pytest.mark.parametrize("cell_bytes", [1 << 30, 2000, 400])
+def test_grid_of_any_cell_size_gives_the_codes(frame, faces, cell_bytes, monkeypatch):
+    train, y, test, _ = faces
+    y = np.where(np.arange(len(y)) % 3 == 0, y, 0)  # one class has most of the dictionary
+    args = (frame(test, np.zeros(20)).drop("label"), frame(train, y))
+    pack = coding.pack_chunks
+    monkeypatch.setattr(coding, "pack_chunks", lambda rows, **k: pack(rows, **{"max_chunk_bytes": 600, **k}))
+    dealt = []
+    grid = coding._grid
+
+    def watched(pairs, parts, columns, rows):
+        tests, dictionary = grid(pairs, parts, columns, rows)
+        counts = {r["class_idx"]: r["count"] for r in pairs.groupBy("class_idx").count().collect()}
+        dealt.append((counts, parts.count(), columns, rows, tests.count(), dictionary.count()))
+        return tests, dictionary
+
+    monkeypatch.setattr(coding, "_grid", watched)
+    a = huber_sparse_code(*args).toPandas().sort_values(["test_id", "class_idx"])
+    b = huber_sparse_code(*args, max_dictionary_bytes=0, test_chunk_bytes=500, cell_bytes=cell_bytes)
+    b = b.toPandas().sort_values(["test_id", "class_idx"])
+    np.testing.assert_allclose(a.mae, b.mae, rtol=1e-5, atol=1e-3)
+    counts, parts, columns, rows, tests, dictionary = dealt[0]
+    # what moves: each pair once per column of its class, each dictionary chunk once per row
+    assert tests == sum(columns[k] * n for k, n in counts.items())
+    assert dictionary == rows * parts
+    cells = sum(columns.values()) * rows
+    assert cells == len(columns) if cell_bytes == 1 << 30 else cells > 2 * len(columns) and columns[0] > columns[1]
+
+
 def test_dictionary_beyond_the_broadcast_limit(frame, faces):
     train, y, test, _ = faces
     args = (frame(test, np.zeros(20)).drop("label"), frame(train, y))
