@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockfit.llm.common import column_of, shuffle_partitions
+from blockfit.llm.common import column_of, stored
 
 _ENCODERS: dict[str, tuple] = {}
 
@@ -154,18 +154,30 @@ class OpenBins:
         return number, self.size - free
 
 
+#: Sequences a packer fills at least, and packers beyond which each gets more instead.
+PACKER_SEQUENCES, MOST_PACKERS = 2048, 20_000
+
+
+def packer_count(tokens: int, max_tokens: int) -> int:
+    """How many packers share ``tokens``; the settings of the session have no part in it."""
+    return max(1, min(tokens // (PACKER_SEQUENCES * max_tokens), MOST_PACKERS))
+
+
 def pack(pieces: DataFrame, max_tokens: int = 2048, open_bins: int = 1024) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``max_tokens``.
 
-    Rows are dealt over tasks by hash; each task sees its pieces from long to short and packs
-    them online, with ``open_bins`` open bins at most. A task leaves a few bins unfilled at its end,
-    whatever its size. Sequence numbers are the task's number times 2^33 plus its own count. Equal
-    rows are packed each; an empty table gives no sequence.
+    Rows are dealt over packers by hash; each packer sees its pieces from long to short and packs
+    them online, with ``open_bins`` open bins at most. A packer leaves a few bins unfilled at its end,
+    whatever its size, so there are as many as the tokens give at least ``PACKER_SEQUENCES`` full
+    sequences to; beyond ``MOST_PACKERS`` each gets more rows, which it sorts on disk. ``pieces`` is read
+    twice, for the sum of tokens and for the packing, and is best stored. Sequence numbers are the packer's
+    number times 2^33 plus its own count. Equal rows are packed each; an empty table gives no sequence.
     """
     schema = T.StructType(
         [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
-    n = shuffle_partitions(pieces.sparkSession)
+    tokens = pieces.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
+    n = packer_count(tokens, max_tokens)
     order = [F.desc("length"), "doc_id", "piece", "ids_crc32"]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,4 +205,4 @@ def pack_documents(
 ) -> DataFrame:
     """Tokenise ``docs`` (doc_id, text), cut long ones, and pack the pieces into sequences."""
     pieces = token_pieces(docs, path or tokenizer_path(), max_tokens, with_ids=with_ids)
-    return pack(pieces, max_tokens, open_bins)
+    return pack(stored(pieces, "pieces"), max_tokens, open_bins)

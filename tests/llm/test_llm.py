@@ -298,6 +298,39 @@ def test_packing_round_trip(docs, texts):
     assert len(bins) <= math.ceil(tokens / 256) + 4  # one unfilled bin for each task at most
 
 
+def test_packing_is_near_the_bound_whatever_the_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    setting = "spark.sql.shuffle.partitions"
+    before, found = spark.conf.get(setting), []
+    try:
+        for n in (4, 200):
+            spark.conf.set(setting, str(n))
+            found.append(packing.pack_documents(docs).toPandas())
+    finally:
+        spark.conf.set(setting, before)
+    bound = -(-int(found[0].length.sum()) // 2048)
+    assert found[0].sequence_id.nunique() == found[1].sequence_id.nunique() <= 1.01 * bound + 1
+    keys = ["doc_id", "piece"]
+    a, b = (f.sort_values(keys).reset_index(drop=True) for f in found)
+    assert a.equals(b)
+
+
+def test_packers_follow_the_tokens(monkeypatch, spark):
+    full = packing.PACKER_SEQUENCES * 2048
+    assert [packing.packer_count(x, 2048) for x in (0, full - 1, 3 * full, full * 10**6)] == [1, 1, 3, 20_000]
+    monkeypatch.setattr(packing, "PACKER_SEQUENCES", 2)
+    rows = [(k, 0, 1 + k * 7 % 10, k) for k in range(200)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")
+    got = packing.pack(pieces, max_tokens=10).collect()
+    assert len({r.sequence_id >> 33 for r in got}) > 10
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for parts in filled.values():
+        ends = [0] + list(np.cumsum([n for _, n in sorted(parts)]))
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 10
+
+
 def test_special_token_text_and_same_ids():
     from tokenizers import Tokenizer
 
