@@ -10,11 +10,13 @@ with one sample position form a segment.
    of any length at once: all suffixes of the later segment repeat.
 2. What is left are suffixes in segments whose gram also occurs in a different segment, at the ends of
    repeated passages. They form suffix buckets, one for each gram; a task sorts one block of
-   buckets at a time and compares neighbours byte by byte.
-3. A gram with very many different segments (the end of a passage that a third of all
-   documents share) is not gathered: its suffixes are grouped one by one, pre-aggregated.
+   buckets at a time in the order of their bytes and compares neighbours.
+3. A gram with more than ``HOT`` different segments in the whole corpus (the end of a passage that many
+   documents share) is no bucket: its suffixes are grouped one by one, pre-aggregated.
 
-All steps hold one block of rows at a time, whatever the size of a text or group.
+All steps hold one block of rows at a time, whatever the size of a text, a bucket or a group: the segments of
+a gram stream past, and beyond ``HOT`` different ones nothing but the last is kept. A slice of text sends at
+most ``HOT_HERE`` segments of one gram to the task that ranks it.
 """
 
 from __future__ import annotations
@@ -33,11 +35,16 @@ from blockfit.llm.quality import odd_factors
 
 _U = np.uint64
 GRAM = 32
-#: Bytes looked at together, and different segments of a gram in one batch beyond which it is hot.
-BUFFER, HOT = 1 << 19, 64
+#: Longest string, as suffixes are spelled out; shorter ones than a gram have no sample.
+MOST_LENGTH = 1024
+BUFFER = 1 << 19  # bytes looked at together
+#: Different segments of a gram beyond which it is hot: in one slice of texts, and in all.
+HOT_HERE, HOT = 16, 64
+#: Rows that a task looks at together at least before it decides on the grams among them.
+ROWS = 1 << 16
 _POSITION = _U((1 << 22) - 1)
-#: Kinds of rows.
-SEGMENT, MARKER, REPEAT, BUCKET, SINGLE = range(5)
+#: Kinds of rows; ``DONE`` is a segment of a hot gram that has been passed on.
+SEGMENT, MARKER, REPEAT, BUCKET, SINGLE, DONE = range(6)
 _BYTES = odd_factors(256, 31)
 _BYTES2 = odd_factors(256, 32)
 _STEPS = odd_factors(6, 33)
@@ -114,13 +121,18 @@ def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     return dict(zip(("row", "start", "count", "gram", "name"), map(np.concatenate, zip(*parts))))
 
 
-#: ``place`` holds start (35 bits), tag of the text (16), number of windows (7) and kind (3).
+#: ``place`` holds start (31 bits, as a value has no more bytes), tag of the text (16), number of windows (13)
+#: and kind (3).
+_START, _TAG, _COUNT = 32, 16, 3
+_TAGS, _MOST_COUNT = 0xFFFF, (1 << 13) - 1
+
+
 def _place(start, tag, count, kind) -> np.ndarray:
-    return (start << 26) | (tag << 10) | (count << 3) | kind
+    return (start << _START) | (tag << _TAG) | (count << _COUNT) | kind
 
 
 def _unplace(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    return place >> 26, (place >> 10) & 0xFFFF, (place >> 3) & 0x7F, place & 7
+    return place >> _START, (place >> _TAG) & _TAGS, (place >> _COUNT) & _MOST_COUNT, place & 7
 
 
 _RECORD = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "name", "rank", "place")])
@@ -134,7 +146,7 @@ def _record(gram, name, rank, place) -> pa.RecordBatch:
 def text_tag(data: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(data) & 0xFFFF
+    return xxhash.xxh3_64_intdigest(data) & _TAGS
 
 
 def _binary(batch: pa.RecordBatch) -> list[bytes]:
@@ -162,7 +174,7 @@ def _name_segments(length: int):
                 gram, title, owner, tag, start, count = (x[lead] for x in (gram, title, owner, tag, start, count))
                 fresh = np.concatenate([[True], gram[1:] != gram[:-1]])
                 group = np.cumsum(fresh) - 1
-                hot = np.bincount(group)[group] > HOT
+                hot = np.bincount(group)[group] > HOT_HERE
                 plain = ~hot
                 yield _record(
                     gram[plain], title[plain], owner[plain], _place(start[plain], tag[plain], count[plain], SEGMENT)
@@ -193,16 +205,18 @@ def _repeats(owner, tag, start, end) -> Iterator[pa.RecordBatch]:
 def _rank_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (gram, name, rank, place), one gram after the other: which repeat, and which
     have to be compared suffix by suffix."""
-    held: list[np.ndarray] = []
 
-    def decide(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def decide(rows: np.ndarray, more: bool = False):
+        """Yields the decisions; with ``more``, the rows are of one gram that goes on, and what has to be
+        kept of it, a bounded number of rows, is returned."""
         kind = rows[3] & 7
         passed = (kind == REPEAT) | (kind == SINGLE)
         if passed.any():
             yield _record(*rows[:, passed])
-        gram, name, rank, place = rows[:, ~passed]
+        rows = rows[:, ~passed]
+        gram, name, rank, place = rows
         if not len(gram):
-            return
+            return rows
         start, tag, count, kind = _unplace(place)
         marker = kind == MARKER
         fresh = np.concatenate([[True], gram[1:] != gram[:-1]])
@@ -212,26 +226,42 @@ def _rank_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
         later = ~marker & ((rank != rank[head]) | (start != start[head]))
         yield from _repeats(rank[later], tag[later], start[later], start[later] + count[later])
-        first = lead & ~marker
-        hot = np.bincount(group, marker)[group] > 0
-        split = np.bincount(group, first)[group] > 1
-        for rule, where in ((BUCKET, first & split & ~hot), (SINGLE, first & hot)):
+        first = lead & (kind == SEGMENT)
+        different = np.bincount(group, first)[group]
+        hot = (different > HOT) | (np.bincount(group, marker | (kind == DONE))[group] > 0)
+        if more and not hot[0]:
+            return rows[:, first]
+        for rule, where in ((BUCKET, first & (different > 1) & ~hot), (SINGLE, first & hot)):
             if where.any():
                 yield _record(gram[where], name[where], rank[where], _place(start[where], tag[where], count[where], rule))
+        if not more:
+            return None
+        kept = rows[:, lead & ~marker][:, -1:].copy()  # the next rows may have its name
+        kept[3] = kept[3] & ~np.int64(7) | DONE
+        mark = np.array([[gram[0]], [0], [0], [MARKER]], np.int64)
+        return np.concatenate([mark, kept], axis=1)
 
+    held: list[np.ndarray] = []
     for batch in batches:
         if batch.num_rows:
             held.append(np.stack([column_of(batch, c).to_numpy(zero_copy_only=False) for c in _RECORD.names]))
-        if sum(x.shape[1] for x in held) >= 1 << 16:
+        if sum(x.shape[1] for x in held) >= ROWS:
             rows = np.concatenate(held, axis=1)
             whole = int(np.searchsorted(rows[0], rows[0, -1]))  # the last gram may go on
             if whole:
                 yield from decide(rows[:, :whole])
-            held = [rows[:, whole:]]
+                held = [rows[:, whole:]]
+            else:
+                held = [(yield from decide(rows, more=True))]
     if held:
         yield from decide(np.concatenate(held, axis=1))
 
 
+def _block_rows(length: int) -> int:
+    """Slices whose suffixes are spelled out together, some 10 MB; a whole bucket at least."""
+    return max(HOT + 1, 15_000_000 // length**2)
+
+
 def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
     """All suffixes of the given slices as rows of ``length`` bytes, with rank, tag and start."""
     start, tag, count, _ = _unplace(column_of(batch, "place").to_numpy(zero_copy_only=False))
@@ -259,16 +289,13 @@ def _fingerprints(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sort_buckets(length: int):
     """Sort the suffixes of complete buckets, a block at a time; equal neighbours repeat."""
+    room = _block_rows(length)
 
     def block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, rank, tag, start = _suffixes(batch, length)
         pad = -length % 8
         words = np.pad(rows, ((0, 0), (0, pad))).view(">u8").astype(_U)
-        # by the first bytes, then by the names of what follows
-        rest = np.zeros(len(words), _U)
-        for k, factor in enumerate(odd_factors(words.shape[1], 37)):
-            rest += mixed(words[:, k] * factor)
-        order = np.lexsort((start, rank, rest, words[:, 0]))
+        order = np.lexsort((start, rank, *words.T[::-1]))
         words, rank, tag, start = words[order], rank[order], tag[order], start[order]
         lead = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])
         head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
@@ -278,11 +305,11 @@ def _sort_buckets(length: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1500):
-                part = batch.slice(at, 1500)
+            for at in range(0, batch.num_rows, room):
+                part = batch.slice(at, room)
                 held = part if held is None else pa.concat_batches([held, part])
                 grams = column_of(held, "gram").to_numpy(zero_copy_only=False)
-                if len(grams) >= 1500:
+                if len(grams) >= room:
                     whole = int(np.searchsorted(grams, grams[-1]))
                     if whole:
                         yield from block(held.slice(0, whole))
@@ -294,10 +321,12 @@ def _sort_buckets(length: int):
 
 
 def _single_suffixes(length: int):
+    room = _block_rows(length)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows, rank, tag, start = _suffixes(batch.slice(at, 2000), length)
+            for at in range(0, batch.num_rows, room):
+                rows, rank, tag, start = _suffixes(batch.slice(at, room), length)
                 yield _record(*_fingerprints(rows), rank, _place(start, tag, 1, SINGLE))
 
     return each
@@ -308,12 +337,14 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
 
     ``docs`` has ``rank`` (long, the order of documents) and ``data`` (binary).
     """
+    if not GRAM <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be from {GRAM} to {MOST_LENGTH} bytes, not {length}")
     n = shuffle_partitions(docs.sparkSession)
     names = docs.select("rank", "data").mapInArrow(_name_segments(length), _RECORD)
     sorted_names = names.repartition(n, "gram").sortWithinPartitions("gram", "name", "rank", "place")
     ranked = stored(sorted_names.mapInArrow(_rank_segments, _RECORD), "ranked")
-    kind, start = F.col("place").bitwiseAND(7), F.shiftright("place", 26)
-    count = F.shiftright("place", 3).bitwiseAND(0x7F)
+    kind, start = F.col("place").bitwiseAND(7), F.shiftright("place", _START)
+    count = F.shiftright("place", _COUNT).bitwiseAND(_MOST_COUNT)
     asked = ranked.where(kind.isin(BUCKET, SINGLE)).select("gram", "rank", "place", _tag().alias("tag"))
     texts = docs.select("rank", "data", "tag")
     cut = F.substring(F.col("data"), (start + 1).cast("int"), (count + (length - 1)).cast("int"))
@@ -339,7 +370,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def _tag() -> Column:
-    return F.shiftright("place", 10).bitwiseAND(0xFFFF)
+    return F.shiftright("place", _TAG).bitwiseAND(_TAGS)
 
 
 def remove_repeats(
@@ -348,7 +379,7 @@ def remove_repeats(
     """Every row with the bytes removed that a repeated string of ``length`` bytes covers.
 
     A string is repeated if it also starts earlier: in a document of smaller ``doc_id``, or before
-    in the same one. Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (removed
+    in the same one; ``length`` is from 32 to 1024, else an error. Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (removed
     ranges as byte offsets of the input), ``kept`` (the remaining bytes) and ``carry``; or, with
     ``with_text``, the remaining ``text`` instead of ``kept``, without characters cut in the middle.
 

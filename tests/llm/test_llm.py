@@ -159,9 +159,9 @@ def removed_bytes(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 0])
+@pytest.mark.parametrize("hot", [16, 0])
 def test_repeated_strings_match_all_windows(docs, texts, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", hot)  # 0: every gram is hot, as closures carry module values by name
+    monkeypatch.setattr(suffix, "HOT_HERE", hot)  # 0: every gram is hot, as closures carry module values by name
     want = removed_bytes(texts)
     got = suffix.remove_repeats(docs, carry=("source",)).collect()
     assert len(got) == len(texts) + 1
@@ -172,6 +172,68 @@ def test_repeated_strings_match_all_windows(docs, texts, hot, monkeypatch):
         assert len(r.kept) == len(data) - r.n_removed
 
 
+@pytest.mark.parametrize("length", [32, 159, 250, 1024])
+def test_repeated_strings_of_any_length(spark, length):
+    rng = random.Random(length)
+    passage = prose(rng, 320)
+    texts = [prose(rng, 20) + passage[: 300 * (k % 5) + 10 * k] + prose(rng, 30) for k in range(30)]
+    texts += [passage, passage * 2, None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix.remove_repeats(frame, length=length).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed_bytes(texts, length)
+
+
+@pytest.mark.parametrize("length", [0, 31, 1025])
+def test_lengths_without_a_sample_or_too_long_are_errors(docs, length):
+    with pytest.raises(ValueError, match="length"):
+        suffix.remove_repeats(docs, length=length)
+
+
+def segment_rows(rng, n, hot, marked=False):
+    """Sorted records of grams with few and, if ``hot``, one with ``n`` different segments, all given twice."""
+    rows = []
+    for gram in range(40):
+        for name in range(n if hot and gram == 7 else rng.randint(1, 4)):
+            for rank in rng.sample(range(1000), 2):
+                rows.append((gram, name + 1, rank, int(suffix._place(rank + name, 5, 9, suffix.SEGMENT))))
+    if marked:
+        rows += [(9, 0, 0, suffix.MARKER), (9, 0, 0, suffix.MARKER)]
+    return np.array(sorted(rows), np.int64).T
+
+
+def ranked(rows, size):
+    parts = [rows[:, k : k + size] for k in range(0, rows.shape[1], size)]
+    out = []
+    for batch in suffix._rank_segments(suffix._record(*p) for p in parts):
+        out += zip(*[batch.column(c).to_pylist() for c in range(4)])
+    repeats = set()
+    for gram, end, rank, place in out:
+        if place & 7 == suffix.REPEAT:
+            repeats |= {(rank, at) for at in range(place >> suffix._START, end)}
+    return repeats, sorted(r for r in out if r[3] & 7 != suffix.REPEAT)
+
+
+@pytest.mark.parametrize("marked", [False, True])
+@pytest.mark.parametrize("hot", [False, True])
+def test_segments_of_a_gram_may_come_in_any_batches(hot, marked, monkeypatch):
+    rows = segment_rows(random.Random(3), 500, hot, marked)
+    want = ranked(rows, rows.shape[1])
+    kinds = {r[0]: {q[3] & 7 for q in want[1] if q[0] == r[0]} for r in want[1]}
+    assert (kinds.get(7) == {suffix.SINGLE}) == hot and (kinds.get(9) == {suffix.SINGLE}) == marked
+    assert sum(r[0] == 7 for r in want[1]) == 500 or not hot
+    for limit, size in ((1, 1), (3, 2), (64, 10), (100, 7)):
+        monkeypatch.setattr(suffix, "ROWS", limit)
+        assert ranked(rows, size) == want
+
+
+def test_buckets_stay_small_when_documents_grow(monkeypatch):
+    monkeypatch.setattr(suffix, "ROWS", 128)
+    for n in (100, 400, 1600):
+        found = ranked(segment_rows(random.Random(n), n, True), 50)[1]
+        buckets = collections.Counter(r[0] for r in found if r[3] & 7 == suffix.BUCKET)
+        assert max(buckets.values()) <= 4 and sum(r[0] == 7 for r in found) == n
+
+
 def test_repeated_strings_over_long_text_and_empty(spark, empty):
     rng = random.Random(2)
     long = prose(rng, 260_000)  # longer than one buffer
