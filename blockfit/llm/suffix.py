@@ -321,13 +321,22 @@ def _sort_buckets(length: int):
 
 
 def _single_suffixes(length: int):
+    """Fingerprints of single suffixes; of equal ones in a block only the first is left to compare."""
     room = _block_rows(length)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, room):
                 rows, rank, tag, start = _suffixes(batch.slice(at, room), length)
-                yield _record(*_fingerprints(rows), rank, _place(start, tag, 1, SINGLE))
+                one, two = _fingerprints(rows)
+                order = np.lexsort((start, rank, two, one))
+                one, two, rank, tag, start = (x[order] for x in (one, two, rank, tag, start))
+                lead = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+                head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+                later = (rank != rank[head]) | (start != start[head])
+                yield from _repeats(rank[later], tag[later], start[later], start[later] + 1)
+                left = ~later
+                yield _record(one[left], two[left], rank[left], _place(start[left], tag[left], 1, SINGLE))
 
     return each
 
@@ -355,7 +364,8 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     slices = slices.dropDuplicates(["gram", "rank", "place"])
     buckets = slices.where(kind == BUCKET).repartition(n, "gram").sortWithinPartitions("gram", "rank", "place")
     found = buckets.mapInArrow(_sort_buckets(length), _RECORD)
-    singles = stored(slices.where(kind == SINGLE).mapInArrow(_single_suffixes(length), _RECORD), "singles")
+    grouped = stored(slices.where(kind == SINGLE).mapInArrow(_single_suffixes(length), _RECORD), "singles")
+    singles = grouped.where(kind == SINGLE)
     earliest = singles.groupBy("gram", "name").agg(F.min(F.struct("rank", start.alias("start"))).alias("head"))
     later = singles.join(earliest, ["gram", "name"]).where(
         (F.col("rank") != F.col("head.rank")) | (start != F.col("head.start"))
@@ -364,6 +374,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     return (
         ranked.where(kind == REPEAT)
         .select(*whole, F.col("name").alias("last"))
+        .union(grouped.where(kind == REPEAT).select(*whole, F.col("name").alias("last")))
         .union(found.select(*whole, F.col("name").alias("last")))
         .union(later.select(*whole, (start + 1).alias("last")))
     )
