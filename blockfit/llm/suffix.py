@@ -11,11 +11,11 @@ with one sample position form a segment.
 2. What is left are suffixes in segments whose gram also occurs in a different segment, at the ends of
    repeated passages. They form suffix buckets, one for each gram; a task sorts one block of
    buckets at a time in the order of their bytes and compares neighbours.
-3. A gram with more than ``HOT`` different segments in the whole corpus (the end of a passage that many
-   documents share) is no bucket: its suffixes are grouped one by one, pre-aggregated.
+3. A gram whose different segments in the whole corpus make more than one block (the end of a passage that
+   many documents share) is no bucket: its suffixes are grouped one by one, pre-aggregated.
 
 All steps hold one block of rows at a time, whatever the size of a text, a bucket or a group: the segments of
-a gram stream past, and beyond ``HOT`` different ones nothing but the last is kept. A slice of text sends at
+a gram stream past, and beyond a block of different ones nothing but the last is kept. A slice of text sends at
 most ``HOT_HERE`` segments of one gram to the task that ranks it.
 """
 
@@ -38,8 +38,8 @@ GRAM = 32
 #: Longest string, as suffixes are spelled out; shorter ones than a gram have no sample.
 MOST_LENGTH = 1024
 BUFFER = 1 << 19  # bytes looked at together
-#: Different segments of a gram beyond which it is hot: in one slice of texts, and in all.
-HOT_HERE, HOT = 16, 64
+#: Different segments of a gram in one slice of texts beyond which it is hot, whatever the others hold.
+HOT_HERE = 64
 #: Rows that a task looks at together at least before it decides on the grams among them.
 ROWS = 1 << 16
 _POSITION = _U((1 << 22) - 1)
@@ -202,9 +202,14 @@ def _repeats(owner, tag, start, end) -> Iterator[pa.RecordBatch]:
     yield _record(mixed(owner[first].astype(_U)), end[last], owner[first], place)
 
 
-def _rank_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_rows(length: int) -> int:
+    """Segments whose suffixes are spelled out together, some 10 MB; a gram with more of them is hot."""
+    return max(1, 15_000_000 // length**2)
+
+
+def _rank_segments(most: int):
     """From rows sorted by (gram, name, rank, place), one gram after the other: which repeat, and which
-    have to be compared suffix by suffix."""
+    have to be compared suffix by suffix; a bucket has ``most`` different segments at most."""
 
     def decide(rows: np.ndarray, more: bool = False):
         """Yields the decisions; with ``more``, the rows are of one gram that goes on, and what has to be
@@ -228,7 +233,7 @@ def _rank_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from _repeats(rank[later], tag[later], start[later], start[later] + count[later])
         first = lead & (kind == SEGMENT)
         different = np.bincount(group, first)[group]
-        hot = (different > HOT) | (np.bincount(group, marker | (kind == DONE))[group] > 0)
+        hot = (different > most) | (np.bincount(group, marker | (kind == DONE))[group] > 0)
         if more and not hot[0]:
             return rows[:, first]
         for rule, where in ((BUCKET, first & (different > 1) & ~hot), (SINGLE, first & hot)):
@@ -241,25 +246,23 @@ def _rank_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         mark = np.array([[gram[0]], [0], [0], [MARKER]], np.int64)
         return np.concatenate([mark, kept], axis=1)
 
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(np.stack([column_of(batch, c).to_numpy(zero_copy_only=False) for c in _RECORD.names]))
-        if sum(x.shape[1] for x in held) >= ROWS:
-            rows = np.concatenate(held, axis=1)
-            whole = int(np.searchsorted(rows[0], rows[0, -1]))  # the last gram may go on
-            if whole:
-                yield from decide(rows[:, :whole])
-                held = [rows[:, whole:]]
-            else:
-                held = [(yield from decide(rows, more=True))]
-    if held:
-        yield from decide(np.concatenate(held, axis=1))
-
-
-def _block_rows(length: int) -> int:
-    """Slices whose suffixes are spelled out together, some 10 MB; a whole bucket at least."""
-    return max(HOT + 1, 15_000_000 // length**2)
+    def rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([column_of(batch, c).to_numpy(zero_copy_only=False) for c in _RECORD.names]))
+            if sum(x.shape[1] for x in held) >= ROWS:
+                rows = np.concatenate(held, axis=1)
+                whole = int(np.searchsorted(rows[0], rows[0, -1]))  # the last gram may go on
+                if whole:
+                    yield from decide(rows[:, :whole])
+                    held = [rows[:, whole:]]
+                else:
+                    held = [(yield from decide(rows, more=True))]
+        if held:
+            yield from decide(np.concatenate(held, axis=1))
+
+    return rank_all
 
 
 def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
@@ -351,7 +354,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
     names = docs.select("rank", "data").mapInArrow(_name_segments(length), _RECORD)
     sorted_names = names.repartition(n, "gram").sortWithinPartitions("gram", "name", "rank", "place")
-    ranked = stored(sorted_names.mapInArrow(_rank_segments, _RECORD), "ranked")
+    ranked = stored(sorted_names.mapInArrow(_rank_segments(_block_rows(length)), _RECORD), "ranked")
     kind, start = F.col("place").bitwiseAND(7), F.shiftright("place", _START)
     count = F.shiftright("place", _COUNT).bitwiseAND(_MOST_COUNT)
     asked = ranked.where(kind.isin(BUCKET, SINGLE)).select("gram", "rank", "place", _tag().alias("tag"))

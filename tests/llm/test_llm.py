@@ -159,7 +159,7 @@ def removed_bytes(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [16, 0])
+@pytest.mark.parametrize("hot", [64, 0])
 def test_repeated_strings_match_all_windows(docs, texts, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT_HERE", hot)  # 0: every gram is hot, as closures carry module values by name
     want = removed_bytes(texts)
@@ -183,6 +183,13 @@ def test_repeated_strings_of_any_length(spark, length):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed_bytes(texts, length)
 
 
+def test_repeated_strings_with_hot_grams_match_all_windows(docs, texts, monkeypatch):
+    monkeypatch.setattr(suffix, "_block_rows", lambda length: 2)  # called on the driver for the heat
+    got = suffix.remove_repeats(docs).collect()
+    want = removed_bytes(texts)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 @pytest.mark.parametrize("length", [0, 31, 1025])
 def test_lengths_without_a_sample_or_too_long_are_errors(docs, length):
     with pytest.raises(ValueError, match="length"):
@@ -201,10 +208,10 @@ def segment_rows(rng, n, hot, marked=False):
     return np.array(sorted(rows), np.int64).T
 
 
-def ranked(rows, size):
+def ranked(rows, size, most=64):
     parts = [rows[:, k : k + size] for k in range(0, rows.shape[1], size)]
     out = []
-    for batch in suffix._rank_segments(suffix._record(*p) for p in parts):
+    for batch in suffix._rank_segments(most)(suffix._record(*p) for p in parts):
         out += zip(*[batch.column(c).to_pylist() for c in range(4)])
     repeats = set()
     for gram, end, rank, place in out:
