@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockfit.functions.arrays import unit_hash
-from blockfit.operators.select import kth_smallest
+from blockfit.operators.select import MAX_BROADCAST, kth_smallest, small_side
 from blockfit.session import cut_lineage
 
 _BUCKETS = 10000
@@ -106,12 +106,13 @@ def k_fold(df: DataFrame, k: int = 5, seed: int = 1, by: str = "hash") -> DataFr
 
 
 def stratified_pick(
-    df: DataFrame, pick_size: int, seed: int = 1, by: str = "hash"
+    df: DataFrame, pick_size: int, seed: int = 1, by: str = "hash", max_broadcast: int = MAX_BROADCAST
 ) -> tuple[DataFrame, DataFrame]:
     """``pick_size`` rows of every class to train, at least 1 and at most all but one; the rest to test.
 
     The only row of a class goes to test. The picked rows are those below a cut per
-    class, found by counting; the rows themselves are neither shuffled nor sorted.
+    class, found by counting; the rows themselves are neither shuffled nor sorted while the cuts, one row per
+    class, are at most ``max_broadcast``. Any number of classes is possible.
     """
     key = F.xxhash64("row_id", F.lit(seed)) if by == "hash" else F.col("row_id")
     keyed = df.withColumn("_order", key)
@@ -121,9 +122,8 @@ def stratified_pick(
         .agg(F.min("_order").alias("lo"), F.max("_order").alias("hi"), size.cast("long").alias("k"), F.count("*").alias("n"))
         .filter("k > 0")
     )
-    cuts = kth_smallest(keyed, "_order", ranks, "label").withColumnRenamed("label", "_class")
-    # one row per class
-    tagged = keyed.join(F.broadcast(cuts), F.col("label") == F.col("_class"), "left").withColumn(
+    cuts = kth_smallest(keyed, "_order", ranks, "label", max_broadcast).withColumnRenamed("label", "_class")
+    tagged = keyed.join(small_side(cuts, cuts.count(), max_broadcast), F.col("label") == F.col("_class"), "left").withColumn(
         "_train", F.coalesce(F.col("_order") <= F.col("cut"), F.lit(False))
     )
     return (

@@ -68,6 +68,36 @@ def test_kth_smallest_over_several_levels(spark, monkeypatch):
     assert got == {g: np.sort(values[g::2])[1233] for g in (0, 1)}
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_kth_smallest_of_large_and_small_groups(spark, monkeypatch, most):
+    monkeypatch.setattr("blockfit.operators.select._LAST_SORT", 50)
+    rng = np.random.default_rng(4)
+    group = np.where(rng.random(6000) < 0.4, 0, rng.integers(1, 200, 6000))
+    values = rng.permutation(10**6)[:6000] - 500_000
+    rows = [(int(v), int(g) or None if g != 0 else 0) for v, g in zip(values, group)] + [(7, None), (8, None)]
+    df = spark.createDataFrame(rows, "v long, g int").repartition(5)
+    half = F.ceil(F.count("*") / 2)
+    ranks = df.groupBy("g").agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), half.alias("k"), F.count("*").alias("n")
+    )
+    got = {r["g"]: r["cut"] for r in kth_smallest(df, "v", ranks, "g", most).collect()}
+    want = {int(g): int(np.sort(values[group == g])[(sum(group == g) + 1) // 2 - 1]) for g in set(group)}
+    assert got == want
+
+
+def test_cuts_of_many_classes_do_not_pass_the_driver(spark):
+    rows = spark.range(300_000).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") < 100_000, 0).otherwise(F.col("id") % 50_000 + 1).alias("label"),
+        F.array(F.lit(0.0)).alias("features"),
+    )
+    train, test = P.stratified_pick(rows, 2, by="key", max_broadcast=1000)
+    assert "BroadcastHashJoin" not in train._jdf.queryExecution().executedPlan().toString()
+    got = train.groupBy("label").agg(F.count("*").alias("n"), F.max("row_id").alias("last"))
+    assert got.filter("n = 2").count() == got.count() == 50_001
+    assert got.filter("label = 0").first()["last"] == 1 and test.count() == 300_000 - 2 * 50_001
+
+
 def test_row_ids_follow_the_order(frame):
     ids = np.random.default_rng(2).permutation(700) * 3
     df = frame(np.zeros((700, 1)), np.zeros(700), ids=ids).withColumnRenamed("row_id", "key")
