@@ -34,6 +34,7 @@ from blockfit.plans.kernels import (
     softmax_terms,
     uncorrelated_coefficients,
 )
+from blockfit.plans.resume import SavedRounds
 from blockfit.plans.rounds import STATS_LIMIT, indexed, num_features, run_admm
 from blockfit.session import cut_lineage, drop_checkpoint, fixed_plans, partition_count
 
@@ -56,6 +57,12 @@ def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _saved(df: DataFrame, folder: str | None, params: dict) -> SavedRounds | None:
+    """The rounds kept in ``folder``; how many rounds are wanted in all may change from fit to fit."""
+    fixed = {k: v for k, v in params.items() if k not in ("max_iter", "epochs")}
+    return SavedRounds(df.sparkSession, folder, fixed) if folder else None
+
+
 class _MeanResiduals:
     """Residuals of consensus states held as one array ``(N, ...)``."""
 
@@ -123,6 +130,11 @@ class _StateTable(_MeanResiduals):
         drop_checkpoint(self._saved)
         self._saved = saved
 
+    def take_state(self, kept: DataFrame) -> None:
+        """Go on with states kept elsewhere, which may be deleted later."""
+        self._replace(kept)
+        self.cut_lineage()
+
     def weights(self) -> np.ndarray:
         return self.z
 
@@ -228,11 +240,13 @@ def consensus_lasso(
     checkpoint_every: int = 5,
     block_by: str = "hash",
     stats_limit: int = STATS_LIMIT,
+    resume: str | None = None,
 ) -> Model:
     """Row-split ADMM for ``min sum_i |A_i x - b_i|^2 / 2 + lam |x|_1``, without intercept.
 
     The data is read once, for the Gram statistics of the blocks; a round touches only
-    these. ``df`` may bring its own ``block_id``.
+    these. ``df`` may bring its own ``block_id``. With ``resume``, a shared folder, the fit goes on after the
+    last round kept there.
     """
     params = dict(lam=lam, rho=rho, num_blocks=num_blocks, max_iter=max_iter, tol=tol)
     p = num_features(df)
@@ -240,7 +254,7 @@ def consensus_lasso(
     held = num_blocks * (p * p + 3 * p) * 8 <= stats_limit
     problem = (_LassoHeld if held else _LassoTable)(blocks, p, num_blocks, lam, rho)
     with fixed_plans(df.sparkSession, problem.parts):
-        z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
+        z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every, _saved(df, resume, params))
     return Model(df.sparkSession, z.reshape(-1, 1), history_rows=history, params=params)
 
 
@@ -432,6 +446,9 @@ class _SparsePasses(_StateTable):
         self.z = np.zeros(shape)
         self._init_residuals(shape, num_blocks, rho)
 
+    def take_state(self, kept: DataFrame) -> None:
+        self._store(kept)
+
     def _store(self, new: DataFrame) -> None:
         before, self._saved = self._saved, cut_lineage(new)
         self.state = self._saved
@@ -479,6 +496,7 @@ def consensus_smlr(
     block_by: str = "hash",
     max_block_bytes: int = MAX_BLOCK_BYTES,
     stats_limit: int = STATS_LIMIT,
+    resume: str | None = None,
 ) -> Model:
     """Sparse multinomial regression (with bias) by row-split ADMM and a robust consensus.
 
@@ -517,7 +535,7 @@ def consensus_smlr(
         placed = chunks.repartition(parts, "block_id").persist(_KEEP)
         problem = _SparseTable(placed, parts, shape, num_blocks, lam, rho, alpha, local_steps, consensus)
     with fixed_plans(spark, problem.parts):
-        z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every)
+        z, history = run_admm(problem, max_iter, tol, check_every, checkpoint_every, _saved(df, resume, params))
     return Model(spark, z, classes, bias=True, history_rows=history, params=params)
 
 
@@ -667,8 +685,12 @@ def umlr_consensus(
     checkpoint_every: int = 5,
     block_by: str = "hash",
     stats_limit: int = STATS_LIMIT,
+    resume: str | None = None,
 ) -> Model:
-    """Maximal-uncorrelated multinomial regression by row-split ADMM with one gradient step per round."""
+    """Maximal-uncorrelated multinomial regression by row-split ADMM with one gradient step per round.
+
+    With ``resume``, a shared folder, the fit goes on after the last round kept there.
+    """
     params = dict(epsilon=epsilon, rho=rho, eta=eta, num_blocks=num_blocks, epochs=epochs)
     spark = df.sparkSession
     rows, classes, num_rows = indexed(_blocked(df, num_blocks, block_by))
@@ -681,5 +703,5 @@ def umlr_consensus(
     kind = _UncorrelatedHeld if held else _UncorrelatedTable
     problem = kind(chunks, parts, shape, num_blocks, num_rows, epsilon, rho, eta)
     with fixed_plans(spark, parts):
-        z, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every)
+        z, history = run_admm(problem, epochs, tol, checkpoint_every=checkpoint_every, saved=_saved(df, resume, params))
     return Model(spark, z, classes, history_rows=history, params=params)

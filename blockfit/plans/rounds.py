@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from blockfit.operators.linalg import block_mean
 from blockfit.operators.prepare import label_index
+from blockfit.plans.resume import SavedRounds
 
 # sufficient statistics or block states that may be held on the driver, in bytes;
 # larger ones stay in tables
@@ -40,15 +41,23 @@ class Problem(Protocol):
 
 
 def run_admm(
-    problem: Problem, max_iter: int, tol: float, check_every: int = 5, checkpoint_every: int = 5
+    problem: Problem,
+    max_iter: int,
+    tol: float,
+    check_every: int = 5,
+    checkpoint_every: int = 5,
+    saved: SavedRounds | None = None,
 ) -> tuple[np.ndarray, list[dict]]:
     """Rounds until both residuals are at most ``tol``, looked at in rounds 0, ``check_every``, ...
 
-    A ``tol`` below 0 never stops early, and spares the checks.
+    A ``tol`` below 0 never stops early, and spares the checks. With ``saved``, the rounds go on after the last
+    one kept there; a round is kept every ``checkpoint_every`` rounds and at the end.
     """
-    history = []
+    history, start, finished = [], 0, False
     try:
-        for t in range(max_iter):
+        if saved:
+            start, history, finished = saved.restore(problem)
+        for t in range(start, 0 if finished else max_iter):
             row = {"round": t, **(problem.advance() or {})}
             if checkpoint_every and t and t % checkpoint_every == 0:
                 problem.cut_lineage()
@@ -56,7 +65,10 @@ def run_admm(
                 row["primal"], row["dual"] = map(float, problem.residuals())
             if len(row) > 1:
                 history.append(row)
-            if "primal" in row and row["primal"] <= tol and row["dual"] <= tol:
+            stop = "primal" in row and row["primal"] <= tol and row["dual"] <= tol
+            if saved and (stop or t == max_iter - 1 or checkpoint_every and t and t % checkpoint_every == 0):
+                saved.write(problem, t + 1, history, stop)
+            if stop:
                 break
         return problem.weights(), history
     finally:
