@@ -133,13 +133,13 @@ class _PixelSpaceSolver:
     def solve(self, g: np.ndarray, Ad: np.ndarray, sum_d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(f, shift, A x)`` for right-hand side ``rho1 (W A)' g + rho2 d``."""
         P, root = self.params, self.root
-        wg = root * g
-        Aq = P.rho1 * wg @ self.G + P.rho2 * Ad
         if P.ridge == "identity":
-            s = np.linalg.solve(self.S, (root * Aq)[:, :, None])[:, :, 0]
-            f = (P.rho1 * wg - root * s) / P.rho2
+            # not as a difference from g, which leaves no digits of a small f where G is large
+            f = root * np.linalg.solve(self.S, (g - root * Ad)[:, :, None])[:, :, 0]
             shift = np.zeros(len(g))
         else:
+            wg = root * g
+            Aq = P.rho1 * wg @ self.G + P.rho2 * Ad
             sum_q = P.rho1 * wg @ self.m + P.rho2 * sum_d
             Bq = np.column_stack([np.sqrt(P.rho1) * root * Aq, np.sqrt(P.rho2) * sum_q])[:, :, None]
             s = (self.S @ (self.S @ Bq))[:, :, 0]
@@ -150,18 +150,97 @@ class _PixelSpaceSolver:
 
 
 def code_parts(rows: np.ndarray, steps: list, gamma: float, threshold: float) -> np.ndarray:
-    """``d = W - Uw`` (tests x rows) of dictionary rows after the solved ``steps`` ``(f, shift)``."""
+    """``d = W - Uw`` (tests x rows) of dictionary rows after the solved ``steps`` ``(f, shift)``.
+
+    ``W`` is ``x + Uw`` shrunk by the threshold and the new ``Uw`` what the shrinking takes off, ``x + Uw`` clipped.
+    """
     tests = len(steps[0][0])
-    d = np.zeros((tests, len(rows)))
-    uw = np.ones_like(d)
+    d, uw = np.zeros((tests, len(rows))), np.ones((tests, len(rows)))
     for f, shift in steps:
-        x = f @ rows.T + gamma * d + shift[:, None]
-        w = soft(x + uw, threshold)
-        uw = uw + x - w
-        d = w - uw
+        uw += f @ rows.T
+        uw += shift[:, None]
+        uw += gamma * d
+        d = uw.copy()
+        np.clip(uw, -threshold, threshold, out=uw)
+        d -= 2 * uw
     return d
 
 
+class RowBox:
+    """Dictionary rows between two corners, with their sums, halved down to ``leaf`` rows.
+
+    A box is cut along the side that is widest in units of the whole dictionary, ``span``. It puts ``rows`` in its own
+    order; equal rows stay in one box.
+    """
+
+    def __init__(self, rows: np.ndarray, leaf: int, span: np.ndarray | None = None):
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        self.rows, self.centre, self.reach = rows, (low + high) / 2, (high - low) / 2
+        span = np.where(high > low, high - low, 1.0) if span is None else span
+        side = int(np.argmax((high - low) / span))
+        if len(rows) > leaf and high[side] > low[side]:
+            half = len(rows) // 2
+            rows[:] = rows[np.argpartition(rows[:, side], half)]
+            self.halves = (RowBox(rows[:half], leaf, span), RowBox(rows[half:], leaf, span))
+            self.sum = self.halves[0].sum + self.halves[1].sum
+            self.gram = self.halves[0].gram + self.halves[1].gram
+        else:
+            self.halves, self.sum, self.gram = (), rows.sum(axis=0), rows.T @ rows
+
+    def lines(self, steps: list, gamma: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``d = slope . row + const`` of the tests for which no threshold cuts the box, and which these are."""
+        whole = np.ones(len(steps[0][0]), dtype=bool)
+        d_slope, d_const, u_slope, u_const = 0.0, 0.0, 0.0, 1.0
+        for f, shift in steps:
+            slope, const = f + gamma * d_slope + u_slope, shift + gamma * d_const + u_const
+            middle, reach = slope @ self.centre + const, np.abs(slope) @ self.reach
+            low, high = middle - reach, middle + reach
+            above, inside = low >= threshold, (low >= -threshold) & (high <= threshold)
+            whole &= above | inside | (high <= -threshold)
+            u_slope = slope * inside[:, None]
+            u_const = np.where(inside, const, np.where(above, threshold, -threshold))
+            d_slope, d_const = slope - 2 * u_slope, const - 2 * u_const
+        return d_slope, d_const, whole
+
+
+# entries of a block tests x dictionary rows
+_BLOCK = 1 << 18
+
+
+def row_box(A: np.ndarray) -> RowBox:
+    """The boxes of a dictionary, of more rows than their sums take."""
+    return RowBox(A.copy(), max(64, 4 * A.shape[1]))
+
+
+def code_sums(root: RowBox, steps: list, gamma: float, threshold: float) -> np.ndarray:
+    """``[A d, sum d]`` per test row, ``d`` being the code part of :func:`code_parts`.
+
+    A box that no threshold cuts gives its share from its sums; of the others the halves are looked at, and the
+    single rows at the end, in blocks, so that no matrix of all tests and rows is ever held.
+    """
+    tests, p = steps[0][0].shape
+    out = np.zeros((tests, p + 1))
+    todo = [(root, np.arange(tests))]
+    while todo:
+        box, at = todo.pop()
+        if len(at) * len(box.rows) > _BLOCK >> 4:
+            slope, const, whole = box.lines([(f[at], shift[at]) for f, shift in steps], gamma, threshold)
+            done, at = at[whole], at[~whole]
+            slope, const = slope[whole], const[whole]
+            out[done, :p] += slope @ box.gram + const[:, None] * box.sum
+            out[done, p] += slope @ box.sum + const * len(box.rows)
+            if box.halves and len(at):
+                todo += [(half, at) for half in box.halves]
+                continue
+        size = max(1, _BLOCK // len(box.rows))
+        for lo in range(0, len(at), size):
+            some = at[lo : lo + size]
+            d = code_parts(box.rows, [(f[some], shift[some]) for f, shift in steps], gamma, threshold)
+            out[some, :p] += d @ box.rows
+            out[some, p] += d.sum(axis=1)
+    return out
+
+
 def _code_by_rows(B, A, root, params) -> np.ndarray:
     """``A x`` after the inner rounds with the matrices of dictionary size (few training rows)."""
     P = params
@@ -184,16 +263,18 @@ def _code_by_rows(B, A, root, params) -> np.ndarray:
     return Ax
 
 
-def _code_by_pixels(B, A, root, params, G, m) -> np.ndarray:
+def _code_by_pixels(B, box: RowBox, root, params) -> np.ndarray:
     """``A x`` after the inner rounds with the matrices of pixel size (many training rows)."""
     outer = _Outer(B, root, params)
-    solver = _PixelSpaceSolver(G, m, len(A), root, params)
-    d, steps, Ax = np.zeros((len(B), len(A))), [], np.zeros_like(B)
-    for _ in range(params.inner):
-        f, shift, Ax = solver.solve(outer.right(), d @ A, d.sum(axis=1))
+    solver = _PixelSpaceSolver(box.gram, box.sum, len(box.rows), root, params)
+    steps, Ad, sum_d, Ax = [], np.zeros_like(B), np.zeros(len(B)), np.zeros_like(B)
+    for i in range(params.inner):
+        if i > 0:
+            sums = code_sums(box, steps, solver.gamma, params.lam / params.rho2)
+            Ad, sum_d = sums[:, :-1], sums[:, -1]
+        f, shift, Ax = solver.solve(outer.right(), Ad, sum_d)
         outer.absorb(Ax)
         steps.append((f, shift))
-        d = code_parts(A, steps, solver.gamma, params.lam / params.rho2)
     return Ax
 
 
@@ -201,16 +282,16 @@ def code_tests(B: np.ndarray, A: np.ndarray, params: CodingParams) -> np.ndarray
     """Weighted absolute residuals (tests x pixels) of the rows ``B`` on a whole dictionary ``A``."""
     out = np.empty_like(B)
     side = min(len(A), A.shape[1] + 1)
-    step = max(1, (64 << 20) // (side * side * 8))
+    step = max(1, (16 << 20) // (side * side * 8))
     by_rows = len(A) <= A.shape[1]
-    G, m = (None, None) if by_rows else (A.T @ A, A.sum(axis=0))
+    box = None if by_rows else row_box(A)
     mean = A.mean(axis=0)
     for lo in range(0, len(B), step):
         b = B[lo : lo + step]
         fitted = np.broadcast_to(mean, b.shape)
         for _ in range(params.outer):
             root = np.sqrt(pixel_weights((b - fitted) ** 2, params.t, params.c))
-            fitted = _code_by_rows(b, A, root, params) if by_rows else _code_by_pixels(b, A, root, params, G, m)
+            fitted = _code_by_rows(b, A, root, params) if by_rows else _code_by_pixels(b, box, root, params)
         out[lo : lo + step] = root * np.abs(b - fitted)
     return out
 

@@ -1,7 +1,10 @@
 """Sparse coding against a direct implementation of its rounds, one test row at a time."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockfit.operators.evaluate import accuracy, attach_truth
 from blockfit.plans import coding
@@ -128,3 +131,53 @@ def test_weights_when_the_cut_is_zero():
     w = pixel_weights(r, 0.5, 1.0)
     assert w[0].tolist() == [1, 1, 1, 0]
     np.testing.assert_allclose(w[1], 1 / (1 + np.exp((r[1] - 2) / 2)))
+
+
+@pytest.mark.parametrize(("gamma", "inner"), [(1.0, 1), (1.0, 3), (0.0, 2)])
+@pytest.mark.parametrize("p", [2, 7])
+def test_sums_of_the_code_over_boxes_and_blocks(gamma, inner, p, monkeypatch):
+    rng = np.random.default_rng(42)
+    rows = np.concatenate([rng.normal(size=(3000, p)), np.tile(rng.normal(size=(1, p)), (2000, 1))])
+    steps = [(rng.normal(size=(400, p)) * 10.0 ** rng.integers(-6, 1, (400, 1)), rng.normal(size=400)) for _ in range(inner)]
+    steps[0][0][3, 1] = np.nan
+    d = coding.code_parts(rows, steps, gamma, 0.9)
+    want = np.column_stack([d @ rows, d.sum(axis=1)])
+    got = coding.code_sums(coding.row_box(rows), steps, gamma, 0.9)
+    assert np.isnan(got[3]).all()
+    np.testing.assert_allclose(np.delete(got, 3, 0), np.delete(want, 3, 0), rtol=1e-9, atol=1e-6)
+
+
+def test_no_block_holds_all_tests_and_rows(monkeypatch):
+    rng = np.random.default_rng(42)
+    A, B = rng.normal(size=(3000, 6)), rng.normal(size=(2500, 6))
+    held = []
+    parts = coding.code_parts
+
+    def watched(rows, steps, *args):
+        held.append(len(rows) * len(steps[0][0]))
+        return parts(rows, steps, *args)
+
+    monkeypatch.setattr(coding, "code_parts", watched)
+    got = coding.code_tests(B, A, coding.CodingParams())
+    assert 0 < max(held) <= 1 << 18
+    for i in range(0, 2500, 500):
+        np.testing.assert_allclose(got[i], code_one(B[i], A, "identity", 2, 2), rtol=1e-6, atol=1e-8)
+
+
+def test_boxes_spare_most_of_the_rows(monkeypatch):
+    rng = np.random.default_rng(42)
+    A, B = rng.uniform(size=(20000, 2)) * [900, 1], rng.uniform(size=(2000, 2)) * [900, 1]
+    held = []
+    parts = coding.code_parts
+    monkeypatch.setattr(coding, "code_parts", lambda rows, steps, *a: held.append(len(rows) * len(steps[0][0])) or parts(rows, steps, *a))
+    coding.code_tests(B, A, coding.CodingParams())
+    assert sum(held) < 0.25 * 2 * len(A) * len(B)
+
+
+def test_ridge_step_keeps_the_digits_of_a_small_code():
+    G, root, g = np.array([[2e11, 3e8], [3e8, 1.2e6]]), np.array([[0.9, 0.7]]), np.array([[600.0, 0.5]])
+    f, _, _ = coding._PixelSpaceSolver(G, np.ones(2), 10.0, root, coding.CodingParams()).solve(g, np.zeros((1, 2)), np.zeros(1))
+    (a, b), (_, c) = [[Fraction(float(root[0, i] * root[0, j])) * Fraction(G[i, j]) + (i == j) for j in (0, 1)] for i in (0, 1)]
+    u, v = (Fraction(x) for x in g[0])
+    det = a * c - b * b
+    np.testing.assert_allclose(f[0], root[0] * [float((c * u - b * v) / det), float((a * v - b * u) / det)], rtol=1e-8)
