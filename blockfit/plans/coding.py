@@ -349,12 +349,12 @@ def _join_by_class(pairs: DataFrame, table: DataFrame, classes: int, size: int,
     return salted.join(copies, ["class_idx", "salt"]).drop("salt")
 
 
-def _code_whole(tests: DataFrame, dictionary: DataFrame, class_idx: list[int], total_bytes: int, params, limit):
-    """Classes whose dictionary fits one task: equal pairs (test chunk, class), spread by a salt."""
+def _code_whole(tests: DataFrame, dictionary: DataFrame, class_idx: list[int], total_bytes: int, params, limit, tasks):
+    """Classes whose dictionary fits one task: equal pairs (test chunk, class), dealt to ``tasks`` or spread by a salt."""
     packed = pack_chunks(dictionary, max_chunk_bytes=1 << 40, whole_blocks=True).select(
         F.col("block_id").cast("int").alias("class_idx"), F.col("X").alias("A")
     )
-    pairs = _pairs(tests, class_idx)
+    pairs = _pairs(tests, class_idx).repartition(tasks)
     joined = _join_by_class(pairs, packed, len(class_idx), total_bytes, limit)
     return joined.select("class_idx", "p", "X", "row_ids", "A").mapInArrow(_whole_kernel(params), _RESULT)
 
@@ -556,12 +556,17 @@ def huber_sparse_code(
     small = sorted(k for k, size in size_of.items() if size <= max_dictionary_bytes)
     large = sorted(k for k, size in size_of.items() if size > max_dictionary_bytes)
     unlabeled = test.select("row_id", F.lit(0.0).alias("label"), "features")
-    tests = pack_chunks(unlabeled, max_chunk_bytes=test_chunk_bytes)
+    # chunks small enough that the pairs occupy all cores, yet of some thousand tests where there are as many
+    test_bytes = test.count() * p * 8
+    wanted = 4 * test.sparkSession.sparkContext.defaultParallelism
+    chunk_bytes = min(test_chunk_bytes, max(1024 * p * 8, -(-test_bytes * len(classes) // wanted)))
+    tests = pack_chunks(unlabeled, max_chunk_bytes=chunk_bytes)
     results = []
     if small:
         part = rows.filter(F.col("block_id").isin(small)) if large else rows
         total = sum(size_of[k] for k in small)
-        results.append(_code_whole(tests, part, small, total, params, broadcast_limit))
+        tasks = max(1, min(wanted, -(-test_bytes // chunk_bytes) * len(small)))
+        results.append(_code_whole(tests, part, small, total, params, broadcast_limit, tasks))
     if large:
         part = rows.filter(F.col("block_id").isin(large)) if small else rows
         results.append(_code_tiled(tests, part, large, p, params, broadcast_limit, cell_bytes))

@@ -181,3 +181,12 @@ def test_ridge_step_keeps_the_digits_of_a_small_code():
     u, v = (Fraction(x) for x in g[0])
     det = a * c - b * b
     np.testing.assert_allclose(f[0], root[0] * [float((c * u - b * v) / det), float((a * v - b * u) / det)], rtol=1e-8)
+
+
+def test_tests_of_one_partition_are_coded_by_many_tasks(frame):
+    rng = np.random.default_rng(42)
+    train = frame(rng.normal(size=(300, 2)), np.arange(300) % 2)
+    test = frame(rng.normal(size=(9000, 2)), np.zeros(9000), parts=1).drop("label")
+    codes = huber_sparse_code(test, train)
+    tasks = codes.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 18000 and len(tasks) >= 8 and max(r["count"] for r in tasks) <= 4500
