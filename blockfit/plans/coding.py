@@ -17,18 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from blockfit.functions.arrays import collect_sum
-from blockfit.operators.blocks import pack_chunks
+from blockfit.operators.blocks import MAX_CHUNK_BYTES, pack_chunks
 from blockfit.operators.linalg import chunk_gram, vector_sum
 from blockfit.operators.prepare import label_index
 from blockfit.plans.kernels import soft
 from blockfit.session import cut_lineage, drop_checkpoint
 
 _DOUBLES = pa.list_(pa.float64())
+# of tests or of dictionary rows in a cell
+MAX_CELL_BYTES = 32 << 20
 _KEEP = StorageLevel.MEMORY_AND_DISK
 
 
@@ -425,20 +428,38 @@ def _cell_sums(gamma: float, threshold: float):
         ids, classes, out = [], [], []
         if tests.num_rows and parts.num_rows:
             p = tests.column("p")[0].as_py()
-            A = np.concatenate([np.frombuffer(a.as_buffer()).reshape(-1, p) for a in parts.column("A")])
-            for chunk, k, row_ids, steps in zip(*(tests.column(c) for c in ("chunk_id", "class_idx", "row_ids", "steps"))):
-                flat = np.frombuffer(steps.as_buffer()).reshape(-1, p + 1)
-                done = [(s[:, :-1], s[:, -1]) for s in np.split(flat, len(flat) // len(row_ids.values))]
-                d = code_parts(A, done, gamma, threshold)
-                ids.append(chunk.as_py())
-                classes.append(k.as_py())
-                out.append(np.column_stack([d @ A, d.sum(axis=1)]).ravel())
+            box = row_box(np.concatenate([np.frombuffer(a.as_buffer()).reshape(-1, p) for a in parts.column("A")]))
+            lengths = pc.list_value_length(tests.column("row_ids")).to_numpy()
+            flats = [np.frombuffer(s.as_buffer()).reshape(-1, p + 1) for s in tests.column("steps")]
+            split = [np.split(flat, len(flat) // n) for flat, n in zip(flats, lengths)]
+            done = [np.concatenate(step) for step in zip(*split)]
+            sums = code_sums(box, [(s[:, :-1], s[:, -1]) for s in done], gamma, threshold)
+            ids, classes = tests.column("chunk_id").to_pylist(), tests.column("class_idx").to_pylist()
+            out = [part.ravel() for part in np.split(sums, np.cumsum(lengths)[:-1])]
         columns = [pa.array(ids, pa.int64()), pa.array(classes, pa.int32()), pa.array(out, _DOUBLES)]
         return pa.Table.from_arrays(columns, names=["chunk_id", "class_idx", "sums"])
 
     return run
 
 
+def _grid_shape(sizes: dict[int, int], steps_bytes: int, cell_bytes: int) -> tuple[dict[int, int], int]:
+    """The columns of every class and the rows of the grid, for cells of ``cell_bytes`` of either side."""
+    return {k: -(-size // cell_bytes) for k, size in sizes.items()}, max(1, -(-steps_bytes // cell_bytes))
+
+
+def _cell_size(sizes: dict[int, int], steps_bytes: int, cell_bytes: int, most: int) -> int:
+    """``cell_bytes``, or as much more as leaves at most ``most`` cells, yet no more than fits a task.
+
+    Cells of a fixed size grow in number with the square of the data, and so does what is copied to them.
+    """
+    while cell_bytes < MAX_CELL_BYTES:
+        columns, rows = _grid_shape(sizes, steps_bytes, cell_bytes)
+        if sum(columns.values()) * rows <= most:
+            break
+        cell_bytes = min(2 * cell_bytes, MAX_CELL_BYTES)
+    return cell_bytes
+
+
 def _grid(pairs: DataFrame, parts: DataFrame, columns: dict[int, int], rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt to the cells ``(class_idx, column, row)`` of a grid.
 
@@ -458,7 +479,8 @@ def _grid(pairs: DataFrame, parts: DataFrame, columns: dict[int, int], rows: int
 def _code_tiled(
     tests: DataFrame,
     dictionary: DataFrame,
-    class_idx: list[int],
+    sizes: dict[int, int],
+    test_bytes: int,
     p: int,
     params: CodingParams,
     limit: int,
@@ -466,11 +488,15 @@ def _code_tiled(
 ) -> DataFrame:
     """Classes too large for one task: test chunks and dictionary chunks meet in the cells of a grid.
 
-    A cell holds about ``cell_bytes`` of either side, so what moves in a step is the tests times the columns and the
-    dictionary times the rows, not the dictionary times the test chunks; a large class fills many cells.
+    What moves in a step is the tests times the columns and the dictionary times the rows, not the dictionary times
+    the test chunks; a large class fills many cells.
     """
+    class_idx = sorted(sizes)
+    steps_bytes = test_bytes * params.inner * (p + 1) // p
+    cell_bytes = _cell_size(sizes, steps_bytes, cell_bytes, 8 * tests.sparkSession.sparkContext.defaultParallelism)
+    columns, rows = _grid_shape(sizes, steps_bytes, cell_bytes)
     ones = dictionary.withColumn("label", F.lit(1.0))
-    chunks = pack_chunks(ones, sort=False).persist(_KEEP)
+    chunks = pack_chunks(ones, sort=False, max_chunk_bytes=max(1, min(MAX_CHUNK_BYTES, cell_bytes // 8))).persist(_KEEP)
     stats = (
         chunk_gram(chunks, p)
         .select(
@@ -484,11 +510,6 @@ def _code_tiled(
     parts = chunks.select(
         F.col("block_id").cast("int").alias("class_idx"), F.col("chunk_id").alias("dict_id"), F.col("X").alias("A")
     )
-    # one number per class, of which the driver has the list
-    sizes = parts.groupBy("class_idx").agg(F.sum(F.length("A")).alias("size")).collect()
-    columns = {r["class_idx"]: -(-r["size"] // cell_bytes) for r in sizes}
-    steps_bytes = (tests.agg(F.sum(F.length("X"))).first()[0] or 0) * params.inner * (p + 1) // p
-    rows = max(1, -(-steps_bytes // cell_bytes))
     threshold = params.lam / params.rho2
     gamma = 1.0 if params.ridge == "identity" else 0.0
     pairs = _pairs(tests, class_idx)
@@ -531,14 +552,15 @@ def huber_sparse_code(
     test_chunk_bytes: int = 1 << 20,
     max_dictionary_bytes: int = 64 << 20,
     broadcast_limit: int = 64 << 20,
-    cell_bytes: int = 32 << 20,
+    cell_bytes: int = MAX_CELL_BYTES,
 ) -> DataFrame:
     """Code every test row on every class: ``<test_id, class_idx, class_label, residual, mae>``.
 
     ``test`` is ``<row_id, features>``, ``train`` ``<row_id, label, features>``. ``ridge`` is
     the term added to the normal equations: ``"identity"`` on the diagonal (the ADMM step)
     or ``"scalar"`` on every entry. Dictionaries above ``max_dictionary_bytes`` are coded in
-    a grid of cells with ``cell_bytes`` of tests and of dictionary rows each; smaller ones are broadcast while all together stay below ``broadcast_limit``.
+    a grid of cells with ``cell_bytes`` of tests and of dictionary rows each, or up to ``MAX_CELL_BYTES`` where there
+    would be too many; smaller ones are broadcast while all together stay below ``broadcast_limit``.
     """
     if ridge not in ("identity", "scalar"):
         raise ValueError(f"unknown ridge {ridge!r}")
@@ -569,7 +591,8 @@ def huber_sparse_code(
         results.append(_code_whole(tests, part, small, total, params, broadcast_limit, tasks))
     if large:
         part = rows.filter(F.col("block_id").isin(large)) if small else rows
-        results.append(_code_tiled(tests, part, large, p, params, broadcast_limit, cell_bytes))
+        sizes = {k: size_of[k] for k in large}
+        results.append(_code_tiled(tests, part, sizes, test_bytes, p, params, broadcast_limit, cell_bytes))
     codes = results[0] if len(results) == 1 else results[0].unionByName(results[1])
     labels = F.array(*[F.lit(k) for k in classes])
     return codes.select(

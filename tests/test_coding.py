@@ -190,3 +190,22 @@ def test_tests_of_one_partition_are_coded_by_many_tasks(frame):
     codes = huber_sparse_code(test, train)
     tasks = codes.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 18000 and len(tasks) >= 8 and max(r["count"] for r in tasks) <= 4500
+
+
+def test_cells_do_not_grow_in_number_with_the_square_of_the_data(frame, monkeypatch):
+    for times in (1, 10, 100):
+        sizes, steps = {0: times << 20, 1: times << 21}, times << 20
+        cell = coding._cell_size(sizes, steps, 8192, 96)
+        columns, rows = coding._grid_shape(sizes, steps, cell)
+        assert cell <= coding.MAX_CELL_BYTES and sum(columns.values()) * rows <= 96
+    assert coding._cell_size({0: 1 << 40}, 1 << 40, 8192, 96) == coding.MAX_CELL_BYTES
+    assert coding._cell_size({0: 1 << 20}, 1 << 20, 1 << 19, 96) == 1 << 19
+    rng = np.random.default_rng(42)
+    args = (frame(rng.normal(size=(400, 2)), np.zeros(400)).drop("label"), frame(rng.normal(size=(3000, 2)), np.arange(3000) % 2))
+    seen = []
+    grid = coding._grid
+    monkeypatch.setattr(coding, "_grid", lambda pairs, parts, columns, rows: seen.append(sum(columns.values()) * rows) or grid(pairs, parts, columns, rows))
+    a = huber_sparse_code(*args).toPandas().sort_values(["test_id", "class_idx"])
+    b = huber_sparse_code(*args, max_dictionary_bytes=0, test_chunk_bytes=500, cell_bytes=300).toPandas()
+    np.testing.assert_allclose(a.mae, b.sort_values(["test_id", "class_idx"]).mae, rtol=1e-9)
+    assert 8 < max(seen) <= 64
