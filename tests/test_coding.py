@@ -1,5 +1,6 @@
 """Sparse coding against a direct implementation of its rounds, one test row at a time."""
 
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -209,3 +210,19 @@ def test_cells_do_not_grow_in_number_with_the_square_of_the_data(frame, monkeypa
     b = huber_sparse_code(*args, max_dictionary_bytes=0, test_chunk_bytes=500, cell_bytes=300).toPandas()
     np.testing.assert_allclose(a.mae, b.sort_values(["test_id", "class_idx"]).mae, rtol=1e-9)
     assert 8 < max(seen) <= 64
+
+
+def coding_peak(tests, rows):
+    """Bytes that coding of 64 pixels holds at most, the dictionary counted."""
+    rng = np.random.default_rng(42)
+    B, A = rng.normal(size=(tests, 64)), rng.normal(size=(rows, 64))
+    tracemalloc.start()
+    try:
+        coding.code_tests(B, A, coding.CodingParams())
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_pair_of_test_chunk_and_class():
+    assert coding_peak(2048, 6000) < 160 << 20
