@@ -226,3 +226,9 @@ def coding_peak(tests, rows):
 
 def test_memory_of_a_pair_of_test_chunk_and_class():
     assert coding_peak(2048, 6000) < 160 << 20
+
+
+def test_memory_grows_with_the_dictionary_alone():
+    one, more_rows, more_tests = coding_peak(1024, 4000), coding_peak(1024, 12000), coding_peak(4096, 4000)
+    assert more_rows - one < 3 * 8000 * 64 * 8
+    assert more_tests - one < 6 * 3072 * 64 * 8
