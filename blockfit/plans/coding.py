@@ -157,15 +157,20 @@ def code_parts(rows: np.ndarray, steps: list, gamma: float, threshold: float) ->
 
     ``W`` is ``x + Uw`` shrunk by the threshold and the new ``Uw`` what the shrinking takes off, ``x + Uw`` clipped.
     """
-    tests = len(steps[0][0])
-    d, uw = np.zeros((tests, len(rows))), np.ones((tests, len(rows)))
+    d = uw = None
     for f, shift in steps:
-        uw += f @ rows.T
-        uw += shift[:, None]
-        uw += gamma * d
-        d = uw.copy()
-        np.clip(uw, -threshold, threshold, out=uw)
-        d -= 2 * uw
+        x = f @ rows.T
+        if uw is None:
+            x += (shift + 1)[:, None]
+        else:
+            x += shift[:, None]
+            x += uw
+            if gamma:
+                x += gamma * d
+        uw = np.clip(x, -threshold, threshold)
+        d = x
+        d -= uw
+        d -= uw
     return d
 
 
@@ -200,6 +205,8 @@ class RowBox:
             low, high = middle - reach, middle + reach
             above, inside = low >= threshold, (low >= -threshold) & (high <= threshold)
             whole &= above | inside | (high <= -threshold)
+            if not whole.any():
+                return slope, const, whole
             u_slope = slope * inside[:, None]
             u_const = np.where(inside, const, np.where(above, threshold, -threshold))
             d_slope, d_const = slope - 2 * u_slope, const - 2 * u_const
@@ -207,7 +214,7 @@ class RowBox:
 
 
 # entries of a block tests x dictionary rows
-_BLOCK = 1 << 18
+_BLOCK = 1 << 16
 
 
 def row_box(A: np.ndarray) -> RowBox:
@@ -223,24 +230,25 @@ def code_sums(root: RowBox, steps: list, gamma: float, threshold: float) -> np.n
     """
     tests, p = steps[0][0].shape
     out = np.zeros((tests, p + 1))
-    todo = [(root, np.arange(tests))]
+    todo = [(root, np.arange(tests), steps)]
     while todo:
-        box, at = todo.pop()
+        box, at, here = todo.pop()
         if len(at) * len(box.rows) > _BLOCK >> 4:
-            slope, const, whole = box.lines([(f[at], shift[at]) for f, shift in steps], gamma, threshold)
-            done, at = at[whole], at[~whole]
-            slope, const = slope[whole], const[whole]
-            out[done, :p] += slope @ box.gram + const[:, None] * box.sum
-            out[done, p] += slope @ box.sum + const * len(box.rows)
+            slope, const, whole = box.lines(here, gamma, threshold)
+            if whole.any():
+                done, slope, const = at[whole], slope[whole], const[whole]
+                out[done, :p] += slope @ box.gram + const[:, None] * box.sum
+                out[done, p] += slope @ box.sum + const * len(box.rows)
+                at, here = at[~whole], [(f[~whole], shift[~whole]) for f, shift in here]
             if box.halves and len(at):
-                todo += [(half, at) for half in box.halves]
+                todo += [(half, at, here) for half in box.halves]
                 continue
         size = max(1, _BLOCK // len(box.rows))
         for lo in range(0, len(at), size):
-            some = at[lo : lo + size]
-            d = code_parts(box.rows, [(f[some], shift[some]) for f, shift in steps], gamma, threshold)
-            out[some, :p] += d @ box.rows
-            out[some, p] += d.sum(axis=1)
+            some = slice(lo, lo + size)
+            d = code_parts(box.rows, [(f[some], shift[some]) for f, shift in here], gamma, threshold)
+            out[at[some], :p] += d @ box.rows
+            out[at[some], p] += d.sum(axis=1)
     return out
 
 

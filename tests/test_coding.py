@@ -212,6 +212,28 @@ def test_cells_do_not_grow_in_number_with_the_square_of_the_data(frame, monkeypa
     assert 8 < max(seen) <= 64
 
 
+def test_code_of_a_block_holds_two_matrices():
+    rng = np.random.default_rng(42)
+    rows, f, shift = rng.normal(size=(512, 8)), rng.normal(size=(512, 8)), rng.normal(size=512)
+    tracemalloc.start()
+    try:
+        coding.code_parts(rows, [(f, shift)], 1.0, 0.9)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2.2 * 512 * 512 * 8
+
+
+def test_boxes_without_a_whole_test_copy_no_steps(monkeypatch):
+    rng = np.random.default_rng(42)
+    rows, seen = rng.normal(size=(4000, 64)), []
+    steps = [(rng.normal(size=(300, 64)), rng.normal(size=300))]
+    lines = coding.RowBox.lines
+    monkeypatch.setattr(coding.RowBox, "lines", lambda box, here, *a: seen.append(here) or lines(box, here, *a))
+    coding.code_sums(coding.row_box(rows), steps, 1.0, 0.9)
+    assert len(seen) > 8 and all(here is steps for here in seen)
+
+
 def coding_peak(tests, rows):
     """Bytes that coding of 64 pixels holds at most, the dictionary counted."""
     rng = np.random.default_rng(42)
